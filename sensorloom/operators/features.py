@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,61 +38,35 @@ def pooled_channels(
 ) -> DataFrame:
     """``<group>_mean`` and ``<group>_variability`` over all values of a group's channels.
 
-    Every channel is reduced to count, mean and variance in one aggregate; the groups are then
-    merged from those moments. This equals pooling all non-NULL values, without multiplying the
-    rows by the number of channels and without a sum of squares.
+    Each row becomes one row per channel position, with one column per group, and the pooled
+    moments are plain aggregates of those columns. Five bands of four electrodes thus give four
+    narrow rows and ten accumulators, combined before the shuffle; one row per channel would
+    give twenty rows, and one accumulator set per channel sixty accumulators. Non-finite text has
+    become NULL at the scan, so NULLs are skipped and channels may differ in their counts.
     """
-    channels = [channel for members in groups.values() for channel in members]
-    moments = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("channel_rows"),
-        *(F.count(channel).alias(f"_n_{channel}") for channel in channels),
-        *(F.avg(channel).alias(f"_m_{channel}") for channel in channels),
-        *(F.var_pop(channel).alias(f"_v_{channel}") for channel in channels),
-    )
-
-    def total(terms: Sequence[Column]) -> Column:
-        return reduce(add, [F.coalesce(term, F.lit(0.0)) for term in terms])
-
-    def count(channel: str) -> Column:
-        return F.col(f"_n_{channel}").cast("double")
-
-    def mean(channel: str) -> Column:
-        return F.col(f"_m_{channel}")
-
-    pooled = moments.select(
-        "*",
-        *(
-            F.try_divide(
-                total([count(c) * mean(c) for c in members]), total([count(c) for c in members])
-            ).alias(f"{group}_mean")
-            for group, members in groups.items()
-        ),
-    )
-    return pooled.select(
-        *keys,
-        "channel_rows",
-        *(f"{group}_mean" for group in groups),
+    positions = range(max(len(members) for members in groups.values()))
+    missing = F.lit(None).cast("double")
+    per_position = F.array(
         *(
-            F.when(
-                F.col(f"{group}_mean").isNotNull(),
-                F.sqrt(
-                    F.try_divide(
-                        total(
-                            [
-                                count(c)
-                                * (
-                                    F.col(f"_v_{c}")
-                                    + F.pow(mean(c) - F.col(f"{group}_mean"), F.lit(2.0))
-                                )
-                                for c in members
-                            ]
-                        ),
-                        total([count(c) for c in members]),
-                    )
+            F.struct(
+                F.lit(i == 0).alias("is_first"),
+                *(
+                    (F.col(members[i]).cast("double") if i < len(members) else missing).alias(group)
+                    for group, members in groups.items()
                 ),
-            ).alias(f"{group}_variability")
-            for group, members in groups.items()
-        ),
+            )
+            for i in positions
+        )
+    )
+    return (
+        df.select(*keys, F.explode(per_position).alias("_channel"))
+        .select(*keys, "_channel.*")
+        .groupBy(*keys)
+        .agg(
+            F.count(F.when(F.col("is_first"), 1)).alias("channel_rows"),
+            *(F.avg(group).alias(f"{group}_mean") for group in groups),
+            *(F.stddev_pop(group).alias(f"{group}_variability") for group in groups),
+        )
     )
 
 
