@@ -53,6 +53,10 @@ def neighbor(
     )
 
 
+def time_block(seconds: float, time: str = "time") -> Column:
+    return F.floor(F.col(time) / F.lit(float(seconds)))
+
+
 def first_difference(
     df: DataFrame,
     keys: Sequence[str],
@@ -60,18 +64,19 @@ def first_difference(
     value: str,
     name: str,
     *,
-    block_seconds: float | None = None,
+    block: Column | None = None,
     tie: Sequence[str] = (),
 ) -> DataFrame:
     """``value - previous value`` in time order per group; NULL on the first row.
 
-    With ``block_seconds`` long groups are cut into time blocks that different tasks handle.
+    ``block`` (say :func:`time_block`) must not decrease with time; it cuts long groups into parts
+    that different tasks handle.
     """
     order = [time, *tie]
-    if block_seconds is None:
+    if block is None:
         ordered = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.col(value) - F.lag(value).over(ordered))
-    blocked = df.withColumn("_block", F.floor(F.col(time) / F.lit(float(block_seconds))))
+    blocked = df.withColumn("_block", block)
     with_previous = neighbor(blocked, keys, "_block", order, {value: "_previous"})
     return with_previous.withColumn(name, F.col(value) - F.col("_previous")).drop(
         "_block", "_previous"

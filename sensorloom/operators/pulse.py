@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,31 +66,43 @@ def keep_spaced(positions: np.ndarray, heights: np.ndarray, distance: int) -> np
     return keep
 
 
-def prominences(values: np.ndarray, peaks: np.ndarray) -> np.ndarray:
-    """Height of each peak over the higher of its two bases.
+def base_levels(
+    values: np.ndarray, peaks: np.ndarray
+) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(base, is walled) on the left and on the right of each peak.
 
-    A base is the lowest value between the peak and the nearest higher sample on that side.
+    A base is the lowest value between the peak and the nearest higher sample on that side, or
+    the end of the signal where no sample is higher; such a side is not walled.
     """
     if not len(peaks):
-        return np.empty(0)
+        empty = (np.empty(0), np.empty(0, dtype=bool))
+        return empty, empty
     # The walls of a search are the local maxima and the two ends of the signal.
     walls = np.unique(np.r_[0, peaks, len(values) - 1, local_maxima(values)])
     heights = values[walls]
     valleys = np.minimum.reduceat(values, walls)[:-1]
-    left = _base_levels(heights, np.r_[np.inf, valleys])
-    right = _base_levels(heights[::-1], np.r_[np.inf, valleys[::-1]])[::-1]
+    left, left_walled = _base_levels(heights, np.r_[np.inf, valleys])
+    right, right_walled = _base_levels(heights[::-1], np.r_[np.inf, valleys[::-1]])
     at = np.searchsorted(walls, peaks)
-    return values[peaks] - np.maximum(left[at], right[at])
+    return (left[at], left_walled[at]), (right[::-1][at], right_walled[::-1][at])
 
 
-def _base_levels(heights: np.ndarray, valley_before: np.ndarray) -> np.ndarray:
+def _base_levels(heights: np.ndarray, valley_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bases = np.minimum(heights, valley_before)
+    walled = np.zeros(len(heights), dtype=bool)
     higher: list[int] = []
     for k in range(len(heights)):
         while higher and heights[higher[-1]] <= heights[k]:
             bases[k] = min(bases[k], bases[higher.pop()])
+        walled[k] = bool(higher)
         higher.append(k)
-    return bases
+    return bases, walled
+
+
+def prominences(values: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    """Height of each peak over the higher of its two bases."""
+    (left, _), (right, _) = base_levels(values, peaks)
+    return values[peaks] - np.maximum(left, right)
 
 
 def window_peaks(times: np.ndarray, values: np.ndarray, rules: PulseRules) -> np.ndarray | None:
@@ -136,11 +148,11 @@ def guarded_counts(df: DataFrame, keys: Sequence[str], rules: PulseRules = DEFAU
 
 
 def sample_rates(
-    df: DataFrame, keys: Sequence[str], *, block_seconds: float | None = None, tie: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], *, block: Column | None = None, tie: Sequence[str] = ()
 ) -> DataFrame:
     """Samples per second: one over the median time step; NULL if that step is zero or absent."""
     steps = first_difference(
-        finite_samples(df), keys, "time", "time", "step", block_seconds=block_seconds, tie=tie
+        finite_samples(df), keys, "time", "time", "step", block=block, tie=tie
     )
     return grouped_median(steps, keys, ["step"]).select(
         *keys,
@@ -234,7 +246,7 @@ def pulse_peaks(
     peaks = ordinary.groupBy(*keys).applyInArrow(detect, schema)
     if long is None:
         return peaks
-    from sensorloom.operators.long_pulse import long_window_peaks
+    from sensorloom.operators.long_pulse import long_window_peaks  # it builds on this module
 
     return peaks.unionByName(long_window_peaks(long, keys, rules=rules, block_rows=block_rows))
 
@@ -244,16 +256,17 @@ def beat_intervals(
     keys: Sequence[str] = WINDOW_KEYS,
     *,
     rules: PulseRules = DEFAULT_RULES,
-    block_seconds: float | None = None,
+    block: Column | None = None,
 ) -> DataFrame:
     """Plausible intervals between successive beats and the change from the kept one before.
 
     The change is taken over kept intervals, so it can bridge one that was dropped.
+    ``block`` cuts long windows, see :func:`first_difference`.
     """
-    gaps = first_difference(peaks, keys, "time", "time", "interval", block_seconds=block_seconds)
+    gaps = first_difference(peaks, keys, "time", "time", "interval", block=block)
     kept = gaps.where(F.col("interval").between(rules.shortest_interval, rules.longest_interval))
     return first_difference(
-        kept, keys, "time", "interval", "interval_change", block_seconds=block_seconds
+        kept, keys, "time", "interval", "interval_change", block=block
     )
 
 
@@ -305,7 +318,7 @@ def pulse_features(
     features = ordinary.groupBy(*keys).applyInArrow(describe, schema)
     if long is None:
         return features
-    from sensorloom.operators.long_pulse import long_window_features
+    from sensorloom.operators.long_pulse import long_window_features  # it builds on this module
 
     return features.unionByName(long_window_features(long, keys, rules=rules, block_rows=block_rows))
 

@@ -294,15 +294,15 @@ _TERMS = [
     for i, f in enumerate(FIXED_HEAD.features)
 ]
 _SORTED = "list_sort([" + ", ".join(
-    f"{{'rank': -abs({t}), 'at': {i}, 'value': {t}}}" for i, t in enumerate(_TERMS)
+    f"{{'rank': -abs({t}), 'nth': {i}, 'value': {t}}}" for i, t in enumerate(_TERMS)
 ) + "])"
 EXPLANATION_PAYLOADS = f"""
 WITH {TESTED_CTES}, sorted AS (SELECT *, {_SORTED} AS terms FROM tested)
 SELECT patient_id, condition, window_index, {r('l_extendedprice')} AS l_extendedprice,
        'cognitive_load_during_this_recorded_session' AS prediction_target,
        {r('alpha_eeg')} AS alpha_eeg, {r('beta_wearable')} AS beta_wearable,
-       {r('combined_probability')} AS combined_probability, {r('0.3')} AS weight_eeg,
-       {r('0.7')} AS weight_wearable, 1 AS limitations,
+       {r('combined_probability')} AS combined_probability, {r('CAST(0.3 AS DOUBLE)')} AS weight_eeg,
+       {r('CAST(0.7 AS DOUBLE)')} AS weight_wearable, 1 AS limitations,
        {r('terms[1].value + terms[2].value')} AS shown_contributions
 FROM sorted"""
 

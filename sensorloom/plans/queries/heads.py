@@ -264,10 +264,10 @@ _FIXED_TERMS = {
 TOP_CONTRIBUTIONS = f"""
 WITH numbered_lines AS (SELECT *, row_number() OVER () AS line FROM lineitem),
 terms AS ({" UNION ALL ".join(
-    f"SELECT {', '.join(LINE_KEYS)}, line, {at} AS at, '{f}' AS feature, {e} AS contribution FROM numbered_lines"
+    f"SELECT {', '.join(LINE_KEYS)}, line, {at} AS nth, '{f}' AS feature, {e} AS contribution FROM numbered_lines"
     for at, (f, e) in enumerate(_FIXED_TERMS.items()))}),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY line ORDER BY abs(contribution) DESC, at) - 1 AS place FROM terms)
+  SELECT *, row_number() OVER (PARTITION BY line ORDER BY abs(contribution) DESC, nth) - 1 AS place FROM terms)
 SELECT {", ".join(LINE_KEYS)}, CAST(place AS INTEGER) AS place, feature, {r('contribution')} AS contribution
 FROM ranked WHERE place < 2"""
 
@@ -305,10 +305,10 @@ better AS (
   SELECT avg({entropy_sql(TARGET, sigmoid_sql(f'(SELECT b FROM step) + {_STEP_LOGIT}'))}) < -ln(0.5) AS moved
   FROM standard WHERE split = 'validation'),
 weights AS ({" UNION ALL ".join(
-    f"SELECT '{f}' AS feature, {at} AS at, CASE WHEN moved THEN w_{f} ELSE 0.0 END AS w FROM step, better"
+    f"SELECT '{f}' AS feature, {at} AS nth, CASE WHEN moved THEN w_{f} ELSE 0.0 END AS w FROM step, better"
     for at, f in enumerate(FEATURES))})
 SELECT feature, {r('w')} AS standardized_coefficient, {r('abs(w)')} AS absolute_coefficient
-FROM weights ORDER BY abs(w) DESC, at"""
+FROM weights ORDER BY abs(w) DESC, nth"""
 
 QUERIES = {
     "standardizer": (standardizer, STANDARDIZER),

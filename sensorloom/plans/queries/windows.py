@@ -16,7 +16,7 @@ from sensorloom.operators.features import (
     spread,
     trend,
 )
-from sensorloom.operators.ordering import first_difference
+from sensorloom.operators.ordering import first_difference, time_block
 from sensorloom.operators.pulse import finite_samples
 from sensorloom.operators.windows import (
     assign_windows,
@@ -181,7 +181,7 @@ def linear_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 LINEAR_TREND = f"""
 SELECT user_id, event_type,
-       {r('regr_slope(value, (epoch_us(ts) / 1e6 - 1704067200.0) / 86400.0)')} AS slope
+       {r("nullif(regr_slope(value, (epoch_us(ts) / 1e6 - 1704067200.0) / 86400.0), CAST('nan' AS DOUBLE))")} AS slope
 FROM events GROUP BY ALL"""
 
 
@@ -264,7 +264,8 @@ SLOW_FEATURES_CTE = """slow_features AS (
     f"""count(*) FILTER (stream = '{s}') AS {s}_window_rows,
          avg(value) FILTER (stream = '{s}') AS wearable_{s}_mean,
          stddev_pop(value) FILTER (stream = '{s}') AS wearable_{s}_variability,
-         regr_slope(value, "time" - window_start_unix) FILTER (stream = '{s}') AS wearable_{s}_slope"""
+         nullif(regr_slope(value, "time" - window_start_unix) FILTER (stream = '{s}'), CAST('nan' AS DOUBLE))
+           AS wearable_{s}_slope"""
     for s in ("eda", "temperature")
 ) + """
   FROM assigned GROUP BY ALL)"""
@@ -373,7 +374,7 @@ def value_differences(spark: SparkSession, folder: str) -> DataFrame:
         "event_id", "event_type", epoch_seconds("ts").alias("time"), "value"
     )
     steps = first_difference(
-        events, ["event_type"], "time", "value", "step", block_seconds=DAY, tie=["event_id"]
+        events, ["event_type"], "time", "value", "step", block=time_block(DAY), tie=["event_id"]
     )
     return rounded(steps.select("event_id", "event_type", "step"))
 
