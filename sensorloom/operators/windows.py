@@ -81,17 +81,23 @@ def window_grid(
     )
 
 
-def window_index_of(time: Column, anchor: Column, window_seconds: float) -> Column:
-    """Index of the half-open window that holds ``time``, with the division's rounding repaired."""
+def window_indexes(
+    time: Column, anchor: Column, window_seconds: float, windows: Column
+) -> Column:
+    """Indexes ``i`` with ``anchor + i*w <= time < anchor + i*w + w``, as an array.
+
+    The division only guesses; the bounds themselves decide. Rounding can move the guess by one
+    and can even let two neighbouring windows share an edge sample.
+    """
     width = F.lit(float(window_seconds))
-    guess = F.floor((time - anchor) / width)
-    edge = anchor + guess * width
-    return (
-        F.when(time < edge, guess - 1)
-        .when(time >= edge + width, guess + 1)
-        .otherwise(guess)
-        .cast("long")
-    )
+    guess = F.floor((time - anchor) / width).cast("long")
+
+    def if_inside(index: Column) -> Column:
+        start = anchor + index * width
+        inside = (start <= time) & (time < start + width) & (index >= 0) & (index < windows)
+        return F.when(inside, index)
+
+    return F.array_compact(F.array(if_inside(guess - 1), if_inside(guess), if_inside(guess + 1)))
 
 
 def assign_windows(
@@ -104,21 +110,18 @@ def assign_windows(
 ) -> DataFrame:
     """Give each sample its ``window_index`` and ``window_start_unix``; drop samples outside.
 
-    The windows of a session are disjoint, so the interval join becomes a computed key: one pass
-    over the samples whatever the number of windows.
+    The windows of a session follow each other, so the interval join becomes a computed key: one
+    pass over the samples whatever the number of windows.
     """
     anchors = grid.where(F.col("windows_candidate") > 0).select(
         *keys, "analysis_start", "windows_candidate"
     )
     joined = sized_join(samples, anchors, keys, spread_by=["time"], **join_options)
-    index = window_index_of(F.col("time"), F.col("analysis_start"), window_seconds)
+    start, windows = F.col("analysis_start"), F.col("windows_candidate")
+    indexes = window_indexes(F.col("time"), start, window_seconds, windows)
     return (
-        joined.withColumn("window_index", index)
-        .where((F.col("window_index") >= 0) & (F.col("window_index") < F.col("windows_candidate")))
-        .withColumn(
-            "window_start_unix",
-            F.col("analysis_start") + F.col("window_index") * F.lit(float(window_seconds)),
-        )
+        joined.withColumn("window_index", F.explode(indexes))
+        .withColumn("window_start_unix", start + F.col("window_index") * F.lit(float(window_seconds)))
         .drop("analysis_start", "windows_candidate")
     )
 
