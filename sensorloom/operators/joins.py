@@ -7,8 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorloom.sources.scratch import materialize
+
 BROADCAST_ROWS = 100_000
-SALTS = 32
+HOT_ROWS = 1_000_000
+SALTS = 64
+
+
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, most: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, as a written table of at most about ``most`` rows.
+
+    Counting is one pass over the key columns with partial aggregation. If very many keys exceed
+    ``hot_rows`` the bar rises to a ``most``-th of their rows.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = materialize(counts.where(F.col("_rows") > hot_rows), "hot-keys")
+    total = hot.agg(F.sum("_rows")).first()[0] or 0
+    return hot.where(F.col("_rows") > total // max(most, 1)).select(*keys)
 
 
 def sized_join(
@@ -19,20 +36,32 @@ def sized_join(
     *,
     spread_by: Sequence[str],
     broadcast_rows: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join on ``keys``: broadcast ``per_key`` if it has few rows, salt the keys otherwise.
+    """Join on ``keys`` with a table of one row per key.
 
-    The salted form copies each ``per_key`` row once per salt and spreads the rows of one key of
-    ``large`` over the salts by a hash of ``spread_by``. One key with a third of all rows then
-    becomes ``salts`` join partitions, and a following ``groupBy`` cannot reuse the
-    join's key-only partitioning and so keeps its partial aggregation before the shuffle.
+    A ``per_key`` of at most ``broadcast_rows`` rows (counted) is broadcast. Otherwise the keys of
+    ``large`` are counted: without a hot key this is a plain shuffle join, and with some only
+    those are salted. Their rows spread over ``salts`` partitions by a hash of ``spread_by``, and
+    only their few ``per_key`` rows are copied, so a key with a third of all rows neither fills
+    one task nor multiplies the other table.
     """
     keys = list(keys)
     if per_key.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return large.join(F.broadcast(per_key), keys, how)
-    copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = large.withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    hot = hot_keys(large, keys, hot_rows)
+    if hot.isEmpty():
+        return large.join(per_key, keys, how)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    spread = (
+        large.join(hot, keys, "left")
+        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
+        .drop("_hot")
+    )
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.lit(0))
     )
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    copied = per_key.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return spread.join(copied, [*keys, "_salt"], how).drop("_salt")

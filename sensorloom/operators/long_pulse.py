@@ -267,6 +267,7 @@ def _prominent(indexed: DataFrame, spaced: DataFrame, keys: Sequence[str]) -> Da
             ),
         )
     )
+    answers = materialize(answers, "answers")
     passed = answers.where("stands_out").select(*keys, "chunk", "height", "side")
     for side in ("left", "right"):
         reached = passed.where(F.col("side") == side).select(
@@ -308,8 +309,7 @@ def long_window_features(
     peaks = materialize(
         long_window_peaks(finite_samples(df), keys, rules=rules, block_rows=block_rows), "beats"
     )
-    block = F.floor(F.col("position") / block_rows)
-    rates = interval_summary(beat_intervals(peaks, keys, rules=rules, block=block), keys)
+    rates = interval_summary(beat_intervals(peaks, keys, rules=rules, block_rows=block_rows), keys)
     rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("bvp_window_rows"))
     return (
         rows.join(rates, keys, "left")

@@ -53,10 +53,6 @@ def neighbor(
     )
 
 
-def time_block(seconds: float, time: str = "time") -> Column:
-    return F.floor(F.col(time) / F.lit(float(seconds)))
-
-
 def first_difference(
     df: DataFrame,
     keys: Sequence[str],
@@ -64,25 +60,34 @@ def first_difference(
     value: str,
     name: str,
     *,
-    block: Column | None = None,
     tie: Sequence[str] = (),
+    block: Column | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``value - previous value`` in time order per group; NULL on the first row.
 
-    ``block`` (say :func:`time_block`) must not decrease with time; it cuts long groups into parts
-    that different tasks handle.
+    Groups up to ``block_rows`` rows use a plain window function. If any is larger, all rows are
+    range-partitioned into blocks of about that size and the last row of each block is carried
+    over. ``block`` may give blocks that are already known; it must not decrease with time.
     """
     order = [time, *tie]
-    if block is None:
+    if block is not None:
+        blocked = df.withColumn("_block", block)
+    elif largest_group(df, keys) > block_rows:
+        blocked = ordered_blocks(df, keys, order, blocks_for(df, block_rows))
+    else:
         ordered = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(name, F.col(value) - F.lag(value).over(ordered))
-    blocked = df.withColumn("_block", block)
     with_previous = neighbor(blocked, keys, "_block", order, {value: "_previous"})
     return with_previous.withColumn(name, F.col(value) - F.col("_previous")).drop(
         "_block", "_previous"
     )
 
 
+def blocks_for(df: DataFrame, block_rows: int) -> int:
+    return max(2, -(-df.count() // block_rows))
+
+
 def ordered_blocks(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int
 ) -> DataFrame:
@@ -95,6 +100,12 @@ def ordered_blocks(
     return materialize(ranged, "blocks")
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group; one pass over the keys with partial aggregation."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.max("n")).first()[0] or 0
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -112,9 +123,8 @@ def running_totals(
     """
     keys, order = list(keys), list(order)
     named = df.select("*", *(measure.alias(f"_w_{name}") for name, measure in measures.items()))
-    sizes = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     if rows is None:
-        rows = sizes.agg(F.max("n")).first()[0] or 0
+        rows = largest_group(named, keys)
 
     def before(partition: Sequence[str], names: dict[str, str], by: Sequence[str]) -> list[Column]:
         frame = Window.partitionBy(*partition).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
@@ -127,8 +137,7 @@ def running_totals(
     if rows <= block_rows:
         return named.select("*", *before(keys, weights, order)).drop(*weights)
 
-    total = named.count()
-    blocked = ordered_blocks(named, keys, order, max(2, -(-total // block_rows)))
+    blocked = ordered_blocks(named, keys, order, blocks_for(named, block_rows))
     totals = blocked.groupBy(*keys, "_block").agg(
         *(F.sum(weight).alias(f"{weight}_block") for weight in weights)
     )
@@ -160,8 +169,7 @@ def grouped_median(
     :func:`running_totals`, and the one or two middle values are picked.
     """
     keys = list(keys)
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= block_rows:
+    if largest_group(df, keys) <= block_rows:
         return df.groupBy(*keys).agg(*(F.median(v).alias(f"{v}_median") for v in values))
 
     counted = materialize(

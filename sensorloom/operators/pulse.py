@@ -11,13 +11,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorloom.functions import is_finite
 from sensorloom.operators.joins import sized_join
-from sensorloom.operators.ordering import BLOCK_ROWS, first_difference, grouped_median
+from sensorloom.operators.ordering import (
+    BLOCK_ROWS,
+    first_difference,
+    grouped_median,
+)
 from sensorloom.schema import WINDOW_KEYS
 from sensorloom.sources.scratch import materialize
 
@@ -148,20 +152,26 @@ def guarded_counts(df: DataFrame, keys: Sequence[str], rules: PulseRules = DEFAU
 
 
 def sample_rates(
-    df: DataFrame, keys: Sequence[str], *, block: Column | None = None, tie: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], *, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Samples per second: one over the median time step; NULL if that step is zero or absent."""
-    steps = first_difference(
-        finite_samples(df), keys, "time", "time", "step", block=block, tie=tie
-    )
-    return grouped_median(steps, keys, ["step"]).select(
+    """Samples per second: one over the median time step; NULL if that step is zero or absent.
+
+    Windows above ``block_rows`` samples are cut into blocks of about that size.
+    """
+    finite = finite_samples(df).select(*keys, "time")
+    steps = first_difference(finite, keys, "time", "time", "step", block_rows=block_rows)
+    return grouped_median(steps, keys, ["step"], block_rows=block_rows).select(
         *keys,
         F.when(F.col("step_median") != 0, 1.0 / F.col("step_median")).alias("sample_rate"),
     )
 
 
 def centered_pulse(
-    df: DataFrame, keys: Sequence[str], rules: PulseRules = DEFAULT_RULES
+    df: DataFrame,
+    keys: Sequence[str],
+    rules: PulseRules = DEFAULT_RULES,
+    *,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Per window: median to subtract, prominence floor and population spread."""
     finite = finite_samples(df)
@@ -171,7 +181,7 @@ def centered_pulse(
     stats = finite.groupBy(*keys).agg(
         F.stddev_pop("value").alias("bvp_variability"), floor.alias("prominence_floor")
     )
-    return grouped_median(finite, keys, ["value"]).join(stats, list(keys))
+    return grouped_median(finite, keys, ["value"], block_rows=block_rows).join(stats, list(keys))
 
 
 def bvp_variability(df: DataFrame, keys: Sequence[str], rules: PulseRules = DEFAULT_RULES) -> DataFrame:
@@ -183,8 +193,15 @@ def bvp_variability(df: DataFrame, keys: Sequence[str], rules: PulseRules = DEFA
     )
 
 
-def _split_long(df: DataFrame, keys: Sequence[str], block_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Windows that one task can hold, and those that it should not (None if there are none)."""
+def _split_long(
+    df: DataFrame, keys: Sequence[str], block_rows: int, largest: int | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Windows that one task can hold, and those that it should not (None if there are none).
+
+    ``largest`` is a known bound of the rows of a window; within ``block_rows`` it saves the count.
+    """
+    if largest is not None and largest <= block_rows:
+        return df, None
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     long = sizes.where(F.col("_n") > block_rows).select(*keys)
     if long.isEmpty():
@@ -214,6 +231,7 @@ def pulse_peaks(
     *,
     rules: PulseRules = DEFAULT_RULES,
     block_rows: int = BLOCK_ROWS,
+    largest_window: int | None = None,
 ) -> DataFrame:
     """Detected beats: keys, ``position`` (sample number in its window), ``time``, ``height``.
 
@@ -222,7 +240,7 @@ def pulse_peaks(
     """
     keys = list(keys)
     finite = finite_samples(df).select(*keys, "time", "value")
-    ordinary, long = _split_long(finite, keys, block_rows)
+    ordinary, long = _split_long(finite, keys, block_rows, largest_window)
     schema = T.StructType(
         [
             *_key_fields(df, keys),
@@ -256,13 +274,15 @@ def beat_intervals(
     keys: Sequence[str] = WINDOW_KEYS,
     *,
     rules: PulseRules = DEFAULT_RULES,
-    block: Column | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Plausible intervals between successive beats and the change from the kept one before.
 
     The change is taken over kept intervals, so it can bridge one that was dropped.
-    ``block`` cuts long windows, see :func:`first_difference`.
+    Peaks are handled in blocks of ``block_rows`` sample positions, so a long window takes many
+    tasks.
     """
+    block = F.floor(F.col("position") / block_rows)
     gaps = first_difference(peaks, keys, "time", "time", "interval", block=block)
     kept = gaps.where(F.col("interval").between(rules.shortest_interval, rules.longest_interval))
     return first_difference(
@@ -286,11 +306,12 @@ def pulse_features(
     *,
     rules: PulseRules = DEFAULT_RULES,
     block_rows: int = BLOCK_ROWS,
+    largest_window: int | None = None,
 ) -> DataFrame:
     """One row per window with ``bvp_window_rows`` and the three pulse features."""
     keys = list(keys)
     samples = df.select(*keys, "time", "value")
-    ordinary, long = _split_long(samples, keys, block_rows)
+    ordinary, long = _split_long(samples, keys, block_rows, largest_window)
     schema = T.StructType(
         [
             *_key_fields(df, keys),

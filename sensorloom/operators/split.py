@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions import half_even_count
 from sensorloom.operators.joins import sized_join
 from sensorloom.schema import TARGET
+from sensorloom.sources.scratch import materialize
 
 SPLITS = ("train", "validation", "test")
 # Fewest subjects that can be split; leading hex digits of the hash used as blocks.
@@ -47,6 +48,7 @@ def split_subjects(
         .withColumn("_hash", digest)
         .withColumn("_prefix", F.substring("_hash", 1, HASH_DIGITS))
     )
+    hashed = materialize(hashed, "subjects")  # read twice; the rows behind it can be many
     by_prefix = Window.orderBy("_prefix")  # at most 16 ** HASH_DIGITS rows
     counts = hashed.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_count"))
     offsets = counts.select(

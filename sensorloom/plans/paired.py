@@ -69,6 +69,7 @@ def window_features(
         assign_windows(bvp, anchors, window_seconds=width),
         rules=settings.pulse,
         block_rows=settings.block_rows,
+        largest_window=grid.agg(F.max("bvp_rows")).first()[0],
     )
     keys = list(WINDOW_KEYS)
     return brain.join(skin, keys).join(pulse, keys).where(enough_rows(settings.minimum_rows))

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.operators.ordering import time_block
 from sensorloom.operators.pulse import (
     PulseRules,
     beat_intervals,
@@ -153,8 +152,8 @@ def sample_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def blocked_sample_rate(spark: SparkSession, folder: str) -> DataFrame:
-    """Steps over time blocks of five days, as long signals get."""
-    return rounded(sample_rates(user_signal(spark, folder), SESSION_KEYS, block=time_block(5.0)))
+    """The same rates where signals above forty samples are cut into blocks."""
+    return rounded(sample_rates(user_signal(spark, folder), SESSION_KEYS, block_rows=40))
 
 
 SAMPLE_RATE = f"""

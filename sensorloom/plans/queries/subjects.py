@@ -77,6 +77,7 @@ def salted_attached_split(spark: SparkSession, folder: str) -> DataFrame:
         membership(spark, folder),
         subject="l_orderkey",
         broadcast_rows=0,
+        hot_rows=5,
         salts=8,
     )
 

@@ -16,7 +16,7 @@ from sensorloom.operators.features import (
     spread,
     trend,
 )
-from sensorloom.operators.ordering import first_difference, time_block
+from sensorloom.operators.ordering import first_difference
 from sensorloom.operators.pulse import finite_samples
 from sensorloom.operators.windows import (
     assign_windows,
@@ -144,7 +144,7 @@ def salted_window_assignment(spark: SparkSession, folder: str) -> DataFrame:
     """The same assignment with the salted join that large session tables get."""
     samples = event_samples(spark, folder)
     assigned = assign_windows(
-        samples, _grid(samples), window_seconds=WIDTH, broadcast_rows=0, salts=8
+        samples, _grid(samples), window_seconds=WIDTH, broadcast_rows=0, hot_rows=50, salts=8
     )
     return rounded(assigned.select("event_id", "stream", "window_index", "window_start_unix"))
 
@@ -366,15 +366,16 @@ SELECT patient_id, condition, window_index, 1 AS eeg_available, 1 AS wearable_av
 
 
 def value_differences(spark: SparkSession, folder: str) -> DataFrame:
-    """Step of each event's value per event type, in time blocks of a day.
+    """Step of each event's value per event type.
 
-    There are only five event types, so each has a large share of all rows.
+    There are only five event types, each with a large share of all rows, so they are cut into
+    blocks (here of a thousand rows).
     """
     events = table(spark, folder, "events").select(
         "event_id", "event_type", epoch_seconds("ts").alias("time"), "value"
     )
     steps = first_difference(
-        events, ["event_type"], "time", "value", "step", block=time_block(DAY), tie=["event_id"]
+        events, ["event_type"], "time", "value", "step", tie=["event_id"], block_rows=1_000
     )
     return rounded(steps.select("event_id", "event_type", "step"))
 

@@ -61,7 +61,8 @@ def run_study(
     ``membership`` may give an explicit subject split; otherwise the seeded one is used. Fusion
     weights come from validation rows only and the fallback is the training base rate.
     """
-    if membership is None:
+    given = membership is not None
+    if not given:
         membership = materialize(
             split_subjects(
                 paired,
@@ -71,7 +72,7 @@ def run_study(
             ),
             "membership",
         )
-    rows = materialize(attach_split(paired, membership), "split-rows")
+    rows = materialize(attach_split(paired, membership, strict=given), "split-rows")
     heads = fit_heads(
         rows,
         {"eeg": settings.eeg_features, "wearable": settings.wearable_features},

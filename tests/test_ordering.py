@@ -37,6 +37,8 @@ def test_first_difference_forms_agree(spark):
     df = _skewed(spark)
     plain = first_difference(df, ["k"], "t", "v", "d").select("k", "t", "d")
     blocked = first_difference(df, ["k"], "t", "v", "d", block=F.floor(F.col("t") / 100)).select("k", "t", "d")
+    ranged = first_difference(df, ["k"], "t", "v", "d", block_rows=100).select("k", "t", "d")
+    assert sorted(plain.collect(), key=str) == sorted(ranged.collect(), key=str)
     assert sorted(plain.collect(), key=str) == sorted(blocked.collect(), key=str)
 
 
