@@ -81,13 +81,13 @@ def window_grid(
     )
 
 
-def window_indexes(
+def window_bounds_of(
     time: Column, anchor: Column, window_seconds: float, windows: Column
-) -> Column:
-    """Indexes ``i`` with ``anchor + i*w <= time < anchor + i*w + w``, as an array.
+) -> tuple[Column, Column]:
+    """First and last index ``i`` with ``anchor + i*w <= time < anchor + i*w + w``; NULL if none.
 
     The division only guesses; the bounds themselves decide. Rounding can move the guess by one
-    and can even let two neighbouring windows share an edge sample.
+    and can even let two neighbouring windows share an edge sample, so there may be two.
     """
     width = F.lit(float(window_seconds))
     guess = F.floor((time - anchor) / width).cast("long")
@@ -97,7 +97,8 @@ def window_indexes(
         inside = (start <= time) & (time < start + width) & (index >= 0) & (index < windows)
         return F.when(inside, index)
 
-    return F.array_compact(F.array(if_inside(guess - 1), if_inside(guess), if_inside(guess + 1)))
+    tried = [if_inside(guess - 1), if_inside(guess), if_inside(guess + 1)]
+    return F.coalesce(*tried), F.coalesce(*reversed(tried))
 
 
 def assign_windows(
@@ -118,11 +119,13 @@ def assign_windows(
     )
     joined = sized_join(samples, anchors, keys, spread_by=["time"], **join_options)
     start, windows = F.col("analysis_start"), F.col("windows_candidate")
-    indexes = window_indexes(F.col("time"), start, window_seconds, windows)
+    first, last = window_bounds_of(F.col("time"), start, window_seconds, windows)
     return (
-        joined.withColumn("window_index", F.explode(indexes))
+        joined.withColumn("_first", first)
+        .where(F.col("_first").isNotNull())
+        .withColumn("window_index", F.explode(F.sequence(F.col("_first"), last)))
         .withColumn("window_start_unix", start + F.col("window_index") * F.lit(float(window_seconds)))
-        .drop("analysis_start", "windows_candidate")
+        .drop("analysis_start", "windows_candidate", "_first")
     )
 
 

@@ -35,6 +35,27 @@ def cached_table(
     return spark.read.parquet(path)
 
 
+def store_samples(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Long samples as Parquet, one folder per stream and condition, sorted inside the files.
+
+    Text scans parse every column of every pass; from here a pass over one stream opens only that
+    stream's folder, and session and time ranges skip row groups.
+    """
+    order = ["stream", "condition", "patient_id", "time"]
+    (
+        samples.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .write.mode(mode)
+        .partitionBy("stream", "condition")
+        .parquet(path)
+    )
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    columns = ["patient_id", "condition", "stream", "time", "value"]
+    return spark.read.parquet(path).select(*columns)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 

@@ -5,6 +5,7 @@ import hashlib
 import pytest
 
 from sensorloom.schema import EEG_CHANNELS
+from sensorloom.sources import scratch
 from sensorloom.sources.checksums import file_checksums, parse_manifest, verify_checksums
 from sensorloom.sources.numeric import STREAM_FILES, eeg_marks, load_eeg, load_samples, scan_numeric_csv
 from sensorloom.sources.scratch import scratch_root
@@ -15,7 +16,7 @@ from sensorloom.sources.sessions import (
     require_complete,
     session_index,
 )
-from sensorloom.sources.tables import cached_table
+from sensorloom.sources.tables import cached_table, read_samples, store_samples
 
 
 def _write_raw(root, participants=(0, 12)):
@@ -51,6 +52,16 @@ def test_raw_layout(spark, tmp_path):
     assert marks.columns == samples.columns and marks.count() == 4
 
 
+def test_stored_samples_prune_by_stream(spark, tmp_path):
+    _write_raw(tmp_path / "raw")
+    samples = load_samples(spark, str(tmp_path / "raw"))
+    store_samples(samples, str(tmp_path / "stored"))
+    stored = read_samples(spark, str(tmp_path / "stored"))
+    assert sorted(map(tuple, stored.collect()), key=str) == sorted(map(tuple, samples.collect()), key=str)
+    plan = stored.where("stream = 'bvp'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(stream" in plan
+
+
 def test_only_named_columns_are_read(spark, tmp_path):
     _write_raw(tmp_path, [1])
     path = f"{tmp_path}/1/baseline/muse_eeg.csv"
@@ -103,6 +114,14 @@ def test_cache_depends_on_parameters(spark, tmp_path):
     assert built == [3, 4, 3]
 
 
+def test_scratch_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "scratch_root", lambda _: str(tmp_path))
+    kept = scratch.materialize(spark.range(3))
+    assert kept.count() == 3 and any(tmp_path.rglob("*.parquet"))
+    scratch.clear_scratch(spark)
+    assert not any(tmp_path.rglob("*.parquet"))
+
+
 def test_scratch_follows_the_session_setting(spark):
     before = spark.conf.get("spark.checkpoint.dir", None)
     assert before or scratch_root(spark)
