@@ -23,10 +23,10 @@ LIMITATIONS = ("Research output, not a diagnosis or clinical recommendation.",)
 
 
 def top_contributions(values: Sequence[tuple[str, Column]], top_k: int = 4) -> Column:
-    """The ``top_k`` largest contributions by magnitude as (feature, contribution) structs.
+    """The ``top_k`` largest contributions by magnitude: structs with ``feature``, ``contribution``.
 
-    Sorted inside the row, so there is no shuffle; equal magnitudes keep feature order and NULL
-    contributions come last.
+    Sorted inside the row by generated code, so there is no shuffle and no lambda; equal
+    magnitudes keep feature order and NULL contributions come last.
     """
     entries = F.array(
         *(
@@ -39,16 +39,18 @@ def top_contributions(values: Sequence[tuple[str, Column]], top_k: int = 4) -> C
             for at, (feature, value) in enumerate(values)
         )
     )
-    best = F.slice(F.array_sort(entries), 1, top_k)
-    return F.transform(
-        best, lambda e: F.struct(e["feature"].alias("feature"), e["contribution"].alias("contribution"))
-    )
+    return F.slice(F.sort_array(entries), 1, top_k)
 
 
 def head_contributions(head: LogisticHead, top_k: int = 4) -> Column:
     return top_contributions([(f, head.contribution(f)) for f in head.features], top_k)
 
 
+def contribution_map(head: LogisticHead, top_k: int = 4) -> Column:
+    best = head_contributions(head, top_k)
+    return F.map_from_arrays(best["feature"], best["contribution"])
+
+
 def explanations(
     df: DataFrame,
     eeg_head: LogisticHead,
@@ -72,10 +74,8 @@ def explanations(
         "beta_wearable",
         "combined_probability",
         weights.alias("fusion_weights"),
-        F.map_from_entries(head_contributions(eeg_head, top_k)).alias("eeg_linear_contributions"),
-        F.map_from_entries(head_contributions(wearable_head, top_k)).alias(
-            "wearable_linear_contributions"
-        ),
+        contribution_map(eeg_head, top_k).alias("eeg_linear_contributions"),
+        contribution_map(wearable_head, top_k).alias("wearable_linear_contributions"),
         F.array(*(F.lit(text) for text in limitations)).alias("limitations"),
     )
 

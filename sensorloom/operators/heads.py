@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions import sigmoid
 from sensorloom.functions.scalar import LOGIT_BOUND, LOSS_EPSILON
 from sensorloom.operators.blocks import pack_blocks, sum_over_blocks
-from sensorloom.operators.ordering import BLOCK_ROWS, column_medians
+from sensorloom.operators.ordering import SMALL_ROWS, column_medians
 from sensorloom.schema import TARGET
 
 # Fixed value: a spread below this counts as constant and is replaced by one.
@@ -46,7 +46,7 @@ class Standardizer:
 
 
 def fit_standardizer(
-    train: DataFrame, features: Sequence[str], *, small_rows: int = BLOCK_ROWS
+    train: DataFrame, features: Sequence[str], *, small_rows: int = SMALL_ROWS
 ) -> Standardizer:
     """Medians of the known values, then mean and population spread of the filled columns."""
     medians = {
@@ -133,7 +133,7 @@ def fit_heads(
     learning_rate: float = 0.05,
     epochs: int = 2000,
     l2: float = 0.01,
-    small_rows: int = BLOCK_ROWS,
+    small_rows: int = SMALL_ROWS,
 ) -> FittedHeads:
     """Fit all heads together by full-batch gradient descent from zero.
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sensorloom.sources.scratch import materialize
 
-BROADCAST_ROWS = 100_000
+# Keys and a few numbers take about 100 bytes a row, so this is some 25 MB per executor.
+BROADCAST_ROWS = 250_000
 HOT_ROWS = 1_000_000
 SALTS = 64
 

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from sensorloom.sources.scratch import materialize
 
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS = 250_000
+# Rows up to which a built-in exact median of whole columns is the quicker way.
+SMALL_ROWS = 1_000_000
 
 
 def neighbor(
@@ -208,7 +210,7 @@ def column_medians(
     df: DataFrame,
     values: Sequence[str],
     *,
-    small_rows: int = BLOCK_ROWS,
+    small_rows: int = SMALL_ROWS,
     accuracy: int = 10_000,
 ) -> dict[str, float | None]:
     """Exact interpolating median of whole columns, as scalars, without sorting the table.

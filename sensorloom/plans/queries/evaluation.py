@@ -268,10 +268,8 @@ def _payloads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def explanation_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """The scalar part of every payload, and its sum of shown contributions."""
-    shown = F.aggregate(
-        F.map_values("eeg_linear_contributions"), F.lit(0.0), lambda total, value: total + value
-    )
+    """The scalar part of every payload, and the sum of the two contributions it shows."""
+    shown = F.map_values("eeg_linear_contributions")
     return rounded(
         _payloads(spark, folder).select(
             *SESSION_KEYS,
@@ -284,7 +282,7 @@ def explanation_payloads(spark: SparkSession, folder: str) -> DataFrame:
             F.col("fusion_weights")["eeg"].alias("weight_eeg"),
             F.col("fusion_weights")["wearable"].alias("weight_wearable"),
             F.size("limitations").alias("limitations"),
-            shown.alias("shown_contributions"),
+            (shown[0] + shown[1]).alias("shown_contributions"),
         )
     )
 

@@ -125,10 +125,13 @@ def metrics_document(
     heads: FittedHeads,
     fusion: FittedFusion,
     scope_warning: str,
+    *,
+    listed_subjects: int = 10_000,
 ) -> DataFrame:
-    """One row: metrics per model and level, fusion weights, checkpoints, split sizes, warning.
+    """One row: metrics per model and level, fusion weights, checkpoints, splits, warning.
 
-    The membership itself is a table of its own and can be long, so only its counts are nested.
+    The subjects of each split are listed if there are at most ``listed_subjects``. A longer
+    membership does not belong in one row: only its counts are nested, the table holds the rest.
     """
     values = F.struct("auroc", "log_loss", "accuracy", "balanced_accuracy")
     scores = metrics.groupBy("model").agg(
@@ -138,6 +141,14 @@ def metrics_document(
         F.map_from_entries(F.collect_list(F.struct("model", "levels"))).alias("metrics")
     )
     counts = membership.groupBy("split").agg(F.count(F.lit(1)).alias("subjects")).collect()
+    listed = sum(row["subjects"] for row in counts) <= listed_subjects
+    subjects = (
+        membership.groupBy("split")
+        .agg(F.sort_array(F.collect_list(F.col(membership.columns[0]).cast("string"))).alias("ids"))
+        .collect()
+        if listed
+        else []
+    )
     weights = fusion.fusion
 
     def literal_map(entries: dict) -> Column:
@@ -157,7 +168,16 @@ def metrics_document(
                 for name, head in heads.heads.items()
             }
         ).alias("selected_checkpoints"),
-        literal_map({row["split"]: F.lit(row["subjects"]) for row in counts}).alias("split_subjects"),
+        literal_map({row["split"]: F.lit(row["subjects"]) for row in counts}).alias("split_sizes"),
+        *(
+            [
+                literal_map(
+                    {row["split"]: F.array(*map(F.lit, row["ids"])) for row in subjects}
+                ).alias("split_subjects")
+            ]
+            if listed
+            else []
+        ),
         F.lit(scope_warning).alias("scope_warning"),
     )
 

@@ -244,6 +244,6 @@ def test_whole_study(spark, tmp_path):
     written = {p.name for p in (tmp_path / "out").iterdir()}
     assert len(written) == 11 and {"metrics", "explanations", "ablation", "eeg_training_curve"} <= written
     document = spark.read.json(str(tmp_path / "out" / "metrics")).first()
-    assert document["split_subjects"]["train"] == 6
+    assert document["split_sizes"]["train"] == 6 and len(document["split_subjects"]["test"]) == 2
     explicit = result.membership.withColumn("split", F.reverse(F.col("split")))
     assert explicit.count() == 10
