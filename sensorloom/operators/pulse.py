@@ -92,15 +92,16 @@ def base_levels(
 
 
 def _base_levels(heights: np.ndarray, valley_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    bases = np.minimum(heights, valley_before)
-    walled = np.zeros(len(heights), dtype=bool)
+    """Lowest value since the last higher wall, and whether there is one, wall by wall."""
+    tops, bases = heights.tolist(), np.minimum(heights, valley_before).tolist()
+    walled = []
     higher: list[int] = []
-    for k in range(len(heights)):
-        while higher and heights[higher[-1]] <= heights[k]:
+    for k, top in enumerate(tops):
+        while higher and tops[higher[-1]] <= top:
             bases[k] = min(bases[k], bases[higher.pop()])
-        walled[k] = bool(higher)
+        walled.append(bool(higher))
         higher.append(k)
-    return bases, walled
+    return np.array(bases), np.array(walled, dtype=bool)
 
 
 def prominences(values: np.ndarray, peaks: np.ndarray) -> np.ndarray:

@@ -39,13 +39,16 @@ from sensorloom.sources.tables import cached_table, write_csv, write_json
 
 
 def _spoiled_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as text, with unusable times and values where the payload number says so."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    """Events as text: sign-ups have no usable time, errors and views no usable value."""
+    kind = F.col("event_type")
     return table(spark, folder, "events").select(
         "event_id",
         "event_type",
-        F.when(k % 11 == 0, "late").otherwise(epoch_seconds("ts").cast("string")).alias("time"),
-        F.when(k % 9 == 0, "n/a").when(k % 9 == 1, "").otherwise(F.col("value").cast("string")).alias("value"),
+        F.when(kind == "signup", "late").otherwise(epoch_seconds("ts").cast("string")).alias("time"),
+        F.when(kind == "error", "n/a")
+        .when(kind == "view", "")
+        .otherwise(F.col("value").cast("string"))
+        .alias("value"),
         "props",
     )
 
@@ -59,24 +62,24 @@ def numeric_csv_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 NUMERIC_CSV_SCAN = f"""
 SELECT event_id, {r('epoch_us(ts) / 1e6')} AS "time",
-       {r("CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 9 > 1 THEN value END")} AS value
-FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) % 11 <> 0"""
+       {r("CASE WHEN event_type NOT IN ('error', 'view') THEN value END")} AS value
+FROM events WHERE event_type <> 'signup'"""
 
 
 def drop_null_time(spark: SparkSession, folder: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
+    """Sign-ups come without a time and errors without a value; only the former are dropped."""
     timed = table(spark, folder, "events").select(
         "event_id",
-        F.when(k % 11 != 0, epoch_seconds("ts")).alias("time"),
-        F.when(k % 5 != 0, F.col("value")).alias("value"),
+        F.when(F.col("event_type") != "signup", epoch_seconds("ts")).alias("time"),
+        F.when(F.col("event_type") != "error", F.col("value")).alias("value"),
     )
     return rounded(timed.dropna(subset=["time"]))
 
 
 DROP_NULL_TIME = f"""
 SELECT event_id, {r('epoch_us(ts) / 1e6')} AS "time",
-       {r("CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 <> 0 THEN value END")} AS value
-FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) % 11 <> 0"""
+       {r("CASE WHEN event_type <> 'error' THEN value END")} AS value
+FROM events WHERE event_type <> 'signup'"""
 
 
 def lenient_cast(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,16 +100,15 @@ FROM events"""
 
 
 def device_worn_rows(spark: SparkSession, folder: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    flagged = table(spark, folder, "events").select(
-        "event_id",
-        F.when(k % 4 == 0, F.lit(None)).when(k % 4 == 1, 0.0).otherwise(1.0).alias(WORN_COLUMN),
-    )
+    """The flag is unknown for sign-ups, zero for errors and one otherwise."""
+    kind = F.col("event_type")
+    worn = F.when(kind == "signup", F.lit(None)).when(kind == "error", 0.0).otherwise(1.0)
+    flagged = table(spark, folder, "events").select("event_id", worn.alias(WORN_COLUMN))
     return device_worn(flagged).select("event_id")
 
 
 DEVICE_WORN_ROWS = """
-SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 > 1"""
+SELECT event_id FROM events WHERE event_type NOT IN ('signup', 'error')"""
 
 
 def session_streams(spark: SparkSession, folder: str) -> DataFrame:
@@ -245,8 +247,7 @@ def _document_paths(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(
         F.format_string("texts/%d.txt", "doc_id").alias("path"),
         F.sha2("text", 256).alias("checksum"),
-        "doc_id",
-        "n_chars",
+        "lang",
     )
 
 
@@ -263,11 +264,11 @@ SELECT sha256(text) AS checksum, concat('texts/', doc_id, '.txt') AS path FROM d
 
 
 def checksum_verification(spark: SparkSession, folder: str) -> DataFrame:
-    """Each text against a manifest that is right, wrong or silent, by its length."""
+    """Each text against a manifest that is right for English, wrong for French, silent otherwise."""
     documents = _document_paths(spark, folder)
-    manifest = documents.where(F.col("n_chars") % 3 != 0).select(
+    manifest = documents.where(F.col("lang").isin("en", "fr")).select(
         "path",
-        F.when(F.col("n_chars") % 3 == 1, F.col("checksum"))
+        F.when(F.col("lang") == "en", F.col("checksum"))
         .otherwise(F.sha2("path", 256))
         .alias("checksum"),
     )
@@ -276,9 +277,9 @@ def checksum_verification(spark: SparkSession, folder: str) -> DataFrame:
 
 CHECKSUM_VERIFICATION = """
 SELECT concat('texts/', doc_id, '.txt') AS path, sha256(text) AS checksum,
-       CASE n_chars % 3 WHEN 1 THEN sha256(text) WHEN 2 THEN sha256(concat('texts/', doc_id, '.txt')) END
+       CASE lang WHEN 'en' THEN sha256(text) WHEN 'fr' THEN sha256(concat('texts/', doc_id, '.txt')) END
          AS expected,
-       CASE n_chars % 3 WHEN 0 THEN 'unlisted' WHEN 1 THEN 'verified' ELSE 'mismatch' END AS status
+       CASE lang WHEN 'en' THEN 'verified' WHEN 'fr' THEN 'mismatch' ELSE 'unlisted' END AS status
 FROM documents"""
 
 

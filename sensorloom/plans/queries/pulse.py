@@ -133,18 +133,18 @@ _SIGNAL_PULSE = f"WITH RECURSIVE {SIGNAL_CTES},\n{pulse_sql('signal', SESSION_KE
 
 
 def pulse_guard(spark: SparkSession, folder: str) -> DataFrame:
-    k = F.col("k")
+    """Large values spoiled as infinite, small ones as not a number."""
+    value = F.col("value")
     spoiled = user_signal(spark, folder).withColumn(
-        "value",
-        F.when(k % 5 == 0, float("inf")).when(k % 5 < 4, float("nan")).otherwise(F.col("value")),
+        "value", F.when(value > 100, float("inf")).when(value < 60, float("nan")).otherwise(value)
     )
     return guarded_counts(spoiled, SESSION_KEYS)
 
 
 PULSE_GUARD = f"""
 WITH {SIGNAL_CTES}
-SELECT patient_id, condition, count(CASE WHEN k % 5 = 4 THEN 1 END) AS finite_samples,
-       count(CASE WHEN k % 5 = 4 THEN 1 END) >= 3 AS is_usable FROM signal GROUP BY ALL"""
+SELECT patient_id, condition, count(CASE WHEN value BETWEEN 60 AND 100 THEN 1 END) AS finite_samples,
+       count(CASE WHEN value BETWEEN 60 AND 100 THEN 1 END) >= 3 AS is_usable FROM signal GROUP BY ALL"""
 
 
 def sample_rate(spark: SparkSession, folder: str) -> DataFrame:

@@ -91,13 +91,14 @@ FROM samples WHERE "time" >= 1704499200.0 AND "time" < 1705104000.0"""
 
 
 def finite_mask(spark: SparkSession, folder: str) -> DataFrame:
+    """Values spoiled by stream and by size."""
     spoiled = event_samples(spark, folder).select(
         "event_id",
         "time",
-        F.when(F.col("k") % 8 == 0, float("nan"))
-        .when(F.col("k") % 8 == 1, float("inf"))
-        .when(F.col("k") % 8 == 2, float("-inf"))
-        .when(F.col("k") % 8 == 3, F.lit(None))
+        F.when(F.col("stream") == "eeg", float("nan"))
+        .when(F.col("value") > 100, float("inf"))
+        .when(F.col("value") < 1, float("-inf"))
+        .when(F.col("stream") == "bvp", F.lit(None))
         .otherwise(F.col("value"))
         .alias("value"),
     )
@@ -106,7 +107,7 @@ def finite_mask(spark: SparkSession, folder: str) -> DataFrame:
 
 FINITE_MASK = f"""
 WITH {SAMPLES_SQL} SELECT event_id, {r('"time"')} AS "time", {r('value')} AS value
-FROM samples WHERE k % 8 > 3"""
+FROM samples WHERE stream NOT IN ('eeg', 'bvp') AND value BETWEEN 1 AND 100"""
 
 
 def stream_overlap(spark: SparkSession, folder: str) -> DataFrame:
