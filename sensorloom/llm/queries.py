@@ -127,7 +127,7 @@ JUDGED_SQL = f"WITH {judged_sql()} SELECT * EXCLUDE (text, lang, source, n_chars
 
 def contained_sql(source: str = "documents") -> str:
     """CTEs up to ``leaks``. Items of fewer than five words are one shingle of all their words."""
-    five = "list_transform(range(1, len(words) - width + 2), i -> array_to_string(words[i:i + width - 1], ' '))"
+    five = "[array_to_string(words[i:i + width - 1], ' ') for i in range(1, len(words) - width + 2)]"
     return f"""leak_items AS (
   SELECT item_id, item_key, words, least(5, len(words)) AS width FROM (
     SELECT item_id, row_number() OVER () AS item_key, {WORDS_SQL.replace("text", LOWER_SQL)} AS words FROM benchmark)
