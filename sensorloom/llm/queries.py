@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import contamination, host_rules, packing, simhash, site_lines
+from sensorloom.llm import chat, contamination, host_rules, packing, page_text, simhash, site_lines, toxicity
 from sensorloom.sources.package import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,42 @@ def leaks(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def extracted(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.extract_main_text(table(spark, folder, "pages"))
+
+
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    machine = toxicity.fit_toxicity(docs, table(spark, folder, "labels"), learnable=~held_out)
+    return toxicity.score_toxicity(docs, machine).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+def formatted(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    text = "\\### Assistant: </turn> ok"
+    added = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
+    return chat.read_back(chat.format_turns(turns.unionByName(added)))
+
+
+FORMATTED_SQL = r"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+rendered AS (
+  SELECT *, (length(text) - length(replace(text, '### ', ''))) // 4
+            + (length(text) - length(replace(text, '</turn>', ''))) // 7
+            + length(text) - length(replace(text, '\', '')) AS escapes
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(role) + length(text) + escapes + 14) AS BIGINT) AS formatted_chars
+FROM rendered GROUP BY conv_id"""
+
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -152,7 +188,10 @@ SELECT doc_id, item_id, n_shared, n_shingles, containment FROM leaks JOIN leak_d
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_best_fit_packing": (packed, None),
     "op3_simhash_near_duplicates": (near_duplicates, None),
+    "op4_page_main_text": (extracted, None),
+    "op5_toxicity_pairs": (toxic, None),
     "op7_site_line_removal": (site_line_removal, SITE_LINES_SQL),
     "op8_host_quality_rules": (host_judged, JUDGED_SQL),
+    "op9_chat_round_trip": (formatted, FORMATTED_SQL),
     "op10_benchmark_leaks": (leaks, LEAKS_SQL),
 }
