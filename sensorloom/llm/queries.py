@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import chat, contamination, host_rules, packing, page_text, simhash, site_lines, toxicity
+from sensorloom.llm import chat, contamination, host_rules, katz, packing, page_text, simhash, site_lines, toxicity
 from sensorloom.sources.package import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Learns from the documents whose crc32 of the id is not divisible by ten."""
+    learnable = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
+    return katz.score_texts(table(spark, folder, "documents").select("doc_id", "text"), learnable)
+
+
 def packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
@@ -186,6 +192,7 @@ LEAKS_SQL = f"""WITH {contained_sql()}
 SELECT doc_id, item_id, n_shared, n_shingles, containment FROM leaks JOIN leak_docs USING (row_key)"""
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_katz_backoff": (language_model, None),
     "op2_best_fit_packing": (packed, None),
     "op3_simhash_near_duplicates": (near_duplicates, None),
     "op4_page_main_text": (extracted, None),
