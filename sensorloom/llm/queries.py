@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import chat, contamination, host_rules, katz, packing, page_text, simhash, site_lines, toxicity
+from sensorloom.llm import chat, contamination, host_rules, katz, packing, page_text, passages, simhash, site_lines, toxicity
 from sensorloom.sources.package import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,10 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length(role) + length(text) + escapes + 14) AS BIGINT) AS formatted_chars
 FROM rendered GROUP BY conv_id"""
 
+def repeated(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
+
+
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -197,6 +201,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op3_simhash_near_duplicates": (near_duplicates, None),
     "op4_page_main_text": (extracted, None),
     "op5_toxicity_pairs": (toxic, None),
+    "op6_repeated_passages": (repeated, None),
     "op7_site_line_removal": (site_line_removal, SITE_LINES_SQL),
     "op8_host_quality_rules": (host_judged, JUDGED_SQL),
     "op9_chat_round_trip": (formatted, FORMATTED_SQL),
