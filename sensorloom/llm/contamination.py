@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorloom.llm.tables import quoted
+from sensorloom.llm.tables import filled, quoted
 from sensorloom.llm.words import LOWERED, chunks, joined_hashes, mixed, split_words, window_starts, word_hashes
 
 SHINGLE = 5
@@ -231,21 +231,18 @@ def drop_contaminated(
     context = docs.sparkSession.sparkContext
     for block in item_blocks(items, item_id, item_text):
         index = context.broadcast(ItemIndex(block))
-        docs = docs.withColumn("contamination_text", F.coalesce(F.col(quoted(text)), F.lit("")))
-        schema = T.StructType(docs.schema.fields[:-1])
-        docs = docs.mapInArrow(_clean_rows(index), schema)
+        docs = docs.mapInArrow(_clean_rows(index, docs.columns.index(text)), docs.schema)
     return docs
 
 
-def _clean_rows(index):
+def _clean_rows(index, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *kept, texts = batch.columns
+            texts = filled(batch.column(at))
             clean = np.ones(len(texts), dtype=bool)
             for start, stop in chunks(texts):
                 for row, _, _ in index.value.matches(texts.slice(start, stop - start)):
                     clean[start + row] = False
-            rows = pa.array(np.flatnonzero(clean))
-            yield pa.RecordBatch.from_arrays([c.take(rows) for c in kept], names=batch.schema.names[:-1])
+            yield batch if clean.all() else batch.filter(pa.array(clean))
 
     return run

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.llm import chat, contamination, host_rules, katz, packing, page_text, passages, simhash, site_lines, toxicity
-from sensorloom.sources.package import ship_package
+from sensorloom.llm.tables import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table; the Python workers can import this package from here on."""
-    ship_package(spark)
+    """A given table, for a session that is ready for the operators."""
+    ready(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorloom.sources.package import ship_package
+
 BROADCAST_ROWS = 100_000
+BATCH_ROWS = 1_000
 
 Kernel = Callable[[pa.Array], Sequence[pa.Array]]
 
@@ -29,18 +32,31 @@ def with_text_columns(
 
     Rows keep their partition and need no key. ``fields`` must not clash with columns of ``df``.
     """
-    source = fresh(df, "kernel_text")
-    prepared = df.withColumn(source, F.coalesce(F.col(quoted(text)), F.lit("")))
+    at = [f.name for f in df.schema.fields].index(text)
     schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *kept, texts = batch.columns
+            made = kernel(filled(batch.column(at)))
             yield pa.RecordBatch.from_arrays(
-                [*kept, *kernel(texts)], names=[*batch.schema.names[:-1], *(f.name for f in fields)]
+                [*batch.columns, *made], names=[*batch.schema.names, *(f.name for f in fields)]
             )
 
-    return prepared.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
+
+
+def filled(texts: pa.Array) -> pa.Array:
+    """The texts with empty ones for nulls."""
+    return texts.fill_null("") if texts.null_count else texts
+
+
+def ready(spark: SparkSession) -> None:
+    """Before the operators of this package run: workers can import it, and take texts in batches of a few MB.
+
+    A batch of Spark's default of 10,000 rows can hold a GB of long texts.
+    """
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def quoted(name: str) -> str:
