@@ -94,16 +94,24 @@ def _refined(masks: list[int]) -> list[int]:
     return [mask & ~part for mask in masks for part in _parts(mask)]
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
-
-
-def _expanded(points: DataFrame, masks: list[int]) -> DataFrame:
-    """``open, key, fingerprint`` for each mask: the key is the fingerprint's fixed bits."""
-    options = F.explode(F.array(*(F.lit(_signed(m)) for m in masks)))
-    return points.select("fingerprint", options.alias("open")).select(
-        "open", F.col("fingerprint").bitwiseAND(F.bitwise_not("open")).alias("key"), "fingerprint"
-    )
+_BLOCKED = "open long, key long, fingerprint long"
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints with the mask of their block -> rows of the smaller blocks; the key is the bits that are fixed."""
+    for batch in batches:
+        points, masks = (c.to_numpy().view(np.uint64) for c in batch.columns)
+        for mask in np.unique(masks).tolist():
+            chosen = points[masks == np.uint64(mask)]
+            for smaller in _refined([mask]):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(chosen), np.uint64(smaller)).view(np.int64)),
+                        pa.array((chosen & np.uint64(~smaller % (1 << BITS))).view(np.int64)),
+                        pa.array(chosen.view(np.int64)),
+                    ],
+                    names=["open", "key", "fingerprint"],
+                )
 
 
 def ring_pairs(points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -161,76 +169,77 @@ _LINKS = T.StructType(
 )
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block -> links; a block above BLOCK_ROWS is passed on as rows with their mask."""
-    names = ["a", "b", "open"]
-    none = np.zeros(0, dtype=np.int64)
-    held, key, too_large = none, None, False
-
-    def links(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        points = np.unique(points)
-        i, j = spanning_links(points.view(np.uint64)) if len(points) > 1 else (none, none)
-        return points[i], points[j]
-
-    def batch(a, b, mask=None):
-        mask = pa.nulls(len(a), pa.int64()) if mask is None else pa.array(mask)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), mask], names=names)
-
-    for rows in batches:
-        masks, keys, points = (c.to_numpy(zero_copy_only=False) for c in rows.columns)
-        if not len(points):
-            continue
-        cuts = np.flatnonzero((masks[1:] != masks[:-1]) | (keys[1:] != keys[:-1])) + 1
-        bounds = np.concatenate(([0], cuts, [len(points)]))
-        a_parts, b_parts = [], []
-        for low, high in zip(bounds[:-1], bounds[1:]):
-            this = (masks[low], keys[low])
-            if this != key:
-                if not too_large and len(held) > 1:
-                    a, b = links(held)
-                    a_parts.append(a), b_parts.append(b)
-                held, key, too_large = none, this, False
-            if high - low == 1 and not too_large and not len(held) and high < len(points):
-                continue  # a block of one row
-            held = np.concatenate((held, points[low:high]))
-            if too_large or len(held) > BLOCK_ROWS:
-                too_large = True
-                yield batch(held, held, np.full(len(held), masks[low]))
-                held = none
-        if a_parts:
-            yield batch(np.concatenate(a_parts), np.concatenate(b_parts))
-    if not too_large and len(held) > 1:
-        yield batch(*links(held))
-
-
-def fingerprint_links(points: DataFrame) -> DataFrame:
+def _block_links(block_rows: int):
+    """Rows sorted by block -> links; a block of more rows is passed on as rows with their mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "open"]
+        none = np.zeros(0, dtype=np.int64)
+        held, key, too_large = none, None, False
+
+        def links(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            points = np.unique(points)
+            i, j = spanning_links(points.view(np.uint64)) if len(points) > 1 else (none, none)
+            return points[i], points[j]
+
+        def batch(a, b, mask=None):
+            mask = pa.nulls(len(a), pa.int64()) if mask is None else pa.array(mask)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), mask], names=names)
+
+        for rows in batches:
+            masks, keys, points = (c.to_numpy(zero_copy_only=False) for c in rows.columns)
+            if not len(points):
+                continue
+            cuts = np.flatnonzero((masks[1:] != masks[:-1]) | (keys[1:] != keys[:-1])) + 1
+            bounds = np.concatenate(([0], cuts, [len(points)]))
+            a_parts, b_parts = [], []
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                this = (masks[low], keys[low])
+                if this != key:
+                    if not too_large and len(held) > 1:
+                        a, b = links(held)
+                        a_parts.append(a), b_parts.append(b)
+                    held, key, too_large = none, this, False
+                if high - low == 1 and not too_large and not len(held) and high < len(points):
+                    continue  # a block of one row
+                held = np.concatenate((held, points[low:high]))
+                if too_large or len(held) > block_rows:
+                    too_large = True
+                    yield batch(held, held, np.full(len(held), masks[low]))
+                    held = none
+            if a_parts:
+                yield batch(np.concatenate(a_parts), np.concatenate(b_parts))
+        if not too_large and len(held) > 1:
+            yield batch(*links(held))
+
+    return run
+
+
+def fingerprint_links(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``a, b``: links that connect every two of the distinct ``fingerprint`` values within three bits.
 
-    A block of more than 4,096 fingerprints is divided again by the same rule on its open bits, until it is
-    small enough; at twelve open bits a block cannot be larger. No pair is lost and no block is unbounded.
+    A block of more than ``block_rows`` fingerprints is divided again by the same rule on its open bits, until it is
+    small enough; at twelve open bits a block cannot have more than 4,096. No pair is lost and no block is unbounded.
     """
-    masks = _refined(_refined([(1 << BITS) - 1]))
-    blocks = _expanded(points, masks)
+    blocks = (
+        points.select("fingerprint", F.lit(-1).cast("long").alias("open"))
+        .mapInArrow(_expand, _BLOCKED)
+        .select("fingerprint", "open")
+        .mapInArrow(_expand, _BLOCKED)
+    )
     found: DataFrame | None = None
     while True:
         # The level's table holds links and the rows of blocks that were too large.
         level = materialize(
-            blocks.repartition("open", "key").sortWithinPartitions("open", "key").mapInArrow(_block_links, _LINKS),
+            blocks.repartition("open", "key").sortWithinPartitions("open", "key").mapInArrow(_block_links(block_rows), _LINKS),
             "fingerprint-links",
         )
         links = level.where(F.col("open").isNull()).select("a", "b")
         found = links if found is None else found.unionByName(links)
-        large = level.where(F.col("open").isNotNull())
-        open_masks = [row["open"] % (1 << BITS) for row in large.select("open").distinct().collect()]
-        if not open_masks:
+        large = level.where(F.col("open").isNotNull()).select(F.col("a").alias("fingerprint"), "open")
+        if large.isEmpty():
             return found
-        blocks = None
-        for mask in open_masks:
-            part = _expanded(
-                large.where(F.col("open") == _signed(mask)).select(F.col("a").alias("fingerprint")).distinct(),
-                _refined([mask]),
-            )
-            blocks = part if blocks is None else blocks.unionByName(part)
+        blocks = large.mapInArrow(_expand, _BLOCKED)
 
 
 # Documents
