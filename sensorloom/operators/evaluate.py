@@ -38,12 +38,13 @@ def score_counts(
     """Positives and negatives per distinct score of each group, as a written table.
 
     All metrics follow from these counts, so the rows are read once and are combined before the
-    shuffle. Rows without a score are left out.
+    shuffle. A row without a score fails the job: metrics of the others would not be those of the model.
     """
     positive = F.col(target).cast("long")
+    missing = F.raise_error(F.lit(f"A row has no value in {probability}; metrics need a score for every row."))
+    scored = F.coalesce(F.col(probability), missing.cast("double"))
     counts = (
-        df.where(F.col(probability).isNotNull())
-        .groupBy(*groups, F.col(probability).alias("score"))
+        df.groupBy(*groups, scored.alias("score"))
         .agg(F.sum(positive).alias("positives"), F.sum(1 - positive).alias("negatives"))
     )
     return materialize(counts, "scores")

@@ -12,21 +12,16 @@ from sensorloom.sources.scratch import materialize
 # Keys and a few numbers take about 100 bytes a row, so this is some 25 MB per executor.
 BROADCAST_ROWS = 250_000
 HOT_ROWS = 1_000_000
-SALTS = 64
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, most: int = BROADCAST_ROWS
-) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, as a written table of at most about ``most`` rows.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows and the ``_salts`` to split each into parts of that size, as a written table.
 
-    Counting is one pass over the key columns with partial aggregation. If very many keys exceed
-    ``hot_rows`` the bar rises to a ``most``-th of their rows.
+    Counting is one pass over the key columns with partial aggregation.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = materialize(counts.where(F.col("_rows") > hot_rows), "hot-keys")
-    total = hot.agg(F.sum("_rows")).first()[0] or 0
-    return hot.where(F.col("_rows") > total // max(most, 1)).select(*keys)
+    salts = F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("long").alias("_salts")
+    return materialize(counts.where(F.col("_rows") > hot_rows).select(*keys, salts), "hot-keys")
 
 
 def sized_join(
@@ -38,31 +33,26 @@ def sized_join(
     spread_by: Sequence[str],
     broadcast_rows: int = BROADCAST_ROWS,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join on ``keys`` with a table of one row per key.
 
-    A ``per_key`` of at most ``broadcast_rows`` rows (counted) is broadcast. Otherwise the keys of
+    A ``per_key`` of at most ``broadcast_rows`` rows (counted, of a few numbers each) is broadcast. Otherwise the keys of
     ``large`` are counted: without a hot key this is a plain shuffle join, and with some only
-    those are salted. Their rows spread over ``salts`` partitions by a hash of ``spread_by``, and
-    only their few ``per_key`` rows are copied, so a key with a third of all rows neither fills
-    one task nor multiplies the other table.
+    those are salted. The rows of a hot key spread by a hash of ``spread_by`` over as many parts as its
+    count asks for, and its one ``per_key`` row is copied to each, so a key with a third of all
+    rows neither fills one task nor multiplies the other table.
     """
     keys = list(keys)
     if per_key.limit(broadcast_rows + 1).count() <= broadcast_rows:
         return large.join(F.broadcast(per_key), keys, how)
     hot = hot_keys(large, keys, hot_rows)
-    if hot.isEmpty():
+    hot_count = hot.count()
+    if not hot_count:
         return large.join(per_key, keys, how)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    spread = (
-        large.join(hot, keys, "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
-        .drop("_hot")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    copied = per_key.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    if hot_count <= broadcast_rows:
+        hot = F.broadcast(hot)
+    salt = F.pmod(F.xxhash64(*spread_by), F.coalesce(F.col("_salts"), F.lit(1)))
+    spread = large.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_salts"), F.lit(1).cast("long")) - 1)
+    copied = per_key.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return spread.join(copied, [*keys, "_salt"], how).drop("_salt")

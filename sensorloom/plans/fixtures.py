@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions import entity_id, epoch_seconds
 from sensorloom.schema import BAND_CHANNELS, TARGET
 
-EVENT_STREAMS = {"eeg": "click", "bvp": "view", "eda": "purchase", "temperature": "error"}
+EVENT_STREAMS = {"eeg": "click", "bvp": "view", "eda": "purchase", "temperature": "error", "signup": "signup"}
 DAY = 86_400.0
 
 
@@ -26,13 +26,12 @@ def _payload() -> F.Column:
 
 
 def event_samples(spark: SparkSession, folder: str) -> DataFrame:
-    """``samples`` from the four stream event types, with the payload number as ``k``."""
+    """``samples`` of all events, with the payload number as ``k``; sign-ups are a stream no window uses."""
     stream = F.lit(None).cast("string")
     for name, event_type in EVENT_STREAMS.items():
         stream = F.when(F.col("event_type") == event_type, name).otherwise(stream)
     return (
         table(spark, folder, "events")
-        .where(F.col("event_type") != "signup")
         .select(
             entity_id(F.expr("user_id div 2"), "p_", 4).alias("patient_id"),
             F.when(F.col("user_id") % 2 == 0, "baseline").otherwise("cognitive_load").alias("condition"),
@@ -68,10 +67,11 @@ SAMPLES_SQL = """samples AS (
   SELECT 'p_' || lpad(CAST(user_id // 2 AS VARCHAR), 4, '0') AS patient_id,
          CASE WHEN user_id % 2 = 0 THEN 'baseline' ELSE 'cognitive_load' END AS condition,
          CASE event_type WHEN 'click' THEN 'eeg' WHEN 'view' THEN 'bvp'
-                         WHEN 'purchase' THEN 'eda' ELSE 'temperature' END AS stream,
+                         WHEN 'purchase' THEN 'eda' WHEN 'error' THEN 'temperature'
+                         WHEN 'signup' THEN 'signup' END AS stream,
          epoch_us(ts) / 1e6 AS "time", value,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_id
-  FROM events WHERE event_type <> 'signup')"""
+  FROM events)"""
 
 EEG_SQL = """eeg AS (
   SELECT patient_id, condition, "time", """ + ",\n         ".join(
@@ -89,7 +89,7 @@ def overlap_sql(streams: tuple[str, ...] = ("eeg", "bvp", "eda", "temperature"))
     return f"""extents AS (
   SELECT patient_id, condition, stream, min("time") AS first_time, max("time") AS last_time,
          count(*) AS stream_rows
-  FROM samples GROUP BY ALL),
+  FROM samples WHERE stream IN ({', '.join(f"'{s}'" for s in streams)}) GROUP BY ALL),
 overlap AS (
   SELECT patient_id, condition,
          CASE WHEN count(*) = {len(streams)} THEN max(first_time) END AS overlap_start,

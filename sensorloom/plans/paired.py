@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators.balance import balance_conditions
 from sensorloom.operators.features import eeg_window_features, slow_stream_features
+from sensorloom.operators.joins import sized_join
 from sensorloom.operators.ordering import BLOCK_ROWS
 from sensorloom.operators.pulse import DEFAULT_RULES, PulseRules, pulse_features
 from sensorloom.operators.windows import (
@@ -83,13 +84,23 @@ def paired_feature_table(
 ) -> tuple[DataFrame, DataFrame]:
     """(features, audit): balanced windows with keys, label, flags and 21 features; session audit.
 
-    ``labels`` gives each session key its class label.
+    ``labels`` is the cohort: it gives each session key its class label, and sessions it does not list are left out
+    before anything is counted. ``samples`` may hold an ``eeg`` stream, which only ``eeg`` itself stands for.
     """
+    cohort = labels.select(*SESSION_KEYS, TARGET).distinct()
+    eeg = sized_join(eeg, cohort.select(*SESSION_KEYS), SESSION_KEYS, "left_semi", spread_by=["time"])
+    samples = sized_join(
+        samples.where(F.col("stream") != "eeg"),
+        cohort.select(*SESSION_KEYS),
+        SESSION_KEYS,
+        "left_semi",
+        spread_by=["stream", "time"],
+    )
     grid = session_windows(eeg, samples, settings)
     complete = materialize(window_features(eeg, samples, grid, settings), "windows")
     balanced = balance_conditions(complete)
     start = F.col("analysis_start") + F.col("window_index") * F.lit(float(settings.window_seconds))
-    sessions = grid.join(labels, list(SESSION_KEYS)).select(*SESSION_KEYS, "analysis_start", TARGET)
+    sessions = grid.join(cohort, list(SESSION_KEYS)).select(*SESSION_KEYS, "analysis_start", TARGET)
     features = balanced.join(sessions, list(SESSION_KEYS)).select(
         *SESSION_KEYS,
         "window_index",

@@ -306,22 +306,16 @@ FROM sorted"""
 
 
 def explanation_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    """Sentences of probabilities held to two decimals, so that no third decimal is a tie."""
-    tested = tested_lines(spark, folder)
-    exact = tested.select(
-        *SESSION_KEYS,
-        "window_index",
-        *(F.round(c, 2).alias(c) for c in ("alpha_eeg", "beta_wearable", "combined_probability")),
-    )
+    """The sentence of every tested row."""
     sentence = explanation_sentence(F.lit(0.3), F.lit(0.7))
-    return exact.select(*SESSION_KEYS, "window_index", sentence.alias("explanation"))
+    return tested_lines(spark, folder).select(*SESSION_KEYS, "window_index", sentence.alias("explanation"))
 
 
 EXPLANATION_SENTENCES = f"""
 WITH {TESTED_CTES}
 SELECT patient_id, condition, window_index,
        printf('Participant %s / %s: EEG alpha=%.3f, wearable beta=%.3f, combined cognitive-load probability=%.3f. Learned fusion weights were EEG=0.300 and wearable=0.700. Interpret only as a small-cohort research result, not a diagnosis.',
-              patient_id, condition, round(alpha_eeg, 2), round(beta_wearable, 2), round(combined_probability, 2)) AS explanation
+              patient_id, condition, alpha_eeg, beta_wearable, combined_probability) AS explanation
 FROM tested"""
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions import entity_id, epoch_seconds, label_of, lenient_double
 from sensorloom.plans.fixtures import (
     EEG_SQL,
+    EVENT_STREAMS,
     SAMPLES_SQL,
     event_samples,
     table,
@@ -120,7 +121,7 @@ def session_streams(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["patient_id", "condition"]
     eeg = device_worn(scan_numeric_csv(spark, eeg_path, ["time", WORN_COLUMN, *EEG_CHANNELS], keys))
     parts = [eeg.select(*keys, F.lit("eeg").alias("stream"), "time", F.col("Gamma_TP10").alias("value"))]
-    for stream in ("bvp", "eda", "temperature"):
+    for stream in (s for s in EVENT_STREAMS if s != "eeg"):
         path = new_path(spark, f"{stream}-csv")
         write_csv(samples.where(F.col("stream") == stream).drop("stream"), path)
         scanned = scan_numeric_csv(spark, path, ["time", "value"], keys)
@@ -219,7 +220,7 @@ SELECT patient_id, stream, path FROM expected WHERE path NOT IN (SELECT path FRO
 
 def stream_heads(spark: SparkSession, folder: str) -> DataFrame:
     samples = event_samples(spark, folder).select("stream", "time", "event_id", "patient_id", "value")
-    return rounded(stream_preview(samples, ["eeg", "bvp", "eda", "temperature"], rows=5))
+    return rounded(stream_preview(samples, list(EVENT_STREAMS), rows=5))
 
 
 STREAM_HEADS = f"""
@@ -230,17 +231,17 @@ WHERE n <= 5"""
 
 
 def stream_file_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """Bytes on disk per stream, of the samples written by stream."""
+    """Bytes on disk per stream, of the samples written as lines of text by stream."""
     path = new_path(spark, "by-stream")
-    samples = event_samples(spark, folder)
-    samples.write.partitionBy("stream").option("header", True).csv(path)
+    event_samples(spark, folder).select("event_id", "patient_id", "stream").write.partitionBy("stream").csv(path)
     listing = list_files(spark, path)
     expected = listing.select("path", F.regexp_extract("path", "stream=([^/]+)/", 1).alias("stream"))
-    sizes = file_sizes(expected, listing)
-    return sizes.groupBy("stream").agg((F.sum("bytes") > 0).alias("has_bytes"))
+    return file_sizes(expected, listing).groupBy("stream").agg(F.sum("bytes").alias("bytes"))
 
 
-STREAM_FILE_SIZES = f"WITH {SAMPLES_SQL} SELECT DISTINCT stream, TRUE AS has_bytes FROM samples"
+STREAM_FILE_SIZES = f"""
+WITH {SAMPLES_SQL}
+SELECT stream, CAST(sum(strlen(event_id || ',' || patient_id) + 1) AS BIGINT) AS bytes FROM samples GROUP BY stream"""
 
 
 def _document_paths(spark: SparkSession, folder: str) -> DataFrame:

@@ -30,6 +30,7 @@ from sensorloom.plans.fixtures import (
 from sensorloom.plans.paired import WindowSettings, paired_feature_table, session_windows
 from sensorloom.plans.queries.common import r, rounded
 from sensorloom.plans.queries.windows import (
+    AUDIT,
     ASSIGNED_CTES,
     CAP,
     EEG_FEATURES_CTES,
@@ -272,6 +273,32 @@ def paired_features(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(features)
 
 
+def cohort_paired_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The paired table where half of all sessions come again under a condition that the cohort does not list."""
+    samples = event_samples(spark, folder)
+    foreign = samples.where(F.col("condition") == "baseline").withColumn("condition", F.lit("recovery"))
+    every = samples.unionByName(foreign)
+    features, _ = paired_feature_table(
+        wide_eeg(every),
+        every.select(*SESSION_KEYS, "stream", "time", "value"),
+        event_labels(samples),
+        SETTINGS,
+    )
+    return rounded(features)
+
+
+def paired_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """The session audit that the paired table's own plan gives."""
+    samples = event_samples(spark, folder)
+    _, audit = paired_feature_table(
+        wide_eeg(samples),
+        samples.select(*SESSION_KEYS, "stream", "time", "value"),
+        event_labels(samples),
+        SETTINGS,
+    )
+    return rounded(audit)
+
+
 PAIRED_FEATURES = f"""
 WITH RECURSIVE {EEG_FEATURES_CTES}, {_WEARABLE_CTES},
 complete AS (
@@ -305,4 +332,6 @@ QUERIES = {
     "long_signal_pulse_features": (long_signal_features, SIGNAL_FEATURES),
     "wearable_features": (wearable_features, WEARABLE_FEATURES_SQL),
     "paired_feature_table": (paired_features, PAIRED_FEATURES),
+    "cohort_paired_table": (cohort_paired_features, PAIRED_FEATURES),
+    "paired_audit": (paired_audit, AUDIT),
 }

@@ -78,7 +78,6 @@ def salted_attached_split(spark: SparkSession, folder: str) -> DataFrame:
         subject="l_orderkey",
         broadcast_rows=0,
         hot_rows=5,
-        salts=8,
     )
 
 

@@ -31,6 +31,7 @@ from sensorloom.operators.windows import (
 from sensorloom.plans.fixtures import (
     DAY,
     EEG_SQL,
+    EVENT_STREAMS,
     SAMPLES_SQL,
     assigned_sql,
     event_samples,
@@ -145,7 +146,7 @@ def salted_window_assignment(spark: SparkSession, folder: str) -> DataFrame:
     """The same assignment with the salted join that large session tables get."""
     samples = event_samples(spark, folder)
     assigned = assign_windows(
-        samples, _grid(samples), window_seconds=WIDTH, broadcast_rows=0, hot_rows=50, salts=8
+        samples, _grid(samples), window_seconds=WIDTH, broadcast_rows=0, hot_rows=50
     )
     return rounded(assigned.select("event_id", "stream", "window_index", "window_start_unix"))
 
@@ -413,7 +414,7 @@ ORDER BY patient_id, condition, window_index LIMIT 5"""
 def united_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Bag union of the streams, one part each."""
     samples = event_samples(spark, folder).select("event_id", "stream", "value")
-    parts = [samples.where(F.col("stream") == s) for s in STREAMS]
+    parts = [samples.where(F.col("stream") == s) for s in EVENT_STREAMS]
     united = parts[0]
     for part in parts[1:]:
         united = united.unionByName(part)

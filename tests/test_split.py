@@ -50,8 +50,9 @@ def test_lookup_is_complete_or_an_error(spark):
     df = _subjects(spark, 6, 2)
     membership = split_subjects(df)
     assert attach_split(df, membership).where("split IS NULL").count() == 0
-    with pytest.raises(ValueError):
-        attach_split(df, membership.where("patient_id <> 's001'"))
+    with pytest.raises(Exception, match="lists no split for subject s001"):
+        attach_split(df, membership.where("patient_id <> 's001'")).collect()
+    assert attach_split(df, membership.where("patient_id <> 's001'"), strict=False).where("split IS NULL").count() == 2
     assert overlapping_subjects(membership).isEmpty()
     twice = spark.createDataFrame([("a", "train"), ("a", "test"), ("b", "test")], "patient_id string, split string")
     assert [r["patient_id"] for r in overlapping_subjects(twice).collect()] == ["a"]

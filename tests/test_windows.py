@@ -57,7 +57,7 @@ def test_salted_assignment_equals_broadcast(spark):
     samples = spark.createDataFrame(rows, "patient_id string, condition string, time double")
     grid = spark.createDataFrame([(f"p{k}", "c", float(k), 4) for k in range(45)], GRID)
     plain = assign_windows(samples, grid, window_seconds=10.0)
-    salted = assign_windows(samples, grid, window_seconds=10.0, broadcast_rows=5, hot_rows=200, salts=8)
+    salted = assign_windows(samples, grid, window_seconds=10.0, broadcast_rows=5, hot_rows=200)
     shuffled = assign_windows(samples, grid, window_seconds=10.0, broadcast_rows=5)
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect()))
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, shuffled.collect()))
