@@ -234,23 +234,72 @@ SELECT l_orderkey, l_linenumber, l_partkey, {r(f'0.3 * p_{_FIRST} + 0.7 * p_{_SE
 FROM scored WHERE split = 'test'"""
 
 
+DOCUMENT_EPOCHS, DOCUMENT_RATE = 25, 0.5
+DOCUMENT_WARNING = "A pipeline check on order lines."
+
+
 def study_document(spark: SparkSession, folder: str) -> DataFrame:
-    """Heads, fusion and two-level metrics of the order lines, nested in one row of JSON."""
+    """Heads, fusion, two-level metrics and splits of the order lines as report rows."""
     rows = lines(spark, folder)
     heads = fitted(rows)
     scored = score_heads(rows, {f"p_{n}": h for n, h in heads.heads.items()})
     fusion = fit_fusion(
-        scored.where(F.col("split") == "validation"), [f"p_{n}" for n in HEADS], modalities=tuple(HEADS), epochs=3
+        scored.where(F.col("split") == "validation"),
+        [f"p_{n}" for n in HEADS],
+        modalities=tuple(HEADS),
+        learning_rate=DOCUMENT_RATE,
+        epochs=DOCUMENT_EPOCHS,
     )
     test = scored.where(F.col("split") == "test").withColumn(
         "combined_probability", fusion.fusion.fuse([f"p_{n}" for n in HEADS])
     )
-    models = {**{n: f"p_{n}" for n in HEADS}, "late_fusion": "combined_probability"}
-    metrics = two_level_metrics(test, models, keys=["l_orderkey"])
-    document = metrics_document(
-        metrics, membership(spark, folder), heads, fusion, "A pipeline check on order lines."
-    )
-    return document.select(F.to_json(F.struct("*")).alias("document"))
+    metrics = two_level_metrics(test, DOCUMENT_MODELS, keys=["l_orderkey"])
+    return rounded(metrics_document(metrics, membership(spark, folder), heads, fusion, DOCUMENT_WARNING))
+
+
+DOCUMENT_MODELS = {**{n: f"p_{n}" for n in HEADS}, "late_fusion": "combined_probability"}
+_ONE, _TWO = (f"p_{n}" for n in HEADS)
+_SHARE = "exp(s.z1 - greatest(s.z1, s.z2)) / (exp(s.z1 - greatest(s.z1, s.z2)) + exp(s.z2 - greatest(s.z1, s.z2)))"
+STUDY_DOCUMENT = f"""
+WITH RECURSIVE {SCORED_CTES},
+held AS (SELECT {_ONE} AS a, {_TWO} AS b, {TARGET} FROM scored WHERE split = 'validation'),
+mix AS (
+  SELECT CAST(0 AS BIGINT) AS epoch, CAST(0 AS DOUBLE) AS z1, CAST(0 AS DOUBLE) AS z2
+  UNION ALL
+  SELECT epoch + 1, z1 - {DOCUMENT_RATE} * sum(slope * w1 * (a - fused)) / count(*),
+         z2 - {DOCUMENT_RATE} * sum(slope * (1 - w1) * (b - fused)) / count(*)
+  FROM (SELECT *, (q - {TARGET}) / (q * (1.0 - q)) AS slope
+        FROM (SELECT *, least(greatest(fused, 1e-7), 1.0 - 1e-7) AS q
+              FROM (SELECT *, w1 * a + (1 - w1) * b AS fused
+                    FROM (SELECT s.*, {_SHARE} AS w1, held.* FROM mix s, held WHERE s.epoch < {DOCUMENT_EPOCHS}))))
+  GROUP BY epoch, z1, z2),
+mixed AS (
+  SELECT epoch, w1, avg({entropy_sql(TARGET, 'w1 * a + (1 - w1) * b')}) AS loss
+  FROM (SELECT s.epoch, {_SHARE} AS w1, held.* FROM mix s, held) GROUP BY epoch, w1),
+mixed_best AS (SELECT * FROM mixed ORDER BY loss, epoch LIMIT 1),
+fused AS (
+  SELECT l_orderkey, {TARGET}, {_ONE}, {_TWO}, w1 * {_ONE} + (1 - w1) * {_TWO} AS combined_probability
+  FROM scored, mixed_best WHERE split = 'test'),
+by_model AS ({" UNION ALL ".join(
+    f"SELECT '{m}' AS model, l_orderkey, {TARGET}, {c} AS probability FROM fused" for m, c in DOCUMENT_MODELS.items())}),
+both_levels AS (
+  SELECT model, 'window' AS level, {TARGET}, probability FROM by_model
+  UNION ALL
+  SELECT model, 'session', {TARGET}, probability FROM (
+    SELECT model, l_orderkey, {TARGET}, avg(probability) AS probability FROM by_model GROUP BY ALL)),
+{metrics_sql('both_levels', 'model, level')}
+{" UNION ALL ".join(
+    f"SELECT 'metrics' AS section, model || '.' || level || '.{m}' AS name, {r(m)} AS value, CAST(NULL AS VARCHAR) AS text FROM metrics"
+    for m in ("auroc", "log_loss", "accuracy", "balanced_accuracy"))}
+UNION ALL SELECT 'fusion_weights', '{list(HEADS)[0]}', {r('w1')}, NULL FROM mixed_best
+UNION ALL SELECT 'fusion_weights', '{list(HEADS)[1]}', {r('1 - w1')}, NULL FROM mixed_best
+{" ".join(
+    f"UNION ALL SELECT 'selected_checkpoints', '{n}.epoch', {r('epoch')}, NULL FROM {n}_best "
+    f"UNION ALL SELECT 'selected_checkpoints', '{n}.validation_loss', {r('validation_loss')}, NULL FROM {n}_best"
+    for n in HEADS)}
+UNION ALL SELECT 'split_sizes', split, {r('count(*)')}, NULL FROM membership GROUP BY split
+UNION ALL SELECT 'split_subjects', split, NULL, CAST(l_orderkey AS VARCHAR) FROM membership
+UNION ALL SELECT 'scope_warning', 'scope_warning', NULL, '{DOCUMENT_WARNING}'"""
 
 
 def split_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -305,6 +354,23 @@ SELECT patient_id, condition, window_index, {r('l_extendedprice')} AS l_extended
 FROM sorted"""
 
 
+def explanation_contributions(spark: SparkSession, folder: str) -> DataFrame:
+    """The two contributions that every payload shows, as rows of the map."""
+    shown = F.explode("eeg_linear_contributions").alias("feature", "value")
+    return rounded(_payloads(spark, folder).select(*SESSION_KEYS, "window_index", "l_extendedprice", shown))
+
+
+_NAMED = "list_sort([" + ", ".join(
+    f"{{'rank': -abs({t}), 'nth': {i}, 'value': {t}, 'feature': '{f}'}}"
+    for i, (t, f) in enumerate(zip(_TERMS, FIXED_HEAD.features, strict=True))
+) + "])"
+EXPLANATION_CONTRIBUTIONS = f"""
+WITH {TESTED_CTES}, named AS (SELECT *, unnest({_NAMED}[1:2]) AS term FROM tested)
+SELECT patient_id, condition, window_index, {r('l_extendedprice')} AS l_extendedprice, term.feature AS feature,
+       {r('term.value')} AS value
+FROM named"""
+
+
 def explanation_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """The sentence of every tested row."""
     sentence = explanation_sentence(F.lit(0.3), F.lit(0.7))
@@ -339,9 +405,10 @@ QUERIES = {
     "ablation": (ablation_rows, ABLATION_ROWS),
     "report_projection": (report_projection, REPORT_PROJECTION),
     "fused_test_rows": (fused_test_rows, FUSED_TEST_ROWS),
-    "metrics_document": (study_document, None),
+    "metrics_document": (study_document, STUDY_DOCUMENT),
     "split_sizes": (split_sizes, SPLIT_SIZES),
     "explanation_payloads": (explanation_payloads, EXPLANATION_PAYLOADS),
+    "explanation_contributions": (explanation_contributions, EXPLANATION_CONTRIBUTIONS),
     "explanation_sentences": (explanation_sentences, EXPLANATION_SENTENCES),
     "full_explanations": (full_explanations, None),
 }

@@ -5,23 +5,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.operators.evaluate import ablation, base_rate, two_level_metrics
+from sensorloom.operators.evaluate import METRICS, ablation, base_rate, two_level_metrics
 from sensorloom.operators.explain import LIMITATIONS, explanations, with_sentence
 from sensorloom.operators.fusion import FittedFusion, fit_fusion, missing_modality_scenarios
 from sensorloom.operators.heads import FittedHeads, fit_heads, score_heads
-from sensorloom.operators.split import attach_split, split_subjects
+from sensorloom.operators.split import attach_split, require_subjects, split_subjects
+from sensorloom.plans.paired import require_windows
 from sensorloom.schema import EEG_FEATURES, WEARABLE_FEATURES
 from sensorloom.sources.scratch import materialize
 from sensorloom.sources.tables import write_csv, write_json
 
+# Names of the models in the ablation, in report order.
 MODELS = {
     "EEG only (alpha)": "alpha_eeg",
     "wearable only (beta)": "beta_wearable",
     "learned late fusion": "combined_probability",
 }
+# End of fixed values.
 
 
 @dataclass(frozen=True)
@@ -61,8 +64,10 @@ def run_study(
     ``membership`` may give an explicit subject split; otherwise the seeded one is used. Fusion
     weights come from validation rows only and the fallback is the training base rate.
     """
+    require_windows(paired)
     given = membership is not None
     if not given:
+        require_subjects(paired)
         membership = materialize(
             split_subjects(
                 paired,
@@ -125,66 +130,56 @@ def metrics_document(
     heads: FittedHeads,
     fusion: FittedFusion,
     scope_warning: str,
-    *,
-    listed_subjects: int = 10_000,
 ) -> DataFrame:
-    """One row: metrics per model and level, fusion weights, checkpoints, splits, warning.
+    """The report as rows ``section, name, value, text``, the same sections at every size.
 
-    The subjects of each split are listed if there are at most ``listed_subjects``. A longer
-    membership does not belong in one row: only its counts are nested, the table holds the rest.
+    ``metrics`` (model.level.measure), ``fusion_weights``, ``selected_checkpoints`` (head.epoch, head.validation_loss),
+    ``split_sizes`` and ``scope_warning`` are a few rows. ``split_subjects`` has a row for each subject, with the split as
+    name and the id as text; it comes from the membership table and never passes the driver.
     """
-    values = F.struct("auroc", "log_loss", "accuracy", "balanced_accuracy")
-    scores = metrics.groupBy("model").agg(
-        F.map_from_entries(F.collect_list(F.struct("level", values.alias("values")))).alias("levels")
+    spark = metrics.sparkSession
+    schema = "section string, name string, value double, text string"
+    weights = fusion.fusion
+    few = [
+        ("fusion_weights", name, float(weight), None)
+        for name, weight in zip(weights.modalities, weights.weights, strict=True)
+    ]
+    for name, head in heads.heads.items():
+        few.append(("selected_checkpoints", f"{name}.epoch", float(head.best_epoch), None))
+        few.append(("selected_checkpoints", f"{name}.validation_loss", float(head.best_validation_loss), None))
+    few.append(("scope_warning", "scope_warning", None, scope_warning))
+    no_text, no_value = F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("value")
+    measures = F.explode(F.create_map(*(part for m in METRICS for part in (F.lit(m), F.col(m)))))
+    scores = metrics.select("model", "level", measures.alias("measure", "value")).select(
+        F.lit("metrics").alias("section"), F.concat_ws(".", "model", "level", "measure").alias("name"), "value", no_text
     )
-    nested = scores.agg(
-        F.map_from_entries(F.collect_list(F.struct("model", "levels"))).alias("metrics")
+    sizes = membership.groupBy("split").agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+        F.lit("split_sizes").alias("section"), F.col("split").alias("name"), "value", no_text
     )
-    counts = membership.groupBy("split").agg(F.count(F.lit(1)).alias("subjects")).collect()
-    listed = sum(row["subjects"] for row in counts) <= listed_subjects
-    subjects = (
-        membership.groupBy("split")
-        .agg(F.sort_array(F.collect_list(F.col(membership.columns[0]).cast("string"))).alias("ids"))
-        .collect()
-        if listed
-        else []
+    subjects = membership.select(
+        F.lit("split_subjects").alias("section"),
+        F.col("split").alias("name"),
+        no_value,
+        F.col(membership.columns[0]).cast("string").alias("text"),
     )
-    weights = fusion.fusion
+    rows = scores.unionByName(spark.createDataFrame(few, schema)).unionByName(sizes).unionByName(subjects)
+    return rows.select("section", "name", "value", "text")
 
-    def literal_map(entries: dict) -> Column:
-        return F.create_map(*(part for key, value in entries.items() for part in (F.lit(key), value)))
-
-    return nested.select(
-        "metrics",
-        literal_map(
-            {name: F.lit(w) for name, w in zip(weights.modalities, weights.weights, strict=True)}
-        ).alias("fusion_weights"),
-        literal_map(
-            {
-                name: F.struct(
-                    F.lit(head.best_epoch).alias("epoch"),
-                    F.lit(head.best_validation_loss).alias("validation_loss"),
-                )
-                for name, head in heads.heads.items()
-            }
-        ).alias("selected_checkpoints"),
-        literal_map({row["split"]: F.lit(row["subjects"]) for row in counts}).alias("split_sizes"),
-        *(
-            [
-                literal_map(
-                    {row["split"]: F.array(*map(F.lit, row["ids"])) for row in subjects}
-                ).alias("split_subjects")
-            ]
-            if listed
-            else []
-        ),
-        F.lit(scope_warning).alias("scope_warning"),
-    )
 
+def save_study(
+    spark: SparkSession,
+    result: StudyResult,
+    path: str,
+    paired: DataFrame | None = None,
+    audit: DataFrame | None = None,
+) -> None:
+    """Write every result table below ``path``: tables as CSV, nested ones as JSON.
 
-def save_study(spark: SparkSession, result: StudyResult, path: str) -> None:
-    """Write every result table below ``path``: tables as CSV, nested ones as JSON."""
+    ``paired`` and ``audit``, if given, are the feature table and the session audit that the study came from.
+    """
     tables = {
+        **({"paired_windows": paired} if paired is not None else {}),
+        **({"raw_session_audit": audit} if audit is not None else {}),
         "patient_split": result.membership,
         "eeg_training_curve": result.heads.curve(spark, "eeg"),
         "wearable_training_curve": result.heads.curve(spark, "wearable"),

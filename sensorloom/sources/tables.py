@@ -6,7 +6,6 @@ import hashlib
 import json
 from collections.abc import Callable, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,16 +24,18 @@ def cached_table(
     """
     key = hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:16]
     path = f"{root.rstrip('/')}/{name}-{key}"
-    if not rebuild:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException as absent:
-            if "PATH_NOT_FOUND" not in str(absent) and "UNABLE_TO_INFER_SCHEMA" not in str(absent):
-                raise
+    if not rebuild and _is_complete(spark, path):
+        return spark.read.parquet(path)
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def _is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a writer finished there: it leaves its mark last, so a folder without it is not a table."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def store_samples(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Long samples as Parquet, one folder per stream and condition, sorted inside the files.
 
