@@ -24,7 +24,7 @@ from sensorloom.llm.tables import join_sized, quoted
 from sensorloom.llm.words import chunks, mixed, split_words, word_hashes
 from sensorloom.sources.scratch import materialize, new_path
 
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_500_000
 PART_BYTES = 8_000_000
 RELIABLE = 5
 KEPT_BACK = 0.01
@@ -37,12 +37,12 @@ BEGIN = np.uint64(0x5EED0000000000B1)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Distinct sorted 64-bit keys as differences of as few bytes as the largest needs."""
+    """Distinct sorted 64-bit keys as differences of as few bytes as the largest needs, low bytes of all first."""
     if not len(keys):
         return b""
     steps = np.diff(keys)
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    low = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    low = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
     return bytes([width]) + int(keys[0]).to_bytes(8, "little") + low.tobytes()
 
 
@@ -50,9 +50,9 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
     if not packed:
         return np.zeros(0, dtype=np.uint64)
     width = packed[0]
-    low = np.frombuffer(packed, dtype=np.uint8, offset=9).reshape(-1, width)
-    steps = np.zeros((len(low) + 1, 8), dtype=np.uint8)
-    steps[1:, :width] = low
+    low = np.frombuffer(packed, dtype=np.uint8, offset=9).reshape(width, -1)
+    steps = np.zeros((low.shape[1] + 1, 8), dtype=np.uint8)
+    steps[1:, :width] = low.T
     steps = steps.view("<u8")[:, 0]
     steps[0] = int.from_bytes(packed[1:9], "little")
     return np.cumsum(steps, dtype=np.uint64)
@@ -343,7 +343,7 @@ def _score(model: Model):
 
 def _scored_chunk(number: int, batches: list[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """Rows of one chunk sorted by message and part -> document, backoff and history rows."""
-    rows = pa.Table.from_batches(batches).combine_chunks()
+    rows = pa.Table.from_batches(batches)
     by = {m: rows.filter(pa.compute.equal(rows["message"], m)) for m in (DOCUMENT, WORDS, PAIRS, TOTALS)}
     words = np.concatenate([unpack_sorted(d) for d in by[WORDS]["data"].to_pylist()])
     word_counts = np.concatenate([unpack_counts(zlib.decompress(c)) for c in by[WORDS]["counts"].to_pylist()])
@@ -363,6 +363,7 @@ def _scored_chunk(number: int, batches: list[pa.RecordBatch], model: Model) -> I
     before[starts] = int(np.searchsorted(words, BEGIN))
     _, pair_of = np.unique(_pair_keys(words[before], words[at]), return_inverse=True)
     pair_counts = pair_totals[pair_of]
+    del sequences, pair_of, pair_totals, by
 
     train = documents["train"].to_numpy().astype(bool)
     trained = np.repeat(train, sizes)
