@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sensorloom.functions import sigmoid
 from sensorloom.functions.scalar import LOGIT_BOUND, LOSS_EPSILON
 from sensorloom.operators.blocks import pack_blocks, sum_over_blocks
+from sensorloom.operators.descent import Step, descend
 from sensorloom.operators.ordering import SMALL_ROWS, column_medians
 from sensorloom.schema import TARGET
 
@@ -114,16 +115,6 @@ def score_heads(df: DataFrame, columns: Mapping[str, LogisticHead]) -> DataFrame
     return df.withColumns({name: head.probability() for name, head in columns.items()})
 
 
-class _Descent:
-    """Weights of one head during the fit, and the best ones seen so far."""
-
-    def __init__(self, inputs: Sequence[int]):
-        self.inputs = list(inputs)
-        self.weights, self.bias = np.zeros(len(inputs)), 0.0
-        self.best = (self.weights.copy(), 0.0, 0, float("inf"))
-        self.curve: list[tuple[int, float, float]] = []
-
-
 def fit_heads(
     df: DataFrame,
     heads: Mapping[str, Sequence[str]],
@@ -162,52 +153,50 @@ def fit_heads(
         (F.col(split) == "train").cast("double").alias("is_train"),
     )
     blocks = pack_blocks(numeric, [*columns, "y", "is_train"])
-    runs = {name: _Descent([features.index(f) for f in names]) for name, names in heads.items()}
-    shape = {name: len(run.inputs) + 3 for name, run in runs.items()}
-
-    def epoch_sums(state: list[tuple[list[int], np.ndarray, float]]) -> np.ndarray:
-        def partial(matrix: np.ndarray) -> np.ndarray:
-            y, is_train = matrix[:, width], matrix[:, width + 1]
-            parts = [np.array([is_train.sum(), len(matrix) - is_train.sum()])]
-            for inputs, weights, bias in state:
-                x = matrix[:, inputs]
-                logit = np.clip(x @ weights + bias, -LOGIT_BOUND, LOGIT_BOUND)
+    inputs = {name: [features.index(f) for f in names] for name, names in heads.items()}
+    sizes = [len(chosen) + 3 for chosen in inputs.values()]
+
+    def measure(states: list[np.ndarray]) -> list[Step]:
+        """``states`` are weights with the bias last."""
+
+        def of_block(matrix: np.ndarray) -> np.ndarray:
+            truth, in_train = matrix[:, width], matrix[:, width + 1] > 0
+            sums = [np.array([in_train.sum(), (~in_train).sum()], dtype=float)]
+            for chosen, state in zip(inputs.values(), states, strict=True):
+                x = matrix[:, chosen]
+                logit = (x @ state[:-1] + state[-1]).clip(-LOGIT_BOUND, LOGIT_BOUND)
                 p = 1.0 / (1.0 + np.exp(-logit))
-                error = np.where(is_train > 0, p - y, 0.0)
-                q = np.clip(p, LOSS_EPSILON, 1.0 - LOSS_EPSILON)
-                loss = -(y * np.log(q) + (1.0 - y) * np.log(1.0 - q))
-                train_loss = loss[is_train > 0].sum()
-                parts.append(np.r_[x.T @ error, error.sum(), train_loss, loss.sum() - train_loss])
-            return np.concatenate(parts)
-
-        return sum_over_blocks(blocks, width + 2, 2 + sum(shape.values()), partial)
+                held = p.clip(LOSS_EPSILON, 1.0 - LOSS_EPSILON)
+                loss = -np.log(np.where(truth > 0, held, 1.0 - held))
+                error = (p - truth) * in_train
+                sums.append(np.array([*(error @ x), error.sum(), loss[in_train].sum(), loss[~in_train].sum()]))
+            return np.concatenate(sums)
+
+        totals = sum_over_blocks(blocks, width + 2, 2 + sum(sizes), of_block)
+        train_rows, validation_rows = totals[:2]
+        steps = []
+        for part, state in zip(np.split(totals[2:], np.cumsum(sizes)[:-1]), states, strict=True):
+            weights = np.append(state[:-1], 0.0)  # the bias is free of the penalty
+            train_loss = part[-2] / train_rows + l2 / 2 * (weights @ weights)
+            held_out = part[-1] / validation_rows if validation_rows else float("nan")
+            steps.append(Step(part[:-2] / train_rows + l2 * weights, held_out, (train_loss, held_out)))
+        return steps
 
-    every = max(1, epochs // 10)
     try:
-        for epoch in range(epochs + 1):
-            sums = epoch_sums([(r.inputs, r.weights, r.bias) for r in runs.values()])
-            train_rows, validation_rows = sums[:2]
-            at = 2
-            for name, run in runs.items():
-                part = sums[at : at + shape[name]]
-                at += shape[name]
-                gradient, bias_gradient = part[:-3] / train_rows, part[-3] / train_rows
-                penalty = 0.5 * l2 * float(run.weights @ run.weights)
-                train_loss = part[-2] / train_rows + penalty
-                validation_loss = part[-1] / validation_rows if validation_rows else float("nan")
-                if validation_loss < run.best[3]:
-                    run.best = (run.weights.copy(), run.bias, epoch, float(validation_loss))
-                if epoch % every == 0 or epoch == epochs:
-                    run.curve.append((epoch, float(train_loss), float(validation_loss)))
-                run.weights = run.weights - learning_rate * (gradient + l2 * run.weights)
-                run.bias = float(run.bias - learning_rate * bias_gradient)
+        traces = descend([np.zeros(n - 2) for n in sizes], measure, rate=learning_rate, epochs=epochs)
     finally:
         blocks.unpersist()
+    runs = dict(zip(heads, traces, strict=True))
 
     return FittedHeads(
         {
             name: LogisticHead(
-                name, standardizers[name], tuple(map(float, run.best[0])), *run.best[1:]
+                name,
+                standardizers[name],
+                tuple(map(float, run.best[:-1])),
+                float(run.best[-1]),
+                run.best_epoch,
+                run.best_loss,
             )
             for name, run in runs.items()
         },

@@ -22,14 +22,7 @@ from pyspark.sql import types as T
 
 from sensorloom.operators.joins import sized_join
 from sensorloom.operators.ordering import grouped_median, neighbor, running_totals
-from sensorloom.operators.pulse import (
-    PulseRules,
-    base_levels,
-    beat_intervals,
-    bvp_variability,
-    finite_samples,
-    interval_summary,
-)
+from sensorloom.operators.pulse import PulseRules, base_levels
 from sensorloom.sources.scratch import materialize
 
 LONG, DOUBLE, BOOLEAN = T.LongType(), T.DoubleType(), T.BooleanType()
@@ -299,26 +292,3 @@ def long_window_peaks(
     limits = _limits(indexed, keys, rules, block_rows)
     maxima = sized_join(_maxima(indexed, keys), limits, keys, spread_by=["position"])
     return _prominent(indexed, _spaced(maxima, keys, block_rows), keys)
-
-
-def long_window_features(
-    df: DataFrame, keys: Sequence[str], *, rules: PulseRules, block_rows: int
-) -> DataFrame:
-    """``bvp_window_rows`` and the three pulse features of long windows."""
-    keys = list(keys)
-    peaks = materialize(
-        long_window_peaks(finite_samples(df), keys, rules=rules, block_rows=block_rows), "beats"
-    )
-    rates = interval_summary(beat_intervals(peaks, keys, rules=rules, block_rows=block_rows), keys)
-    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("bvp_window_rows"))
-    return (
-        rows.join(rates, keys, "left")
-        .join(bvp_variability(df, keys, rules), keys, "left")
-        .select(
-            *keys,
-            "bvp_window_rows",
-            "wearable_pulse_rate_bpm",
-            "wearable_pulse_interval_rmssd_ms",
-            "wearable_bvp_variability",
-        )
-    )

@@ -1,12 +1,12 @@
 """Pulse features of a photoplethysmogram: peaks, beat intervals, rate and RMSSD.
 
-Windows of ordinary length are handled one per group call, many in parallel. Windows with more
+Windows of ordinary length are handled many at a time, as one array. Windows with more
 rows than one task should hold go through :mod:`sensorloom.operators.long_pulse`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,35 +41,125 @@ class PulseRules:
 DEFAULT_RULES = PulseRules()
 
 
-# --- kernel helpers: one window's samples, sorted by time --------------------------------------
+# --- kernel: the sorted samples of many windows as one array -----------------------------------
 
 
-def local_maxima(values: np.ndarray) -> np.ndarray:
-    """Positions of strict local maxima; a plateau counts once at its middle, ends never count."""
-    if len(values) < 3:
-        return np.empty(0, dtype=np.int64)
-    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-    stops = np.r_[starts[1:], len(values)] - 1
-    levels = values[starts]
-    top = np.zeros(len(levels), dtype=bool)
-    top[1:-1] = (levels[1:-1] > levels[:-2]) & (levels[1:-1] > levels[2:])
-    return (starts[top] + stops[top]) // 2
-
-
-def keep_spaced(positions: np.ndarray, heights: np.ndarray, distance: int) -> np.ndarray:
-    """Mask of the peaks left when higher peaks suppress others closer than ``distance``."""
-    keep = np.ones(len(positions), dtype=bool)
-    if distance <= 1 or len(positions) < 2:
-        return keep
-    first = np.searchsorted(positions, positions - distance, side="right")
-    last = np.searchsorted(positions, positions + distance, side="left")
-    for peak in np.lexsort((positions, heights))[::-1]:
-        if keep[peak]:
-            keep[first[peak] : last[peak]] = False
-            keep[peak] = True
+@dataclass(frozen=True)
+class Segments:
+    """Windows as consecutive runs of samples: where each begins, and the window of every sample."""
+
+    starts: np.ndarray
+    of: np.ndarray
+
+    @classmethod
+    def between(cls, changes: np.ndarray) -> Segments:
+        """From marks of the samples that begin a window."""
+        return cls(np.flatnonzero(changes), np.cumsum(changes) - 1)
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(np.append(self.starts, len(self.of)))
+
+    @property
+    def joined(self) -> np.ndarray:
+        """Whether each sample but the first is in the window of the one before."""
+        return self.of[1:] == self.of[:-1]
+
+
+def maxima_of(values: np.ndarray, windows: Segments) -> np.ndarray:
+    """Positions of strict local maxima; a plateau counts once at its middle, ends of a window never count."""
+    begins = np.append(True, (values[1:] != values[:-1]) | ~windows.joined)[: len(values)]
+    first = np.flatnonzero(begins)
+    last = np.append(first[1:], len(values)) - 1
+    rises = (values[first[1:]] > values[first[:-1]]) & (windows.of[first[1:]] == windows.of[first[:-1]])
+    falls = (values[first[1:]] < values[first[:-1]]) & (windows.of[first[1:]] == windows.of[first[:-1]])
+    top = np.append(False, rises) & np.append(falls, False) if len(first) else np.zeros(0, dtype=bool)
+    return (first[top] + last[top]) // 2
+
+
+def _range_maxima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The maximum of ``values[low:high]`` for each pair of bounds, from maxima of runs of powers of two."""
+    power = np.frexp((high - low).astype(float))[1] - 1
+    result = np.empty(len(low), dtype=values.dtype)
+    level = values
+    for k in range(int(power.max()) + 1 if len(power) else 0):
+        if k:
+            level = np.maximum(level[: -(1 << (k - 1))], level[1 << (k - 1) :])
+        rows = power == k
+        result[rows] = np.maximum(level[low[rows]], level[high[rows] - (1 << k)])
+    return result
+
+
+def spaced(positions: np.ndarray, heights: np.ndarray, window: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Mask of the peaks left when higher peaks suppress others of their window closer than its ``distance``.
+
+    Of equal heights the later one wins. In a round every undecided peak that is the highest undecided one within
+    its distance stays and removes the others there; rounds go on with those that are left.
+    """
+    keep = np.zeros(len(positions), dtype=bool)
+    rank = np.empty(len(positions), dtype=np.int64)
+    rank[np.lexsort((positions, heights))] = np.arange(len(positions))
+    open_ = np.arange(len(positions))
+    while len(open_):
+        at, of = positions[open_], window[open_]
+        reach = distance[of]
+        low = np.maximum(np.searchsorted(at, at - reach, side="right"), np.searchsorted(of, of))
+        high = np.minimum(np.searchsorted(at, at + reach), np.searchsorted(of, of, side="right"))
+        low, high = np.minimum(low, np.arange(len(at))), np.maximum(high, np.arange(len(at)) + 1)
+        wins = _range_maxima(rank[open_], low, high) == rank[open_]
+        keep[open_[wins]] = True
+        won = np.append(0, np.cumsum(wins))
+        open_ = open_[won[high] == won[low]]
     return keep
 
 
+def prominence(values: np.ndarray, peak: int, start: int, stop: int) -> float:
+    """Height of a peak over the higher of the lowest values before a higher sample on either side."""
+    bases = []
+    for side in (values[start:peak][::-1], values[peak + 1 : stop]):
+        higher = side > values[peak]
+        reach = int(higher.argmax()) if higher.any() else len(side)
+        bases.append(side[:reach].min(initial=values[peak]))
+    return float(values[peak] - max(bases))
+
+
+def beats(times: np.ndarray, values: np.ndarray, windows: Segments, rules: PulseRules) -> np.ndarray:
+    """Positions of the beats of all windows; a window whose rate cannot be told has none.
+
+    Neither peaks nor prominences depend on the level of a window, so nothing is subtracted.
+    """
+    count = len(windows.starts)
+    sizes = windows.sizes
+    steps, owner = np.diff(times)[windows.joined], windows.of[1:][windows.joined]
+    steps = steps[np.lexsort((steps, owner))]
+    ends = np.cumsum(sizes - 1)
+    middle = ends - sizes + 1 + (sizes - 2) // 2, ends - sizes + 1 + (sizes - 1) // 2
+    usable = sizes >= max(rules.minimum_samples, 2)
+    typical = np.zeros(count)
+    typical[usable] = (steps[middle[0][usable]] + steps[middle[1][usable]]) / 2
+    usable &= typical != 0
+    distance = np.ones(count)
+    distance[usable] = np.maximum(1, np.rint(1.0 / typical[usable] * rules.refractory_seconds))
+    mean = np.add.reduceat(values, windows.starts) / sizes
+    spread = np.sqrt(np.add.reduceat((values - mean[windows.of]) ** 2, windows.starts) / sizes)
+    floor = np.maximum(rules.prominence_floor, rules.prominence_share * spread)
+
+    peaks = maxima_of(values, windows)
+    peaks = peaks[usable[windows.of[peaks]]]
+    peaks = peaks[spaced(peaks, values[peaks], windows.of[peaks], distance)]
+    stops = windows.starts + sizes
+    stand_out = [
+        prominence(values, peak, windows.starts[w], stops[w]) >= floor[w]
+        for peak, w in zip(peaks.tolist(), windows.of[peaks].tolist())
+    ]
+    return peaks[np.array(stand_out, dtype=bool)]
+
+
+def local_maxima(values: np.ndarray) -> np.ndarray:
+    """``maxima_of`` for a single window."""
+    return maxima_of(values, Segments.between(np.arange(len(values)) == 0))
+
+
 def base_levels(
     values: np.ndarray, peaks: np.ndarray
 ) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -104,38 +194,6 @@ def _base_levels(heights: np.ndarray, valley_before: np.ndarray) -> tuple[np.nda
     return np.array(bases), np.array(walled, dtype=bool)
 
 
-def prominences(values: np.ndarray, peaks: np.ndarray) -> np.ndarray:
-    """Height of each peak over the higher of its two bases."""
-    (left, _), (right, _) = base_levels(values, peaks)
-    return values[peaks] - np.maximum(left, right)
-
-
-def window_peaks(times: np.ndarray, values: np.ndarray, rules: PulseRules) -> np.ndarray | None:
-    """Beat positions in one window; None where no rate can be told."""
-    if len(values) < rules.minimum_samples:
-        return None
-    step = float(np.median(np.diff(times)))
-    if step == 0:
-        return None
-    distance = max(1, int(round((1.0 / step) * rules.refractory_seconds)))
-    centered = values - np.median(values)
-    floor = max(float(np.std(centered)) * rules.prominence_share, rules.prominence_floor)
-    peaks = local_maxima(centered)
-    peaks = peaks[keep_spaced(peaks, centered[peaks], distance)]
-    return peaks[prominences(centered, peaks) >= floor]
-
-
-def interval_features(beat_times: np.ndarray, rules: PulseRules) -> tuple[float | None, float | None]:
-    intervals = np.diff(beat_times)
-    plausible = (intervals >= rules.shortest_interval) & (intervals <= rules.longest_interval)
-    intervals = intervals[plausible]
-    rate = 60.0 / float(np.mean(intervals)) if len(intervals) else None
-    rmssd = (
-        float(np.sqrt(np.mean(np.diff(intervals) ** 2)) * 1000.0) if len(intervals) >= 2 else None
-    )
-    return rate, rmssd
-
-
 # --- DataFrame operators -----------------------------------------------------------------------
 
 
@@ -215,17 +273,20 @@ def _split_long(
     )
 
 
-def _sorted_arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    times = table.column("time").to_numpy()
-    values = table.column("value").to_numpy()
-    order = np.lexsort((values, times))
-    return times[order], values[order]
-
-
 def _key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
     return [df.schema[key] for key in keys]
 
 
+def _key_changes(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Marks of the rows that begin a window of a table sorted by its keys."""
+    changes = np.arange(table.num_rows) == 0
+    for key in keys:
+        codes = table.column(key).combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = codes.indices.to_numpy() if isinstance(codes, pa.DictionaryArray) else codes.combine_chunks().indices.to_numpy()
+        changes[1:] |= codes[1:] != codes[:-1]
+    return changes
+
+
 def pulse_peaks(
     df: DataFrame,
     keys: Sequence[str] = WINDOW_KEYS,
@@ -251,18 +312,30 @@ def pulse_peaks(
         ]
     )
 
-    def detect(table: pa.Table) -> pa.Table:
-        times, values = _sorted_arrays(table)
-        found = window_peaks(times, values, rules)
-        found = np.empty(0, dtype=np.int64) if found is None else found
-        repeated = table.select(keys).slice(0, 1).take(pa.array(np.zeros(len(found), dtype=np.int64)))
-        return (
-            repeated.append_column("position", pa.array(found))
-            .append_column("time", pa.array(times[found]))
-            .append_column("height", pa.array(values[found]))
-        )
-
-    peaks = ordinary.groupBy(*keys).applyInArrow(detect, schema)
+    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the rows of the last window, which may go on in the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            changes = _key_changes(table, keys)
+            last = int(np.flatnonzero(changes)[-1]) if table.num_rows else 0
+            held = table.slice(last)
+            if last:
+                yield from found_in(table.slice(0, last), changes[:last])
+        if held is not None and held.num_rows:
+            yield from found_in(held, _key_changes(held, keys))
+
+    def found_in(table: pa.Table, changes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        windows = Segments.between(changes)
+        times, values = table.column("time").to_numpy(), table.column("value").to_numpy()
+        found = beats(times, values, windows, rules)
+        made = table.select(keys).take(pa.array(found))
+        made = made.append_column("position", pa.array(found - windows.starts[windows.of[found]]))
+        made = made.append_column("time", pa.array(times[found])).append_column("height", pa.array(values[found]))
+        yield from made.combine_chunks().to_batches()
+
+    by_window = ordinary.repartition(*keys).sortWithinPartitions(*keys, "time", "value")
+    peaks = by_window.mapInArrow(detect, schema)
     if long is None:
         return peaks
     from sensorloom.operators.long_pulse import long_window_peaks  # it builds on this module
@@ -312,38 +385,21 @@ def pulse_features(
     """One row per window with ``bvp_window_rows`` and the three pulse features."""
     keys = list(keys)
     samples = df.select(*keys, "time", "value")
-    ordinary, long = _split_long(samples, keys, block_rows, largest_window)
-    schema = T.StructType(
-        [
-            *_key_fields(df, keys),
-            T.StructField("bvp_window_rows", T.LongType()),
-            T.StructField("wearable_pulse_rate_bpm", T.DoubleType()),
-            T.StructField("wearable_pulse_interval_rmssd_ms", T.DoubleType()),
-            T.StructField("wearable_bvp_variability", T.DoubleType()),
-        ]
+    peaks = pulse_peaks(samples, keys, rules=rules, block_rows=block_rows, largest_window=largest_window)
+    intervals = beat_intervals(materialize(peaks, "beats"), keys, rules=rules, block_rows=block_rows)
+    rows = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("bvp_window_rows"))
+    return (
+        rows.join(interval_summary(intervals, keys), keys, "left")
+        .join(bvp_variability(samples, keys, rules), keys, "left")
+        .select(
+            *keys,
+            "bvp_window_rows",
+            "wearable_pulse_rate_bpm",
+            "wearable_pulse_interval_rmssd_ms",
+            "wearable_bvp_variability",
+        )
     )
 
-    def describe(table: pa.Table) -> pa.Table:
-        times, values = _sorted_arrays(table)
-        finite = np.isfinite(times) & np.isfinite(values)
-        times, values = times[finite], values[finite]
-        found = window_peaks(times, values, rules)
-        rate, rmssd = (None, None) if found is None else interval_features(times[found], rules)
-        usable = len(values) >= rules.minimum_samples
-        row = table.select(keys).slice(0, 1)
-        computed = (table.num_rows, rate, rmssd, float(np.std(values)) if usable else None)
-        for field, value in zip(schema.fields[len(keys) :], computed, strict=True):
-            kind = pa.int64() if isinstance(field.dataType, T.LongType) else pa.float64()
-            row = row.append_column(field.name, pa.array([value], kind))
-        return row
-
-    features = ordinary.groupBy(*keys).applyInArrow(describe, schema)
-    if long is None:
-        return features
-    from sensorloom.operators.long_pulse import long_window_features  # it builds on this module
-
-    return features.unionByName(long_window_features(long, keys, rules=rules, block_rows=block_rows))
-
 
 __all__ = [
     "DEFAULT_RULES",

@@ -12,7 +12,7 @@ from sensorloom.operators.fusion import (
     LateFusion,
     fit_fusion,
     missing_modality_scenarios,
-    softmax,
+    shares,
 )
 from sensorloom.operators.heads import LogisticHead, Standardizer, fit_heads, fit_standardizer, score_heads
 from sensorloom.plans.study import MODELS, StudySettings, run_study, save_study
@@ -175,7 +175,7 @@ def test_fusion_against_a_plain_loop(spark):
     result = fit_fusion(df.repartition(4), ["a", "b"], learning_rate=0.8, epochs=25, fallback=0.4)
     z, best = np.zeros(2), (np.inf,)
     for _ in range(26):
-        w = softmax(z)
+        w = shares(z)
         f = p @ w
         loss = _entropy(y, f)
         if loss < best[0]:

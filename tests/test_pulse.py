@@ -5,12 +5,15 @@ import pytest
 
 from sensorloom.operators.pulse import (
     PulseRules,
-    interval_features,
-    keep_spaced,
+    Segments,
+    beat_intervals,
+    interval_summary,
     local_maxima,
-    prominences,
+    maxima_of,
+    prominence,
     pulse_features,
     pulse_peaks,
+    spaced,
 )
 
 
@@ -68,18 +71,34 @@ def test_kernel_parts_against_brute_force(name, x):
     peaks = local_maxima(x)
     assert list(peaks) == naive_maxima(x)
     for distance in (1, 2, 5, 30):
-        kept = peaks[keep_spaced(peaks, x[peaks], distance)]
+        kept = peaks[spaced(peaks, x[peaks], np.zeros(len(peaks), dtype=int), np.array([distance]))]
         assert list(kept) == naive_spaced(list(peaks), list(x[peaks]), distance)
-    assert np.allclose(prominences(x, peaks), [naive_prominence(x, p) for p in peaks])
-
-
-def test_intervals_bridge_dropped_ones():
-    rules = PulseRules()
-    rate, rmssd = interval_features(np.array([0.0, 1.0, 4.0, 4.8]), rules)
-    assert rate == pytest.approx(60 / 0.9)
-    assert rmssd == pytest.approx(200.0)
-    assert interval_features(np.array([0.0, 0.2]), rules) == (None, None)
-    assert interval_features(np.array([0.0, 0.33, 1.83]), rules)[0] == pytest.approx(60 / ((0.33 + 1.5) / 2))
+    assert np.allclose([prominence(x, p, 0, len(x)) for p in peaks], [naive_prominence(x, p) for p in peaks])
+
+
+def test_many_windows_at_once_equal_each_alone():
+    parts = [x for _, x in signals()] + [np.zeros(1), np.array([0.0, 1.0, 0.0])]
+    # A staircase of peaks, each of which has to wait for the one before.
+    parts.append(np.where(np.arange(600) % 2, np.arange(600.0), 0.0))
+    values = np.concatenate(parts)
+    windows = Segments.between(np.concatenate([np.arange(len(x)) == 0 for x in parts]))
+    peaks = maxima_of(values, windows)
+    distance = np.array([1 + 3 * (i % 5) for i in range(len(parts) - 1)] + [3])
+    kept = set(peaks[spaced(peaks, values[peaks], windows.of[peaks], distance)].tolist())
+    for w, (x, start) in enumerate(zip(parts, windows.starts)):
+        assert [p + start for p in naive_maxima(x)] == peaks[windows.of[peaks] == w].tolist()
+        alone = naive_spaced(naive_maxima(x), list(x[naive_maxima(x)]), distance[w])
+        assert [p + start for p in alone] == sorted(p for p in kept if windows.of[p] == w)
+
+
+def test_intervals_bridge_dropped_ones(spark):
+    beats = {"a": [0.0, 1.0, 4.0, 4.8], "b": [0.0, 0.2], "c": [0.0, 0.33, 1.83]}
+    rows = [(w, i, t, 1.0) for w, times in beats.items() for i, t in enumerate(times)]
+    peaks = spark.createDataFrame(rows, "w string, position long, time double, height double")
+    found = {r["w"]: tuple(r)[1:] for r in interval_summary(beat_intervals(peaks, ["w"]), ["w"]).collect()}
+    assert found["a"] == pytest.approx((60 / 0.9, 200.0))
+    assert "b" not in found
+    assert found["c"][0] == pytest.approx(60 / ((0.33 + 1.5) / 2))
 
 
 def _frame(spark):
