@@ -299,17 +299,17 @@ def keep_one_of_each_group(
         F.min("fingerprint").alias("kept_print")
     )
     rows = groups.groupBy("id", "fingerprint", "component", "component_id").agg(F.count(F.lit(1)).alias("copies"))
-    judged = rows.join(keepers, "component").select(
-        "id", "fingerprint", "copies",
-        (F.col("id").eqNullSafe(F.col("component_id")) & (F.col("fingerprint") == F.col("kept_print"))).alias("kept"),
-    )
     mark, print_ = fresh(docs, "group_action"), fresh(docs, "fingerprint")
+    # Most rows of a large group have another id than the group; only the others need the group's kept fingerprint.
+    own = F.col("id").eqNullSafe(F.col("component_id"))
+    judged = rows.where(own).join(keepers, "component").withColumn(
+        mark,
+        F.when(F.col("fingerprint") != F.col("kept_print"), "none").when(F.col("copies") > 1, "one"),
+    )
+    others = rows.where(~own).withColumn(mark, F.lit("none"))
+    action = [F.col("id").alias("action_id"), F.col("fingerprint").alias("action_print"), F.col(mark)]
     actions = materialize(
-        judged.where(~F.col("kept") | (F.col("copies") > 1)).select(
-            F.col("id").alias("action_id"), F.col("fingerprint").alias("action_print"),
-            F.when(F.col("kept"), "one").otherwise("none").alias(mark),
-        ),
-        "group-actions",
+        others.select(*action).unionByName(judged.where(F.col(mark).isNotNull()).select(*action)), "group-actions"
     )
     if actions.count() <= BROADCAST_ROWS:
         actions = F.broadcast(actions)
