@@ -311,6 +311,7 @@ def keep_one_of_each_group(
     actions = materialize(
         others.select(*action).unionByName(judged.where(F.col(mark).isNotNull()).select(*action)), "group-actions"
     )
+    with_repeats = not actions.where(F.col(mark) == "one").isEmpty()
     if actions.count() <= BROADCAST_ROWS:
         actions = F.broadcast(actions)
     printed = with_fingerprint(docs, text, print_, shingle)
@@ -321,5 +322,7 @@ def keep_one_of_each_group(
     )
     names = [F.col(quoted(c)) for c in docs.columns]
     single = marked.where(F.col(mark).isNull()).select(*names)
+    if not with_repeats:
+        return single
     repeated = marked.where(F.col(mark) == "one").select(*names, F.col(print_))
     return single.unionByName(repeated.dropDuplicates([doc_id, print_]).select(*names))
