@@ -7,6 +7,7 @@ into blocks, work inside the blocks, and carry one small row per block across th
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from sensorloom.sources.scratch import materialize
 
 BLOCK_ROWS = 250_000
+MOST_BLOCKS = 2_000
 # Rows up to which a built-in exact median of whole columns is the quicker way.
 SMALL_ROWS = 1_000_000
 
@@ -86,8 +88,14 @@ def first_difference(
     )
 
 
+def block_count(rows: int, block_rows: int, partitions: int) -> int:
+    """Blocks of about ``block_rows`` rows, but no more than a cluster can schedule: larger ones are streamed and spill."""
+    return max(2, min(-(-rows // block_rows), max(MOST_BLOCKS, 4 * partitions)))
+
+
 def blocks_for(df: DataFrame, block_rows: int) -> int:
-    return max(2, -(-df.count() // block_rows))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return block_count(df.count(), block_rows, partitions)
 
 
 def ordered_blocks(
@@ -273,25 +281,27 @@ def column_medians(
             for c, b in brackets.items()
         )
     )
-    histogram: dict[str, list[tuple[float, int]]] = {c: [] for c in brackets}
     counted = (
         data.select(F.explode(entries).alias("entry"))
         .select("entry.*")
         .where(F.col("value").isNotNull())
         .groupBy("name", "value")
-        .count()
-        .orderBy("name", "value")
+        .agg(F.count(F.lit(1)).alias("count"))
     )
-    for row in counted.collect():  # at most about small_rows distinct values per column
-        histogram[row["name"]].append((row["value"], row["count"]))
-
+    ranked = running_totals(materialize(counted, "counted"), ["name"], ["value"], {"before": F.col("count")})
+    wanted = [(c, rank - b[2]) for c, b in brackets.items() for rank in sorted(set(middle[c]))]
+    holds = [
+        (F.col("name") == c) & (F.col("before") <= rank) & (F.col("before") + F.col("count") > rank)
+        for c, rank in wanted
+    ]
+    # One row for each middle rank reaches the driver, two for each column at most.
+    found = ranked.where(reduce(Column.__or__, holds)).collect() if holds else []
     medians: dict[str, float | None] = dict.fromkeys(values)
     for v, c in columns.items():
-        if c not in brackets:
-            continue
-        seen, found = brackets[c][2], []
-        for value, count in histogram[c]:
-            found += [value for rank in middle[c] if seen <= rank < seen + count]
-            seen += count
-        medians[v] = (found[0] + found[1]) / 2
+        if c in brackets:
+            at = [
+                next(r["value"] for r in found if r["name"] == c and r["before"] <= rank - brackets[c][2] < r["before"] + r["count"])
+                for rank in middle[c]
+            ]
+            medians[v] = (at[0] + at[1]) / 2
     return medians

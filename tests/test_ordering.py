@@ -81,3 +81,11 @@ def test_column_medians_by_bracketing(spark):
         for name in columns:
             expected = data[name].median()
             assert found[name] == expected or (found[name] is None and np.isnan(expected)), (name, size)
+
+
+def test_block_count_follows_the_cluster():
+    from sensorloom.operators.ordering import block_count
+
+    assert block_count(600_000, 250_000, 8) == 3
+    assert block_count(10**9, 250_000, 200) == 2_000
+    assert block_count(10**13, 250_000, 5_000) == 20_000
