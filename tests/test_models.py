@@ -82,13 +82,20 @@ def test_published_ablation(tested):
 
 
 def test_metrics_of_ties_and_single_classes(spark):
-    rows = [("tie", 1, 0.5), ("tie", 0, 0.5), ("tie", 1, 0.9), ("one", 1, 0.7), ("one", 1, 0.2), ("null", 1, None),
-            ("null", 0, 0.1), ("null", 1, 0.6)]
+    rows = [("tie", 1, 0.5), ("tie", 0, 0.5), ("tie", 1, 0.9), ("one", 1, 0.7), ("one", 1, 0.2), ("both", 0, 0.1),
+            ("both", 1, 0.6)]
     df = spark.createDataFrame(rows, f"g string, {TARGET} int, probability double")
     found = {r["g"]: r for r in classification_metrics(df, ["g"]).collect()}
     assert found["tie"]["auroc"] == 0.75 and found["tie"]["balanced_accuracy"] == 0.5
     assert found["one"]["auroc"] is None and found["one"]["balanced_accuracy"] == 0.5
-    assert found["null"]["auroc"] == 1.0 and found["null"]["accuracy"] == 1.0
+    assert found["both"]["auroc"] == 1.0 and found["both"]["accuracy"] == 1.0
+
+
+def test_a_row_without_a_score_is_an_error(spark):
+    rows = [("a", 1, None), ("a", 0, 0.1), ("a", 1, 0.6)]
+    df = spark.createDataFrame(rows, f"g string, {TARGET} int, probability double")
+    with pytest.raises(Exception, match="no value in probability"):
+        classification_metrics(df, ["g"]).collect()
 
 
 def test_blocked_auroc_against_pairs(spark):
@@ -243,7 +250,11 @@ def test_whole_study(spark, tmp_path):
     save_study(spark, result, str(tmp_path / "out"))
     written = {p.name for p in (tmp_path / "out").iterdir()}
     assert len(written) == 11 and {"metrics", "explanations", "ablation", "eeg_training_curve"} <= written
-    document = spark.read.json(str(tmp_path / "out" / "metrics")).first()
-    assert document["split_sizes"]["train"] == 6 and len(document["split_subjects"]["test"]) == 2
+    document = spark.read.json(str(tmp_path / "out" / "metrics")).collect()
+    sizes = {r["name"]: r["value"] for r in document if r["section"] == "split_sizes"}
+    assert sizes == {"train": 6, "validation": 2, "test": 2}
+    listed = [(r["name"], r["text"]) for r in document if r["section"] == "split_subjects"]
+    assert sorted(listed) == sorted((r["split"], r["patient_id"]) for r in result.membership.collect())
+    assert sum(r["section"] == "metrics" for r in document) == 24
     explicit = result.membership.withColumn("split", F.reverse(F.col("split")))
     assert explicit.count() == 10
