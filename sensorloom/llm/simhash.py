@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorloom.llm import near_copies
 from sensorloom.llm.components import connected_components
 from sensorloom.llm.tables import BROADCAST_ROWS, fresh, quoted, with_text_columns
 from sensorloom.llm.words import chunks, space_joined, split_words, xxh64
@@ -245,8 +246,14 @@ def fingerprint_links(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFr
 # Documents
 
 
+def _with_node(docs: DataFrame, text: str, name: str, shingle: int, least_percent: int | None) -> DataFrame:
+    if least_percent is None:
+        return with_fingerprint(docs, text, name, shingle)
+    return near_copies.with_set_hash(docs, text, name, shingle)
+
+
 def near_duplicate_groups(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, least_percent: int | None = None
 ) -> DataFrame:
     """One row per row of ``docs``: its id, ``fingerprint`` (long), ``component_id`` and ``component``.
 
@@ -256,17 +263,24 @@ def near_duplicate_groups(
     row's own included. A null or wordless text has fingerprint 0 and links like any other. Rows with a
     null id take part in linking and have the component of the ids they reach, null if there are none. Repeated
     rows give repeated rows. Equal fingerprints are one node, so a group of exact copies of any size is one row.
+
+    With ``least_percent`` the links are the pairs of at least that Jaccard similarity in percent instead, all of them
+    (``near_copies``); ``fingerprint`` is then a hash of the shingle set.
     """
     node = fresh(docs.select(F.col(quoted(doc_id))), "fingerprint")
     prints = materialize(
-        with_fingerprint(docs.select(F.col(quoted(doc_id)), F.col(quoted(text))), text, node, shingle)
+        _with_node(docs.select(F.col(quoted(doc_id)), F.col(quoted(text))), text, node, shingle, least_percent)
         .select(F.col(quoted(doc_id)), F.col(node).alias("fingerprint")),
         "fingerprints",
     )
     points = materialize(
         prints.groupBy("fingerprint").agg(F.min(quoted(doc_id)).alias("least_id")), "fingerprint-nodes"
     )
-    components = connected_components(fingerprint_links(points.select("fingerprint")))
+    if least_percent is None:
+        links = fingerprint_links(points.select("fingerprint"))
+    else:
+        links = near_copies.similar_links(docs, text, points.count(), shingle, least_percent)
+    components = connected_components(links)
     labelled = materialize(
         points.join(components.select(F.col("node").alias("fingerprint"), "component"), "fingerprint", "left").select(
             "fingerprint", "least_id", F.coalesce("component", "fingerprint").alias("component")
@@ -281,7 +295,7 @@ def near_duplicate_groups(
 
 
 def keep_one_of_each_group(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, least_percent: int | None = None
 ) -> DataFrame:
     """``docs`` with one row of each group, that with the smallest id, and the same columns.
 
@@ -290,7 +304,7 @@ def keep_one_of_each_group(
     removed can be broadcast; fingerprints are computed again for the join instead.
     """
     groups = materialize(
-        near_duplicate_groups(docs, doc_id, text, shingle).select(
+        near_duplicate_groups(docs, doc_id, text, shingle, least_percent).select(
             F.col(quoted(doc_id)).alias("id"), "fingerprint", "component_id", "component"
         ),
         "groups",
@@ -314,7 +328,7 @@ def keep_one_of_each_group(
     with_repeats = not actions.where(F.col(mark) == "one").isEmpty()
     if actions.count() <= BROADCAST_ROWS:
         actions = F.broadcast(actions)
-    printed = with_fingerprint(docs, text, print_, shingle)
+    printed = _with_node(docs, text, print_, shingle, least_percent)
     marked = printed.join(
         actions,
         F.col(quoted(doc_id)).eqNullSafe(F.col("action_id")) & (F.col(print_) == F.col("action_print")),
