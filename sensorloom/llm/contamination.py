@@ -4,10 +4,12 @@ Items are partitioned by their number of distinct shingles into classes of power
 document is cut into windows of twice the class size that start every class size, so that an item lies
 whole in some window and is at least a fixed share of it. An item is a candidate if one of its minima
 equals the window's; candidates are verified by the containment of the item's shingles in the whole document.
+Items of up to eight shingles would be too small a share of a window and are looked up by their shingles instead.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +26,8 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 PERMUTATIONS = 64
 ITEMS_PER_BLOCK = 20_000
-SMALLEST_CLASS = 8
+LOOKED_UP = 8
+SMALLEST_CLASS = 16
 _TABLE = bytes(LOWERED)
 _FILTER_BITS = 22
 
@@ -65,6 +68,15 @@ class _Class:
     items: dict[tuple[int, int], list[int]]
 
 
+@dataclass
+class _Lookup:
+    """The items of one width that are looked up: ascending shingle hashes, and the items of each."""
+
+    hashes: np.ndarray
+    present: np.ndarray
+    items: list[list[int]]
+
+
 class ItemIndex:
     """A bounded block of items, ready to be sent to every task."""
 
@@ -73,6 +85,7 @@ class ItemIndex:
         self.shingles: list[set[bytes]] = []
         self.width: list[int] = []
         grouped: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        small: dict[int, dict[int, list[int]]] = {}
         for item_id, text in rows:
             words = len(text.encode().split())
             if words == 0:
@@ -81,10 +94,16 @@ class ItemIndex:
             parts = split_words(pa.array([text]))
             hashes = _narrow(joined_hashes(word_hashes(parts), width))
             shingles = _shingles(text, width)
-            size = SMALLEST_CLASS
-            while size < len(shingles):
-                size *= 2
-            grouped.setdefault((width, size), []).append((len(self.ids), hashes))
+            if len(shingles) <= LOOKED_UP:
+                # A document that lacks less than this many shingles has one of them.
+                enough = len(shingles) - math.ceil(CONTAINMENT * len(shingles)) + 1
+                for value in np.unique(hashes)[:enough].tolist():
+                    small.setdefault(width, {}).setdefault(value, []).append(len(self.ids))
+            else:
+                size = SMALLEST_CLASS
+                while size < len(shingles):
+                    size *= 2
+                grouped.setdefault((width, size), []).append((len(self.ids), hashes))
             self.ids.append(item_id)
             self.shingles.append(shingles)
             self.width.append(width)
@@ -98,16 +117,26 @@ class ItemIndex:
                 for p, value in enumerate(minima.tolist()):
                     items.setdefault((p, value), []).append(place)
             self.classes.setdefault(width, []).append(_Class(size, present, items))
+        self.lookups: dict[int, _Lookup] = {}
+        for width, places in sorted(small.items()):
+            hashes = np.array(sorted(places), dtype=np.uint32)
+            present = np.zeros(1 << _FILTER_BITS, dtype=bool)
+            present[hashes >> np.uint32(32 - _FILTER_BITS)] = True
+            self.lookups[width] = _Lookup(hashes, present, [places[value] for value in hashes.tolist()])
 
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int]]:
         """Row of ``texts``, place of the item and number of shared shingles, for every contained item."""
         candidates: set[tuple[int, int]] = set()
         words = split_words(texts)
         hashes = word_hashes(words)
-        for width, classes in self.classes.items():
+        for width in sorted({*self.classes, *self.lookups}):
             at, of = window_starts(words, width)
             if len(at):
-                self._candidates(_narrow(joined_hashes(hashes, width)[at]), of, classes, candidates)
+                shingled = _narrow(joined_hashes(hashes, width)[at])
+                if width in self.lookups:
+                    self._looked_up(shingled, of, self.lookups[width], candidates)
+                if width in self.classes:
+                    self._candidates(shingled, of, self.classes[width], candidates)
         found = []
         known: tuple[int, int] | None = None
         shingles: set[bytes] = set()
@@ -120,6 +149,14 @@ class ItemIndex:
                 found.append((row, place, shared))
         return found
 
+    def _looked_up(self, hashes: np.ndarray, of: np.ndarray, lookup: _Lookup, candidates: set[tuple[int, int]]) -> None:
+        """Adds (row, item) where a row has one of the item's hashes."""
+        at = np.flatnonzero(lookup.present[hashes >> np.uint32(32 - _FILTER_BITS)])
+        found = np.minimum(np.searchsorted(lookup.hashes, hashes[at]), len(lookup.hashes) - 1)
+        equal = lookup.hashes[found] == hashes[at]
+        for row, key in np.unique(np.stack((of[at[equal]], found[equal])), axis=1).T.tolist():
+            candidates.update((row, place) for place in lookup.items[key])
+
     def _candidates(
         self, hashes: np.ndarray, of: np.ndarray, classes: list[_Class], candidates: set[tuple[int, int]]
     ) -> None:
@@ -178,8 +215,9 @@ def contained_items(
     document; an item with fewer words is one shingle of all of them, and one without words is never
     contained. Null texts have no words; null ids are kept; repeated documents and items give repeated rows.
     The items are the query set: they are sent to the tasks in blocks of 20,000, and each block reads the
-    documents once. Documents are not shuffled. A window holds an item whole, so its Jaccard similarity with an item
-    it contains by 0.8 is at least 0.19, and all 64 minima differ with a probability below 2e-6.
+    documents once. Documents are not shuffled. Items of up to eight shingles are found exactly. For a larger one that lies
+    whole in a window, the Jaccard similarity with the window is at least 0.19 if it contains the item by 0.8, and
+    all 64 minima differ with a probability below 2e-6.
     """
     schema = T.StructType(
         [
