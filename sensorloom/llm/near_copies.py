@@ -1,7 +1,7 @@
 """Near copies: every pair of texts whose word shingles have at least a given Jaccard similarity.
 
 Texts of equal shingle sets are one node. Prefix filtering loses no pair: of sets in one common order, two that are
-similar enough share one of their first shingles. Candidates are verified on the whole sets.
+similar enough share several of their first shingles. Candidates are verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ LEAST_PERCENT = 80
 SAMPLED_NODES = 10_000
 COMMON_FROM = 5
 COMMON_SHINGLES = 200_000
+# Of sets with this many shingles each, similar ones share one more than every twentieth among the first.
+FIRST_PART = 20
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +105,8 @@ def _prefixes(shingle: int, least_percent: int, common):
             place = np.minimum(np.searchsorted(last, keys), max(len(last) - 1, 0))
             usual = last[place] == keys if len(last) else np.zeros(len(keys), dtype=bool)
             order = np.lexsort((keys, usual, of))
-            length = sizes + least_percent * sizes // -100 + 1  # all but the least overlap, and one
+            # All but the least overlap and some more: two sets with that overlap share as many of these as were added.
+            length = sizes + least_percent * sizes // -100 + 1 + sizes // FIRST_PART
             inside = np.arange(len(keys)) - bounds[of] < length[of]
             inside &= np.isin(of, new)
             chosen, of = keys[order][inside], of[inside]
@@ -179,7 +182,7 @@ def similar_links(
         shared.withColumn("before", F.lag("node").over(by_size))
         .withColumn("less", F.lag("size").over(by_size))
         .where((F.col("before") != F.col("node")) & (100 * F.col("less") >= least_percent * F.col("size")))
-        .select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"))
+        .select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"), "less")
     )
     found = _similar(texts, first, shingle, least_percent)
     components = materialize(connected_components(found), "near-copies")
@@ -201,13 +204,16 @@ def similar_links(
         & (F.col("x.node") < F.col("y.node"))
         & (100 * F.col("x.size") >= least_percent * F.col("y.size"))
         & (100 * F.col("y.size") >= least_percent * F.col("x.size")),
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.size", "y.size").alias("less"))
     return found.unionByName(_similar(texts, rest, shingle, least_percent))
 
 
 def _similar(texts: DataFrame, pairs: DataFrame, shingle: int, least_percent: int) -> DataFrame:
-    """The distinct pairs of nodes that are similar enough."""
-    pairs = materialize(pairs.distinct(), "near-pairs")
+    """The pairs of nodes that are similar enough, of those that occur often enough for their smaller size ``less``."""
+    pairs = materialize(
+        pairs.groupBy("a", "b", "less").count().where(F.col("count") > F.floor(F.col("less") / FIRST_PART)).select("a", "b"),
+        "near-pairs",
+    )
     wanted = materialize(
         pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "near-nodes"
     )
