@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorloom.llm import chat, contamination, host_rules, katz, packing, page_text, passages, simhash, site_lines, toxicity
+from sensorloom.llm import (
+    chat,
+    collocations,
+    contamination,
+    hard_negatives,
+    host_rules,
+    katz,
+    packing,
+    page_text,
+    passages,
+    simhash,
+    site_lines,
+    toxicity,
+    vector_copies,
+)
 from sensorloom.llm.tables import ready
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +209,87 @@ leaks AS (
 LEAKS_SQL = f"""WITH {contained_sql()}
 SELECT doc_id, item_id, n_shared, n_shingles, containment FROM leaks JOIN leak_docs USING (row_key)"""
 
+
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+PHRASES_SQL = rf"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array({LOWER_SQL}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+word_lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+windows AS (
+  SELECT lang, k, words[start:start + k - 1] AS words
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS start FROM word_lists, range(1, 5) AS sizes(k))),
+counts AS (SELECT lang, k, words, array_to_string(words, ' ') AS phrase, CAST(count(*) AS HUGEINT) AS f FROM windows GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY ALL),
+candidates AS (SELECT * FROM counts WHERE k >= 2 AND f >= 30),
+cuts AS (SELECT c.*, unnest(range(1, c.k)) AS cut FROM candidates c),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.cut, x.f AS l, y.f AS r, (2000000 * c.f) // (x.f + y.f) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:c.cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[c.cut + 1:c.k], ' ')),
+weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(words[start:start + size - 1], ' ') AS phrase, f
+  FROM (SELECT *, unnest(range(1, k - size + 2)) AS start FROM candidates, range(2, 4) AS parts(size) WHERE size < k)),
+covered AS (
+  SELECT c.lang, c.phrase FROM candidates c JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase
+  GROUP BY ALL HAVING max(CASE WHEN 100 * i.f >= 80 * c.f THEN 1 ELSE 0 END) = 1),
+ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank
+  FROM weakest w ANTI JOIN covered v ON v.lang = w.lang AND v.phrase = w.phrase)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n,
+       CAST(score AS BIGINT) AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+def vector_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_copies.near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
+VECTORS_SQL = """WITH RECURSIVE vectors AS (
+  SELECT row_number() OVER () AS k, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+valid AS (
+  SELECT * FROM vectors
+  WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.k AS a, y.k AS b FROM valid x JOIN valid y ON x.label = y.label AND x.k <> y.k AND len(x.e) = len(y.e)
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
+reached AS (
+  SELECT k, k AS other FROM vectors UNION SELECT r.k, l.b FROM reached r JOIN links l ON l.a = r.other),
+components AS (SELECT r.k, min(v.vec_id) AS component_id FROM reached r JOIN vectors v ON v.k = r.other GROUP BY ALL)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, c.component_id, coalesce(v.vec_id = c.component_id, false) AS kept
+FROM vectors v JOIN components c USING (k) LEFT JOIN (SELECT a AS k, count(*) AS n_links FROM links GROUP BY ALL) n USING (k)"""
+
+
+def mined_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every hundredth vec_id is an anchor; every seventh has the next label instead of its own."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"), lambda key: key % 100 == 0, label=moved)
+
+
+NEGATIVES_SQL = """WITH valid AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+         CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+  FROM valid a JOIN valid c ON len(a.e) = len(c.e) AND a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other_id AS negative_id,
+       p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+WHERE 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)
+QUALIFY row_number() OVER w <= 5"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_katz_backoff": (language_model, None),
     "op2_best_fit_packing": (packed, None),
@@ -206,4 +301,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_host_quality_rules": (host_judged, JUDGED_SQL),
     "op9_chat_round_trip": (formatted, FORMATTED_SQL),
     "op10_benchmark_leaks": (leaks, LEAKS_SQL),
+    "op11_phrase_collocations": (phrases, PHRASES_SQL),
+    "op12_vector_near_duplicates": (vector_near_duplicates, VECTORS_SQL),
+    "op13_hard_negatives": (mined_negatives, NEGATIVES_SQL),
 }

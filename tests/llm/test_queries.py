@@ -36,4 +36,4 @@ def test_query_without_sql_has_its_columns(spark, name):
 
 def test_all_are_registered():
     assert {*QUERIES, "pipeline"} <= set(contract.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
