@@ -30,7 +30,8 @@ TOP = 2000
 NO_LANGUAGE = "und"
 SCORE_UNIT = 2_000_000
 # Bytes of text of a shard; one longer text is a shard of its own.
-SHARD_BYTES = 1 << 24
+SHARD_BYTES = 1 << 23
+OUTPUT_ROWS = 1 << 16
 RANK_PARTS = 64
 
 _BREAK = np.zeros(256, dtype=bool)
@@ -52,26 +53,33 @@ class Index:
         base = int(ids.max(initial=0)) + 1
         padded = np.concatenate((ids, np.zeros(LONGEST, dtype=ids.dtype))).astype(np.int64)
         pairs = _ranks(padded[:-1] * base + padded[1:])
-        ends = pairs[: len(ids)] * (int(pairs.max(initial=0)) + 1) + pairs[2 : len(ids) + 2]
-        self.suffixes = np.argsort(ends, kind="stable")
+        most = int(pairs.max(initial=0)) + 1
+        self.suffixes = _order(pairs[: len(ids)].astype(np.int64) * most + pairs[2 : len(ids) + 2])
         self.before = ids[self.suffixes - 1] if len(ids) else ids
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=base))))
 
     @cached_property
     def back(self) -> np.ndarray:
         """For each place of the index that of the suffix one word longer."""
-        order = np.argsort(self.before, kind="stable")
-        result = np.empty(len(order), dtype=np.int64)
-        result[order] = np.arange(len(order))
-        return result
+        return _inverse(_order(self.before))
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    return np.argsort(keys, kind="stable").astype(np.int32)
+
+
+def _inverse(order: np.ndarray) -> np.ndarray:
+    result = np.empty_like(order)
+    result[order] = np.arange(len(order), dtype=order.dtype)
+    return result
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
-    new = np.ones(len(keys), dtype=np.int64)
+    order = _order(keys)
+    new = np.zeros(len(keys), dtype=np.int32)
     new[1:] = keys[order[1:]] != keys[order[:-1]]
-    result = np.empty(len(keys), dtype=np.int64)
-    result[order] = np.cumsum(new) - 1
+    result = np.empty(len(keys), dtype=np.int32)
+    result[order] = np.cumsum(new, dtype=np.int32)
     return result
 
 
@@ -97,7 +105,7 @@ def extended(
     smaller = np.cumsum(counts) - counts
     smaller -= smaller[np.searchsorted(phrase, phrase)]
     real = word > 0
-    return index.back[places[first]][real], (there[phrase] + smaller)[real], counts[real]
+    return index.back[places[first]][real].astype(np.int64), (there[phrase] + smaller)[real], counts[real]
 
 
 class Shard:
@@ -295,17 +303,20 @@ def _round(length: int):
         columns = [pa.array(np.full(n + 1, number))]
         columns += [pa.array(np.append(rows[c], 0)) for c in ("place", "times", "first", "second")]
         columns.append(pa.array([None] * n + [ids.tobytes()], pa.binary()))
-        return pa.table(columns, names=["shard", "place", "times", "first", "second", "ids"])
+        whole_batch = pa.RecordBatch.from_arrays(columns, names=["shard", "place", "times", "first", "second", "ids"])
+        return pa.Table.from_batches([whole_batch.slice(at, OUTPUT_ROWS) for at in range(0, n + 1, OUTPUT_ROWS)])
 
     return run
 
 
 def _summed(rows: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
     """The rows of phrases with ``least`` occurrences in all shards, their ``total`` and a number ``id``: that of one row."""
-    same = W.partitionBy(*keys)
+    # The hash comes first because rows are sorted by it: most comparisons end there.
+    same = W.partitionBy("mixed", *keys)
     own = F.shiftleft("shard", 29) + F.col("place")
     return materialize(
-        rows.withColumn("total", F.sum("times").over(same))
+        rows.withColumn("mixed", F.xxhash64(*keys))
+        .withColumn("total", F.sum("times").over(same))
         .where(F.col("total") >= least)
         .withColumn("own", own)
         .withColumn("id", F.min("own").over(same))
