@@ -159,16 +159,16 @@ def test_hard_negatives_with_ties_huge_values_and_nothing(spark):
 
 def test_tree_bounds_spare_scores_and_lose_none():
     rng = np.random.default_rng(2)
-    centres = rng.normal(size=(5, 16)) * 4
-    anchors = np.floor(256 * (centres[rng.integers(0, 5, 120)] + rng.normal(scale=0.05, size=(120, 16))))
-    others = np.floor(256 * (centres[rng.integers(0, 5, 400)] + rng.normal(scale=0.05, size=(400, 16))))
+    centres = rng.normal(size=(20, 16)) * 4
+    anchors = np.floor(256 * (centres[rng.integers(0, 20, 120)] + rng.normal(scale=0.05, size=(120, 16))))
+    others = np.floor(256 * (centres[rng.integers(0, 20, 400)] + rng.normal(scale=0.05, size=(400, 16))))
     parents, edges, depths = spanning_tree(anchors)
     order = np.lexsort((np.arange(120), depths))
     place = np.argsort(order)
     bounds = np.searchsorted(depths[order], np.arange(depths.max() + 2))
     tree = Tree(order, order % 3, anchors[order], np.where(parents[order] < 0, -1, place[parents[order]]), edges[order], bounds)
     exact = tree.vectors @ others.T
-    low = np.sort(exact, axis=1)[:, -90].astype(np.int64)
+    low = np.sort(exact, axis=1)[:, -20].astype(np.int64)
     wanted = rng.random(exact.shape) < 0.9
     i, j, score, computed = scores_in_windows(tree, others, wanted, low, np.full(120, 2**62))
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(k.tolist() for k in np.nonzero(wanted & (exact >= low[:, None])))))
