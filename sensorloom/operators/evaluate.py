@@ -12,6 +12,9 @@ from sensorloom.operators.ordering import BLOCK_ROWS, running_totals
 from sensorloom.schema import SESSION_KEYS, TARGET
 from sensorloom.sources.scratch import materialize
 
+# Fixed value: what stands before a scenario's name in the ablation.
+MISSING_PREFIX = "missingness: "
+# End of fixed values.
 METRICS = ("auroc", "log_loss", "accuracy", "balanced_accuracy")
 
 
@@ -159,7 +162,7 @@ def ablation(
         scenarios.select(
             *keys,
             target,
-            F.concat(F.lit("missingness: "), F.col("scenario")).alias(label),
+            F.concat(F.lit(MISSING_PREFIX), F.col("scenario")).alias(label),
             F.col("combined_probability").alias("probability"),
         )
     )

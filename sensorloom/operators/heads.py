@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions import sigmoid
 from sensorloom.functions.scalar import LOGIT_BOUND, LOSS_EPSILON
-from sensorloom.operators.blocks import pack_blocks, sum_over_blocks
+from sensorloom.operators.blocks import pack_blocks, release_blocks, sum_over_blocks
 from sensorloom.operators.descent import Step, descend
 from sensorloom.operators.ordering import SMALL_ROWS, column_medians
 from sensorloom.schema import TARGET
@@ -185,7 +185,7 @@ def fit_heads(
     try:
         traces = descend([np.zeros(n - 2) for n in sizes], measure, rate=learning_rate, epochs=epochs)
     finally:
-        blocks.unpersist()
+        release_blocks(blocks)
     runs = dict(zip(heads, traces, strict=True))
 
     return FittedHeads(

@@ -110,6 +110,26 @@ def ordered_blocks(
     return materialize(ranged, "blocks")
 
 
+def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+    """``df`` with the place of each row in the order of the columns ``order``, from 1: a sort that can be checked.
+
+    Rows are range-partitioned, sorted and numbered inside their partition; each partition's count moves the numbers of
+    the later ones. ``order`` should be unique, as equal rows get their places in any order. No task holds more than a range.
+    """
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = materialize(ordered.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    # The high bits of the id are the partition, the low 33 bits the row in it.
+    numbered = numbered.withColumn("_range", F.shiftright("_id", 33)).withColumn(
+        "_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    )
+    counts = numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each partition of the sort.
+    offsets = counts.select("_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    place = (F.col("_before") + F.col("_row") + 1).alias(name)
+    return numbered.join(F.broadcast(offsets), "_range").select(*df.columns, place)
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the largest group; one pass over the keys with partial aggregation."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, field
+from collections.abc import Mapping, Sequence
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,8 @@ from sensorloom.operators.windows import (
 )
 from sensorloom.schema import EEG_FEATURES, SESSION_KEYS, STREAMS, TARGET, WEARABLE_FEATURES, WINDOW_KEYS
 from sensorloom.sources.numeric import eeg_marks
-from sensorloom.sources.scratch import materialize
+from sensorloom.sources.scratch import materialize, scratch_scope
+from sensorloom.sources.tables import cached_table
 
 
 @dataclass(frozen=True)
@@ -114,6 +115,38 @@ def paired_feature_table(
     return features, session_audit(grid, balanced)
 
 
+def cached_paired_table(
+    root: str,
+    eeg: DataFrame,
+    samples: DataFrame,
+    labels: DataFrame,
+    settings: WindowSettings = WindowSettings(),
+    *,
+    inputs: Sequence[str],
+    rebuild: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(features, audit) of :func:`paired_feature_table`, stored below ``root`` side by side.
+
+    They are built once for these settings and this state of the files ``inputs`` that the streams come from. What the build
+    wrote on its way is deleted.
+    """
+    spark, made = eeg.sparkSession, {}
+
+    def build(part: str) -> DataFrame:
+        if not made:
+            made["features"], made["audit"] = paired_feature_table(eeg, samples, labels, settings)
+        return made[part]
+
+    with scratch_scope():
+        features, audit = (
+            cached_table(
+                spark, root, f"paired-{part}", asdict(settings), lambda: build(part), inputs=inputs, rebuild=rebuild
+            )
+            for part in ("features", "audit")
+        )
+    return features, audit
+
+
 def require_windows(features: DataFrame) -> None:
     if features.isEmpty():
         raise ValueError("No window of a subject with both conditions passed the quality checks.")

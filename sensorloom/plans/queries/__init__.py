@@ -7,11 +7,11 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorloom.plans.queries import evaluation, fusion, heads, ingest, pulse, subjects, windows
+from sensorloom.plans.queries import evaluation, fusion, heads, ingest, pulse, study, subjects, windows
 from sensorloom.sources.package import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (ingest, windows, pulse, subjects, heads, fusion, evaluation)
+_MODULES = (ingest, windows, pulse, subjects, heads, fusion, evaluation, study)
 
 
 def _with_package(query: Query) -> Query:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.functions import predicted_class
@@ -19,7 +19,7 @@ from sensorloom.operators.heads import score_heads
 from sensorloom.operators.split import SPLITS
 from sensorloom.plans.fixtures import table
 from sensorloom.plans.queries.common import r, rounded
-from sensorloom.plans.queries.fusion import WEIGHTED
+from sensorloom.plans.queries.fusion import WEIGHTED, mix_ctes
 from sensorloom.plans.queries.heads import (
     FIXED_HEAD,
     HEADS,
@@ -259,24 +259,9 @@ def study_document(spark: SparkSession, folder: str) -> DataFrame:
 
 DOCUMENT_MODELS = {**{n: f"p_{n}" for n in HEADS}, "late_fusion": "combined_probability"}
 _ONE, _TWO = (f"p_{n}" for n in HEADS)
-_SHARE = "exp(s.z1 - greatest(s.z1, s.z2)) / (exp(s.z1 - greatest(s.z1, s.z2)) + exp(s.z2 - greatest(s.z1, s.z2)))"
 STUDY_DOCUMENT = f"""
 WITH RECURSIVE {SCORED_CTES},
-held AS (SELECT {_ONE} AS a, {_TWO} AS b, {TARGET} FROM scored WHERE split = 'validation'),
-mix AS (
-  SELECT CAST(0 AS BIGINT) AS epoch, CAST(0 AS DOUBLE) AS z1, CAST(0 AS DOUBLE) AS z2
-  UNION ALL
-  SELECT epoch + 1, z1 - {DOCUMENT_RATE} * sum(slope * w1 * (a - fused)) / count(*),
-         z2 - {DOCUMENT_RATE} * sum(slope * (1 - w1) * (b - fused)) / count(*)
-  FROM (SELECT *, (q - {TARGET}) / (q * (1.0 - q)) AS slope
-        FROM (SELECT *, least(greatest(fused, 1e-7), 1.0 - 1e-7) AS q
-              FROM (SELECT *, w1 * a + (1 - w1) * b AS fused
-                    FROM (SELECT s.*, {_SHARE} AS w1, held.* FROM mix s, held WHERE s.epoch < {DOCUMENT_EPOCHS}))))
-  GROUP BY epoch, z1, z2),
-mixed AS (
-  SELECT epoch, w1, avg({entropy_sql(TARGET, 'w1 * a + (1 - w1) * b')}) AS loss
-  FROM (SELECT s.epoch, {_SHARE} AS w1, held.* FROM mix s, held) GROUP BY epoch, w1),
-mixed_best AS (SELECT * FROM mixed ORDER BY loss, epoch LIMIT 1),
+{mix_ctes("(SELECT * FROM scored WHERE split = 'validation')", _ONE, _TWO, DOCUMENT_RATE, DOCUMENT_EPOCHS)},
 fused AS (
   SELECT l_orderkey, {TARGET}, {_ONE}, {_TWO}, w1 * {_ONE} + (1 - w1) * {_TWO} AS combined_probability
   FROM scored, mixed_best WHERE split = 'test'),
@@ -391,6 +376,30 @@ def full_explanations(spark: SparkSession, folder: str) -> DataFrame:
     return payloads.select("patient_id", F.to_json(F.struct("*")).alias("payload"))
 
 
+def parsed_explanations(spark: SparkSession, folder: str) -> DataFrame:
+    """Every JSON payload read back: its scalars and both maps of contributions as rows."""
+    payloads = with_sentence(_payloads(spark, folder))
+    read = payloads.select(F.from_json(F.to_json(F.struct("*")), payloads.schema).alias("p")).select("p.*")
+
+    def entries(head: str) -> Column:
+        named = F.map_entries(f"{head}_linear_contributions")
+        return F.transform(
+            named, lambda e: F.struct(F.lit(head).alias("head"), e["key"].alias("feature"), e["value"].alias("value"))
+        )
+
+    scalars = [*SESSION_KEYS, "window_index", "l_extendedprice", "alpha_eeg", "beta_wearable", "combined_probability"]
+    rows = read.select(*scalars, F.col("fusion_weights")["wearable"].alias("weight_wearable"), F.explode(F.concat(entries("eeg"), entries("wearable"))).alias("c"))
+    return rounded(rows.select(*scalars, "weight_wearable", "c.head", "c.feature", "c.value"))
+
+
+PARSED_EXPLANATIONS = f"""
+WITH {TESTED_CTES}, named AS (SELECT *, unnest({_NAMED}[1:2]) AS term FROM tested)
+SELECT patient_id, condition, window_index, {r('l_extendedprice')} AS l_extendedprice, {r('alpha_eeg')} AS alpha_eeg,
+       {r('beta_wearable')} AS beta_wearable, {r('combined_probability')} AS combined_probability,
+       {r('CAST(0.7 AS DOUBLE)')} AS weight_wearable, head, term.feature AS feature, {r('term.value')} AS value
+FROM named, (VALUES ('eeg'), ('wearable')) AS heads(head)"""
+
+
 QUERIES = {
     "class_decisions": (class_decisions, CLASS_DECISIONS),
     "auroc": (_one("auroc"), _one_sql("auroc")),
@@ -411,5 +420,6 @@ QUERIES = {
     "explanation_contributions": (explanation_contributions, EXPLANATION_CONTRIBUTIONS),
     "explanation_sentences": (explanation_sentences, EXPLANATION_SENTENCES),
     "full_explanations": (full_explanations, None),
+    "parsed_explanations": (parsed_explanations, PARSED_EXPLANATIONS),
 }
 

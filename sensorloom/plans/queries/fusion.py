@@ -100,6 +100,25 @@ SELECT CAST(epoch AS INTEGER) AS epoch, {r('loss')} AS validation_loss, {r('w1')
        {r('1 - w1')} AS weight_wearable FROM losses"""
 
 
+def mix_ctes(source: str, a: str, b: str, rate: float, epochs: int) -> str:
+    """CTEs ``mix`` (every epoch), ``mixed`` (epoch, first weight, loss) and ``mixed_best`` over two columns of ``source``."""
+    return f"""held AS MATERIALIZED (SELECT {a} AS a, {b} AS b, {TARGET} FROM {source}),
+mix AS (
+  SELECT CAST(0 AS BIGINT) AS epoch, CAST(0 AS DOUBLE) AS z1, CAST(0 AS DOUBLE) AS z2
+  UNION ALL
+  SELECT epoch + 1, z1 - {rate} * sum(slope * w1 * (a - fused)) / count(*),
+         z2 - {rate} * sum(slope * (1 - w1) * (b - fused)) / count(*)
+  FROM (SELECT *, (q - {TARGET}) / (q * (1.0 - q)) AS slope
+        FROM (SELECT *, least(greatest(fused, 1e-7), 1.0 - 1e-7) AS q
+              FROM (SELECT *, w1 * a + (1 - w1) * b AS fused
+                    FROM (SELECT s.*, {_W1} AS w1, held.* FROM mix s, held WHERE s.epoch < {epochs}))))
+  GROUP BY epoch, z1, z2),
+mixed AS (
+  SELECT epoch, w1, avg({entropy_sql(TARGET, 'w1 * a + (1 - w1) * b')}) AS loss
+  FROM (SELECT s.epoch, {_W1} AS w1, held.* FROM mix s, held) GROUP BY epoch, w1),
+mixed_best AS (SELECT * FROM mixed ORDER BY loss, epoch LIMIT 1)"""
+
+
 def fused_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Availability follows from the values: the discount head lacks lines without tax."""
     rows = two_modalities(spark, folder).withColumn(

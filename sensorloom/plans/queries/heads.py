@@ -54,18 +54,22 @@ lines AS (
          nullif(l_tax, 0) AS tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS {TARGET}, split
   FROM lineitem JOIN membership USING (l_orderkey))"""
 
-_MEDIANS = ", ".join(f"coalesce(median({f}), 0) AS {f}_median" for f in FEATURES)
-_MOMENTS = ", ".join(
-    f"avg(coalesce({f}, {f}_median)) AS {f}_mean, stddev_pop(coalesce({f}, {f}_median)) AS {f}_sd"
-    for f in FEATURES
-)
-_SCALES = ", ".join(f"CASE WHEN {f}_sd < 1e-8 THEN 1.0 ELSE {f}_sd END AS {f}_scale" for f in FEATURES)
-_Z = ", ".join(f"(coalesce({f}, {f}_median) - {f}_mean) / {f}_scale AS {f}_z" for f in FEATURES)
-STANDARD_CTES = f"""{LINES_CTES},
-medians AS (SELECT {_MEDIANS} FROM lines WHERE split = 'train'),
-moments AS (SELECT {_MOMENTS} FROM lines, medians WHERE split = 'train'),
-scales AS (SELECT *, {_SCALES} FROM moments),
-standard AS (SELECT lines.*, {_Z} FROM lines, medians, scales)"""
+
+def standard_ctes(source: str, features: tuple[str, ...]) -> str:
+    """CTEs ``medians``, ``moments``, ``scales`` of the train rows of ``source``, and ``standard``: its rows with ``<feature>_z``."""
+    medians = ", ".join(f"coalesce(median({f}), 0) AS {f}_median" for f in features)
+    moments = ", ".join(
+        f"avg(coalesce({f}, {f}_median)) AS {f}_mean, stddev_pop(coalesce({f}, {f}_median)) AS {f}_sd" for f in features
+    )
+    scales = ", ".join(f"CASE WHEN {f}_sd < 1e-8 THEN 1.0 ELSE {f}_sd END AS {f}_scale" for f in features)
+    z = ", ".join(f"(coalesce({f}, {f}_median) - {f}_mean) / {f}_scale AS {f}_z" for f in features)
+    return f"""medians AS (SELECT {medians} FROM {source} WHERE split = 'train'),
+moments AS (SELECT {moments} FROM {source}, medians WHERE split = 'train'),
+scales AS (SELECT *, {scales} FROM moments),
+standard AS MATERIALIZED (SELECT {source}.*, {z} FROM {source}, medians, scales)"""
+
+
+STANDARD_CTES = f"{LINES_CTES},\n{standard_ctes('lines', FEATURES)}"
 
 
 def sigmoid_sql(logit: str) -> str:
@@ -77,13 +81,16 @@ def entropy_sql(y: str, p: str, epsilon: str = "1e-7") -> str:
     return f"-({y} * ln({q}) + (1.0 - {y}) * ln(1.0 - {q}))"
 
 
-def _head_ctes(name: str, features: tuple[str, ...]) -> str:
+def head_ctes(
+    name: str, features: tuple[str, ...], rate: float = RATE, epochs: int = EPOCHS, l2: float = L2
+) -> str:
+    """CTEs ``<name>_fit`` (every epoch's weights), ``<name>_losses`` and ``<name>_best`` over ``standard``."""
     weights = [f"w{i}" for i in range(len(features))]
     logit = " + ".join(f"s.{w} * z.{f}_z" for w, f in zip(weights, features, strict=True))
     p = sigmoid_sql(f"s.b + {logit}")
     state = ", ".join(weights)
     steps = ", ".join(
-        f"{w} - {RATE} * (sum(error * {f}_z) / count(*) + {L2} * {w})"
+        f"{w} - {rate} * (sum(error * {f}_z) / count(*) + {l2} * {w})"
         for w, f in zip(weights, features, strict=True)
     )
     penalty = " + ".join(f"{w} * {w}" for w in weights)
@@ -91,29 +98,29 @@ def _head_ctes(name: str, features: tuple[str, ...]) -> str:
     return f"""{name}_fit AS (
   SELECT CAST(0 AS BIGINT) AS epoch, {", ".join(f"CAST(0 AS DOUBLE) AS {w}" for w in weights)}, CAST(0 AS DOUBLE) AS b
   UNION ALL
-  SELECT epoch + 1, {steps}, b - {RATE} * avg(error)
+  SELECT epoch + 1, {steps}, b - {rate} * avg(error)
   FROM (SELECT s.*, {", ".join(f"z.{f}_z" for f in features)}, {p} - z.{TARGET} AS error
-        FROM {name}_fit s, standard z WHERE z.split = 'train' AND s.epoch < {EPOCHS})
+        FROM {name}_fit s, standard z WHERE z.split = 'train' AND s.epoch < {epochs})
   GROUP BY epoch, {state}, b),
 {name}_losses AS (
   SELECT epoch, {state}, b,
-         avg(CASE WHEN split = 'train' THEN loss END) + 0.5 * {L2} * ({penalty}) AS train_loss,
+         avg(CASE WHEN split = 'train' THEN loss END) + 0.5 * {l2} * ({penalty}) AS train_loss,
          avg(CASE WHEN split = 'validation' THEN loss END) AS validation_loss
   FROM (SELECT s.*, z.split, {loss} AS loss FROM {name}_fit s, standard z WHERE z.split <> 'test')
   GROUP BY epoch, {state}, b),
 {name}_best AS (SELECT * FROM {name}_losses ORDER BY validation_loss, epoch LIMIT 1)"""
 
 
-FIT_CTES = STANDARD_CTES + ",\n" + ",\n".join(_head_ctes(n, fs) for n, fs in HEADS.items())
+FIT_CTES = STANDARD_CTES + ",\n" + ",\n".join(head_ctes(n, fs) for n, fs in HEADS.items())
 
 
-def _terms(name: str, features: tuple[str, ...]) -> str:
+def head_terms(name: str, features: tuple[str, ...]) -> str:
     return " + ".join(f"{name}_best.w{i} * {f}_z" for i, f in enumerate(features))
 
 
 SCORED_CTES = f"""{FIT_CTES},
 scored AS (
-  SELECT standard.*, {", ".join(f"{sigmoid_sql(f'{n}_best.b + {_terms(n, fs)}')} AS p_{n}" for n, fs in HEADS.items())}
+  SELECT standard.*, {", ".join(f"{sigmoid_sql(f'{n}_best.b + {head_terms(n, fs)}')} AS p_{n}" for n, fs in HEADS.items())}
   FROM standard, {", ".join(f"{n}_best" for n in HEADS)})"""
 
 

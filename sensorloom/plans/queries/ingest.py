@@ -20,6 +20,7 @@ from sensorloom.plans.queries.common import r, rounded
 from sensorloom.schema import EEG_CHANNELS
 from sensorloom.sources.checksums import (
     available_in,
+    file_checksums,
     read_manifest,
     unavailable_in,
     verify_checksums,
@@ -67,6 +68,19 @@ SELECT event_id, {r('epoch_us(ts) / 1e6')} AS "time",
 FROM events WHERE event_type <> 'signup'"""
 
 
+def reordered_csv_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The same scan where the files of every other day have their columns in another order, and one more."""
+    path = new_path(spark, "reordered-csv")
+    day = F.datediff("ts", F.lit("1970-01-01")) % 2
+    spoiled = _spoiled_events(spark, folder).join(
+        table(spark, folder, "events").select("event_id", day.alias("odd")), "event_id"
+    )
+    for odd, columns in enumerate((["event_id", "event_type", "time", "value"], ["value", "props", "time", "event_type", "event_id"])):
+        write_csv(spoiled.where(F.col("odd") == odd).select(*columns), f"{path}/{odd}")
+    scanned = scan_numeric_csv(spark, f"{path}/*", ["time", "value"], keep=["event_id"])
+    return rounded(scanned.withColumn("event_id", F.col("event_id").cast("long")))
+
+
 def drop_null_time(spark: SparkSession, folder: str) -> DataFrame:
     """Sign-ups come without a time and errors without a value; only the former are dropped."""
     timed = table(spark, folder, "events").select(
@@ -284,6 +298,45 @@ SELECT concat('texts/', doc_id, '.txt') AS path, sha256(text) AS checksum,
 FROM documents"""
 
 
+# Documents of one written file; a file is read in blocks smaller than most of them.
+FILE_DOCUMENTS, FILE_BLOCK = 50, 1 << 14
+
+
+def file_checksum_verification(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as files and hashed there, against a manifest that lists some and is wrong on others."""
+    path = new_path(spark, "document-files")
+    number = F.expr(f"doc_id div {FILE_DOCUMENTS}")
+    documents = table(spark, folder, "documents").select(number.alias("file"), "doc_id", "text")
+    (
+        documents.repartition("file")
+        .sortWithinPartitions("file", "doc_id")
+        .select(F.coalesce("text", F.lit("")).alias("text"), "file")
+        .write.partitionBy("file")
+        .text(path)
+    )
+    parts = F.sort_array(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text"))))
+    content = F.concat(F.array_join(F.transform(parts, lambda x: x["text"]), "\n"), F.lit("\n"))
+    listed = documents.groupBy("file").agg(F.sha2(content, 256).alias("right")).where(F.col("file") % 5 != 0)
+    wrong = F.sha2(F.col("file").cast("string"), 256)
+    manifest = listed.select(
+        F.format_string("file=%d", "file").alias("path"), F.when(F.col("file") % 7 == 0, wrong).otherwise(F.col("right")).alias("checksum")
+    )
+    hashed = file_checksums(spark, path, path, "*.txt", FILE_BLOCK)
+    return verify_checksums(hashed.withColumn("path", F.regexp_extract("path", "file=[^/]+", 0)), manifest)
+
+
+FILE_CHECKSUM_VERIFICATION = f"""
+WITH files AS (
+  SELECT doc_id // {FILE_DOCUMENTS} AS file, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS checksum
+  FROM documents GROUP BY ALL),
+manifest AS (
+  SELECT file, CASE WHEN file % 7 = 0 THEN sha256(CAST(file AS VARCHAR)) ELSE checksum END AS expected
+  FROM files WHERE file % 5 <> 0)
+SELECT 'file=' || file AS path, checksum, expected,
+       CASE WHEN expected IS NULL THEN 'unlisted' WHEN expected = checksum THEN 'verified' ELSE 'mismatch' END AS status
+FROM files LEFT JOIN manifest USING (file)"""
+
+
 def requested_against_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Requested documents split by whether the label table publishes them."""
     requested = _document_paths(spark, folder).select("path")
@@ -325,6 +378,31 @@ def feature_table_cache(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(cached_table(spark, root, "levels", settings, never))
 
 
+def input_keyed_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """A table is built again when its input has changed, and only then."""
+    root, source = new_path(spark, "cache"), new_path(spark, "cache-input")
+    events = table(spark, folder, "events").select("user_id", "event_type", "value")
+    built = []
+
+    def levels() -> DataFrame:
+        built.append(1)
+        return (
+            spark.read.parquet(source)
+            .groupBy("user_id", "event_type")
+            .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean_value"))
+        )
+
+    events.where(F.col("event_type") == "click").write.parquet(source)
+    for _ in range(2):
+        cached_table(spark, root, "levels", {"by": "user"}, levels, inputs=[source])
+    events.where(F.col("event_type") != "click").write.mode("append").parquet(source)
+    for _ in range(2):
+        found = cached_table(spark, root, "levels", {"by": "user"}, levels, inputs=[source])
+    if len(built) != 2:
+        raise AssertionError(f"The table was built {len(built)} times.")
+    return rounded(found)
+
+
 def csv_sink(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "csv-sink")
     levels = _user_levels(spark, folder)
@@ -343,6 +421,7 @@ def json_sink(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "numeric_csv_scan": (numeric_csv_scan, NUMERIC_CSV_SCAN),
+    "reordered_csv_scan": (reordered_csv_scan, NUMERIC_CSV_SCAN),
     "drop_null_time": (drop_null_time, DROP_NULL_TIME),
     "lenient_cast": (lenient_cast, LENIENT_CAST),
     "device_worn_rows": (device_worn_rows, DEVICE_WORN_ROWS),
@@ -356,8 +435,10 @@ QUERIES = {
     "stream_file_sizes": (stream_file_sizes, STREAM_FILE_SIZES),
     "checksum_manifest": (checksum_manifest, CHECKSUM_MANIFEST),
     "checksum_verification": (checksum_verification, CHECKSUM_VERIFICATION),
+    "file_checksum_verification": (file_checksum_verification, FILE_CHECKSUM_VERIFICATION),
     "requested_against_manifest": (requested_against_manifest, REQUESTED_AGAINST_MANIFEST),
     "feature_table_cache": (feature_table_cache, _USER_LEVELS),
+    "input_keyed_cache": (input_keyed_cache, _USER_LEVELS),
     "csv_sink": (csv_sink, _USER_LEVELS),
     "json_sink": (json_sink, _USER_LEVELS),
 }

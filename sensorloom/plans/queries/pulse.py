@@ -299,8 +299,7 @@ def paired_audit(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(audit)
 
 
-PAIRED_FEATURES = f"""
-WITH RECURSIVE {EEG_FEATURES_CTES}, {_WEARABLE_CTES},
+PAIRED_CTES = f"""{EEG_FEATURES_CTES}, {_WEARABLE_CTES},
 complete AS (
   SELECT * FROM eeg_features JOIN slow_features USING (patient_id, condition, window_index)
     JOIN pulse USING (patient_id, condition, window_index)
@@ -310,13 +309,18 @@ sizes AS (SELECT patient_id, condition, count(*) AS windows FROM complete GROUP
 smaller AS (SELECT patient_id, min(windows) AS m FROM sizes GROUP BY ALL HAVING count(*) = 2),
 ranked AS (
   SELECT complete.*, m, row_number() OVER (PARTITION BY patient_id, condition ORDER BY window_index) AS n
-  FROM complete JOIN smaller USING (patient_id))
-SELECT patient_id, condition, window_index,
-       {r(f'analysis_start + window_index * {WIDTH}')} AS window_start_unix,
-       CASE WHEN condition = 'baseline' THEN 0 ELSE 1 END AS {TARGET},
+  FROM complete JOIN smaller USING (patient_id)),
+paired AS MATERIALIZED (
+  SELECT patient_id, condition, window_index, analysis_start + window_index * {WIDTH} AS window_start_unix,
+         CASE WHEN condition = 'baseline' THEN 0 ELSE 1 END AS {TARGET},
+         {", ".join((*EEG_FEATURES, *WEARABLE_FEATURES))}
+  FROM ranked JOIN grid USING (patient_id, condition) WHERE n <= m)"""
+PAIRED_FEATURES = f"""
+WITH RECURSIVE {PAIRED_CTES}
+SELECT patient_id, condition, window_index, {r('window_start_unix')} AS window_start_unix, {TARGET},
        1 AS eeg_available, 1 AS wearable_available,
        {", ".join(f"{r(f)} AS {f}" for f in EEG_FEATURES)}, {_WEARABLE_COLUMNS}
-FROM ranked JOIN grid USING (patient_id, condition) WHERE n <= m"""
+FROM paired"""
 
 QUERIES = {
     "pulse_guard": (pulse_guard, PULSE_GUARD),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorloom.operators.ordering import with_position
 from sensorloom.operators.split import (
     attach_split,
     distinct_subjects,
@@ -16,18 +17,23 @@ from sensorloom.plans.fixtures import table
 from sensorloom.schema import TARGET
 from sensorloom.sources.scratch import materialize
 
-SPLIT_CTE = """ranked_subjects AS (
-  SELECT l_orderkey, total,
-         row_number() OVER (ORDER BY sha256(concat('42:', l_orderkey)), l_orderkey) AS place,
+
+def split_cte(source: str, subject: str) -> str:
+    return f"""ranked_subjects AS (
+  SELECT {subject}, total,
+         row_number() OVER (ORDER BY sha256(concat('42:', {subject})), {subject}) AS place,
          greatest(1, CAST(round_even(total * 0.64, 0) AS BIGINT)) AS wanted,
          greatest(1, CAST(round_even(total * 0.18, 0) AS BIGINT)) AS v
-  FROM (SELECT DISTINCT l_orderkey FROM lineitem), (SELECT count(DISTINCT l_orderkey) AS total FROM lineitem)),
+  FROM (SELECT DISTINCT {subject} FROM {source}), (SELECT count(DISTINCT {subject}) AS total FROM {source})),
 membership AS (
-  SELECT l_orderkey, CASE WHEN place <= t THEN 'train' WHEN place <= t + v THEN 'validation' ELSE 'test' END
+  SELECT {subject}, CASE WHEN place <= t THEN 'train' WHEN place <= t + v THEN 'validation' ELSE 'test' END
          AS split
   FROM (SELECT *, CASE WHEN wanted + v >= total THEN total - v - 1 ELSE wanted END AS t FROM ranked_subjects))"""
 
 
+SPLIT_CTE = split_cte("lineitem", "l_orderkey")
+
+
 def _labelled(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select(
         "l_orderkey",
@@ -43,10 +49,12 @@ def membership(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def split_membership(spark: SparkSession, folder: str) -> DataFrame:
-    return membership(spark, folder).orderBy("split", "l_orderkey")
+    """The membership table with each subject's place in its canonical order."""
+    return with_position(membership(spark, folder), ["split", "l_orderkey"])
 
 
-SPLIT_MEMBERSHIP = f"WITH {SPLIT_CTE} SELECT * FROM membership ORDER BY split, l_orderkey"
+SPLIT_MEMBERSHIP = f"""
+WITH {SPLIT_CTE} SELECT *, row_number() OVER (ORDER BY split, l_orderkey) AS position FROM membership"""
 
 
 def _attached(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,7 +16,7 @@ from sensorloom.operators.features import (
     spread,
     trend,
 )
-from sensorloom.operators.ordering import first_difference
+from sensorloom.operators.ordering import first_difference, with_position
 from sensorloom.operators.pulse import finite_samples
 from sensorloom.operators.windows import (
     assign_windows,
@@ -389,15 +389,14 @@ FROM events"""
 
 
 def sorted_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Canonical order as a column per session, from the sort keys of the feature table."""
-    return _kept(event_samples(spark, folder)).orderBy(*SESSION_KEYS, "window_index").select(
-        *SESSION_KEYS, "window_index"
-    )
+    """Canonical order of the feature table as a column."""
+    kept = _kept(event_samples(spark, folder)).select(*SESSION_KEYS, "window_index")
+    return with_position(kept, [*SESSION_KEYS, "window_index"])
 
 
 SORTED_WINDOWS = f"""
-WITH {WINDOWS_CTES} SELECT patient_id, condition, window_index FROM kept
-ORDER BY patient_id, condition, window_index"""
+WITH {WINDOWS_CTES} SELECT patient_id, condition, window_index,
+       row_number() OVER (ORDER BY patient_id, condition, window_index) AS position FROM kept"""
 
 
 def first_windows(spark: SparkSession, folder: str) -> DataFrame:

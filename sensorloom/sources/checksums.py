@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorloom.sources.files import listing, local_path, opened, per_file
+
+BLOCK_BYTES = 1 << 20
+
 
 def parse_manifest(lines: DataFrame, line: str = "value") -> DataFrame:
     """``checksum path`` lines, cut at the first run of white space."""
@@ -19,19 +25,26 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return parse_manifest(spark.read.text(path))
 
 
-def file_checksums(spark: SparkSession, path: str, root: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 of each file below ``path``, with the path relative to ``root``."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(path)
-    )
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    return files.select(
-        F.regexp_replace(plain, f"^\\Q{root.rstrip('/')}/\\E", "").alias("path"),
-        F.sha2("content", 256).alias("checksum"),
-    )
+def file_digest(uri: str, block_bytes: int = BLOCK_BYTES) -> str:
+    """SHA-256 of a file, read in blocks."""
+    digest = hashlib.sha256()
+    with opened(uri) as stream:
+        while block := stream.read(block_bytes):
+            digest.update(block)
+    return digest.hexdigest()
+
+
+def file_checksums(
+    spark: SparkSession, path: str, root: str, pattern: str = "*", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """SHA-256 of each file below ``path``, with the path relative to ``root``.
+
+    Files are dealt over tasks and streamed there in blocks, so no row ever holds a file, however large it is.
+    """
+    files = listing(spark, path, pattern, recursive=True)
+    hashed = per_file(files, lambda uri: file_digest(uri, block_bytes), "checksum", "string")
+    inside = F.regexp_replace(local_path("uri"), f"^\\Q{root.rstrip('/')}/\\E", "")
+    return hashed.select(inside.alias("path"), "checksum")
 
 
 def verify_checksums(actual: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorloom.functions import entity_id, lenient_double
 from sensorloom.schema import EEG_CHANNELS
+from sensorloom.sources.files import csv_scans, united
 
 # File names and value columns of the raw layout
 # <root>/<participant number>/<condition>/<file>.
@@ -42,9 +42,8 @@ def scan_numeric_csv(
     columns: Sequence[str],
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Read only the named columns of headed CSV files as doubles."""
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    return numeric_columns(raw, columns, keep)
+    """Read only the named columns of headed CSV files as doubles; each file's own header says where they are."""
+    return united([numeric_columns(raw, columns, keep) for raw in csv_scans(spark, path, [*columns, *keep])])
 
 
 def device_worn(df: DataFrame, flag: str = WORN_COLUMN) -> DataFrame:
@@ -64,15 +63,10 @@ def load_eeg(
     spark: SparkSession, root: str, *, id_prefix: str = "p_", files: Mapping[str, str] = STREAM_FILES
 ) -> DataFrame:
     """Worn EEG rows of all sessions: session keys, time and the twenty band-power channels."""
-    raw = (
-        spark.read.option("header", True)
-        .option("enforceSchema", False)
-        .csv(f"{root}/*/*/{files['eeg']}")
-    )
-    numeric = numeric_columns(
-        _with_session(raw, id_prefix), ["time", WORN_COLUMN, *EEG_CHANNELS], ["patient_id", "condition"]
-    )
-    return device_worn(numeric).drop(WORN_COLUMN)
+    columns = ["time", WORN_COLUMN, *EEG_CHANNELS]
+    scans = csv_scans(spark, f"{root}/*/*/{files['eeg']}", columns)
+    parts = [numeric_columns(_with_session(raw, id_prefix), columns, ["patient_id", "condition"]) for raw in scans]
+    return device_worn(united(parts)).drop(WORN_COLUMN)
 
 
 def load_samples(
@@ -86,18 +80,15 @@ def load_samples(
     """Long samples of the single-value streams of all sessions."""
     parts = []
     for stream in streams:
-        raw = (
-            spark.read.option("header", True)
-            .option("enforceSchema", False)
-            .csv(f"{root}/*/*/{files[stream]}")
-        )
         column = STREAM_VALUES[stream]
-        parts.append(
-            numeric_columns(
-                _with_session(raw, id_prefix), ["time", column], ["patient_id", "condition"]
-            ).select("patient_id", "condition", F.lit(stream).alias("stream"), "time", F.col(column).alias("value"))
-        )
-    return reduce(DataFrame.unionByName, parts)
+        for raw in csv_scans(spark, f"{root}/*/*/{files[stream]}", ["time", column]):
+            numeric = numeric_columns(_with_session(raw, id_prefix), ["time", column], ["patient_id", "condition"])
+            parts.append(
+                numeric.select(
+                    "patient_id", "condition", F.lit(stream).alias("stream"), "time", F.col(column).alias("value")
+                )
+            )
+    return united(parts)
 
 
 def eeg_marks(eeg: DataFrame) -> DataFrame:

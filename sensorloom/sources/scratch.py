@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_SCOPES: list[list[DataFrame]] = []
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -27,6 +31,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def session_path(spark: SparkSession, name: str) -> str:
+    """A folder for tables that all plans of this application share."""
+    return f"{_application_folder(spark)}/{name}"
+
+
 def _application_folder(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/sensorloom/{spark.sparkContext.applicationId}"
 
@@ -45,4 +54,27 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    if _SCOPES:
+        _SCOPES[-1].append(table)
+    return table
+
+
+@contextmanager
+def scratch_scope():
+    """Deletes the tables that :func:`materialize` writes inside, at the end: their results have been written elsewhere."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for table in _SCOPES.pop():
+            release(table)
+
+
+def release(table: DataFrame) -> None:
+    """Delete the files of a table from :func:`materialize` that no later result reads."""
+    path = _PATHS.pop(table, None)
+    if path is not None:
+        target = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

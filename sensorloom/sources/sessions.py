@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.functions import entity_id
 from sensorloom.schema import TARGET
+from sensorloom.sources.files import listing, local_path
 from sensorloom.sources.numeric import STREAM_FILES
 
 # Condition names and their class labels; how many missing files an error shows.
@@ -65,24 +66,17 @@ def expected_files(index: DataFrame, streams: Sequence[str] = tuple(STREAM_FILES
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """Path and size of every file below ``path``; contents are not read."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(path)
-    )
-    return listing.select(
-        F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("length").alias("bytes")
-    )
+    found = listing(spark, path, pattern, recursive=True)
+    return found.select(local_path("uri").alias("path"), "bytes")
 
 
-def missing_files(expected: DataFrame, listing: DataFrame) -> DataFrame:
-    return expected.join(listing.select("path"), "path", "left_anti")
+def missing_files(expected: DataFrame, present: DataFrame) -> DataFrame:
+    return expected.join(present.select("path"), "path", "left_anti")
 
 
-def require_complete(expected: DataFrame, listing: DataFrame) -> None:
+def require_complete(expected: DataFrame, present: DataFrame) -> None:
     """Raise with the first missing paths unless every expected file exists."""
-    absent = missing_files(expected, listing).select("path").orderBy("path").limit(MISSING_SHOWN)
+    absent = missing_files(expected, present).select("path").orderBy("path").limit(MISSING_SHOWN)
     paths = [row["path"] for row in absent.collect()]
     if paths:
         raise FileNotFoundError("Raw stream files are missing, for example:\n" + "\n".join(paths))
@@ -97,5 +91,5 @@ def stream_preview(samples: DataFrame, streams: Sequence[str], rows: int = 5) ->
     )
 
 
-def file_sizes(expected: DataFrame, listing: DataFrame) -> DataFrame:
-    return expected.join(listing, "path").select("stream", "bytes", "path")
+def file_sizes(expected: DataFrame, present: DataFrame) -> DataFrame:
+    return expected.join(present, "path").select("stream", "bytes", "path")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sensorloom.sources.files import source_fingerprint
+
 
 def cached_table(
     spark: SparkSession,
@@ -16,13 +18,16 @@ def cached_table(
     parameters: Mapping[str, object],
     build: Callable[[], DataFrame],
     *,
+    inputs: Sequence[str] = (),
     rebuild: bool = False,
 ) -> DataFrame:
-    """Build a table once per set of parameters and read it back afterwards.
+    """Build a table once per set of parameters and state of its inputs, and read it back afterwards.
 
-    The parameters are part of the path, so a changed setting never meets a stale table.
+    The parameters are part of the path, and so are the files below ``inputs`` with their lengths and times of change:
+    neither a changed setting nor a changed file meets a stale table.
     """
-    key = hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:16]
+    state = {"parameters": parameters, "inputs": source_fingerprint(spark, inputs)}
+    key = hashlib.sha256(json.dumps(state, sort_keys=True, default=str).encode()).hexdigest()[:16]
     path = f"{root.rstrip('/')}/{name}-{key}"
     if not rebuild and _is_complete(spark, path):
         return spark.read.parquet(path)

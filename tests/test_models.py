@@ -258,3 +258,22 @@ def test_whole_study(spark, tmp_path):
     assert sum(r["section"] == "metrics" for r in document) == 24
     explicit = result.membership.withColumn("split", F.reverse(F.col("split")))
     assert explicit.count() == 10
+
+
+@pytest.mark.parametrize("parts", [1, 5, 90])
+def test_one_row_of_sums_reaches_the_driver(spark, parts):
+    from sensorloom.operators.blocks import block_sums, pack_blocks, release_blocks, sum_over_blocks
+
+    rows = spark.range(900).selectExpr("cast(id as double) as a", "cast(id * id as double) as b").repartition(parts)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 40)  # a task per file
+    try:
+        blocks = pack_blocks(rows, ["a", "b"])
+        assert blocks.rdd.getNumPartitions() == parts
+        assert block_sums(blocks, 2, 3, lambda m: np.array([len(m), *m.sum(axis=0)])).count() == 1
+        total = sum_over_blocks(blocks, 2, 3, lambda m: np.array([len(m), *m.sum(axis=0)]))
+        assert total.tolist() == [900, 900 * 899 / 2, 899 * 900 * 1799 / 6]
+        release_blocks(blocks)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    empty = pack_blocks(rows.limit(0), ["a", "b"])
+    assert sum_over_blocks(empty, 2, 3, lambda m: np.ones(3)).tolist() == [0, 0, 0]

@@ -89,3 +89,13 @@ def test_block_count_follows_the_cluster():
     assert block_count(600_000, 250_000, 8) == 3
     assert block_count(10**9, 250_000, 200) == 2_000
     assert block_count(10**13, 250_000, 5_000) == 20_000
+
+
+def test_positions_follow_the_order(spark):
+    from sensorloom.operators.ordering import with_position
+
+    rows = [(i * 37 % 101, chr(97 + i % 5)) for i in range(101)]
+    df = spark.createDataFrame(rows, "n int, s string").repartition(7)
+    found = {(r["s"], r["n"]): r["position"] for r in with_position(df, ["s", "n"]).collect()}
+    assert found == {(s, n): i + 1 for i, (s, n) in enumerate(sorted((s, n) for n, s in rows))}
+    assert with_position(df.limit(0), ["n"]).count() == 0

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import gzip
 import hashlib
+import random
 
 import pytest
 
 from sensorloom.schema import EEG_CHANNELS
-from sensorloom.sources import scratch
+from sensorloom.sources import checksums, scratch
 from sensorloom.sources.checksums import file_checksums, parse_manifest, verify_checksums
+from sensorloom.sources.files import csv_scans
 from sensorloom.sources.numeric import STREAM_FILES, eeg_marks, load_eeg, load_samples, scan_numeric_csv
 from sensorloom.sources.scratch import scratch_root
 from sensorloom.sources.sessions import (
@@ -72,6 +75,30 @@ def test_only_named_columns_are_read(spark, tmp_path):
         scan_numeric_csv(spark, path, ["time", "absent"])
 
 
+def test_headers_decide_per_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('time,"value",other\n1,2,x\n')
+    (tmp_path / "b.csv").write_text("\ufeffother,extra,value,time\ny,z,4,3\nq,q,,5\nlate,q,7,\n")
+    with gzip.open(tmp_path / "c.csv.gz", "wt") as packed:
+        packed.write("value,Value,x,x,time\n6,9,9,9,5.5\n")
+    found = scan_numeric_csv(spark, str(tmp_path), ["time", "value"])
+    assert sorted(map(tuple, found.collect())) == [(1.0, 2.0), (3.0, 4.0), (5.0, None), (5.5, 6.0)]
+    assert scan_numeric_csv(spark, f"{tmp_path}/b.csv", ["time"], ["other"]).columns == ["other", "time"]
+    (tmp_path / "d.csv").write_text("time,value,value\n1,2,3\n")
+    with pytest.raises(ValueError, match="twice.*d.csv"):
+        scan_numeric_csv(spark, str(tmp_path), ["time", "value"])
+    (tmp_path / "d.csv").write_text("\n1,2\n")
+    with pytest.raises(ValueError, match="not found: time, value.*d.csv"):
+        scan_numeric_csv(spark, str(tmp_path), ["time", "value"])
+
+
+def test_headers_of_many_files_take_one_scan_each(spark, tmp_path):
+    for i in range(12):
+        columns = ["time", "value"] if i % 3 else ["value", "time"]
+        (tmp_path / f"{i}.csv").write_text(",".join(columns) + f"\n{i},{i}\n")
+    assert len(csv_scans(spark, str(tmp_path), ["time", "value"])) == 2
+    assert scan_numeric_csv(spark, str(tmp_path), ["time", "value"]).count() == 12
+
+
 def test_completeness(spark, tmp_path):
     _write_raw(tmp_path, [0, 1, 2])
     for condition in ("baseline", "cognitive_load"):
@@ -100,6 +127,61 @@ def test_checksums_of_files(spark, tmp_path):
     assert found == {"a.txt": "verified", "b.txt": "mismatch", "c.txt": "unlisted"}
 
 
+def test_files_are_hashed_in_blocks(spark, tmp_path, monkeypatch):
+    large = random.Random(1).randbytes(3 * (1 << 20) + 17)
+    (tmp_path / "in" / "deep folder").mkdir(parents=True)
+    (tmp_path / "in" / "deep folder" / "la%20rge.bin").write_bytes(large)
+    (tmp_path / "in" / "empty.bin").write_bytes(b"")
+    found = {r["path"]: r["checksum"] for r in file_checksums(spark, str(tmp_path), f"{tmp_path}/in/").collect()}
+    # Spark lists no file without bytes.
+    assert found == {"deep folder/la%20rge.bin": hashlib.sha256(large).hexdigest()}
+    sizes = []
+
+    class Watched:
+        def __init__(self, stream):
+            self.stream = stream
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.stream.close()
+
+        def read(self, size):
+            sizes.append(size)
+            return self.stream.read(size)
+
+    monkeypatch.setattr(checksums, "opened", lambda uri: Watched(open(uri, "rb")))
+    assert checksums.file_digest(f"{tmp_path}/in/deep folder/la%20rge.bin") == hashlib.sha256(large).hexdigest()
+    assert set(sizes) == {checksums.BLOCK_BYTES} and len(sizes) == 5
+
+
+def test_cache_depends_on_the_input_files(spark, tmp_path):
+    source, built = str(tmp_path / "in"), []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(source)
+
+    def cached():
+        return cached_table(spark, str(tmp_path / "out"), "t", {}, build, inputs=[source]).count()
+
+    spark.range(3).write.parquet(source)
+    assert [cached(), cached(), len(built)] == [3, 3, 1]
+    spark.range(4).write.mode("append").parquet(source)
+    assert [cached(), cached(), len(built)] == [7, 7, 2]
+
+
+def test_scratch_of_a_scope_is_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "scratch_root", lambda _: str(tmp_path))
+    outside = scratch.materialize(spark.range(2))
+    with scratch.scratch_scope():
+        scratch.materialize(outside).count()
+    assert outside.count() == 2 and len({p.parent for p in tmp_path.rglob("*.parquet")}) == 1
+    scratch.release(outside)
+    assert not any(tmp_path.rglob("*.parquet"))
+
+
 def test_cache_depends_on_parameters(spark, tmp_path):
     built = []
 
