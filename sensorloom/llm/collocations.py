@@ -3,7 +3,8 @@
 Texts become shards of local word ids. Per length, each shard extends its phrases by one word over the intervals of a
 bidirectional index and sends each distinct one with its count; sums across shards decide which are frequent, and each
 shard learns only about phrases it sent. A phrase is frequent only if its parts are, so every round works on what is
-left of the shard. No key is hot: a phrase is one row per shard, however common.
+left of the shard. Word pairs are counted by hash buckets before, and those in rare buckets are not sent. No key is
+hot: a phrase is one row per shard, however common.
 """
 
 from __future__ import annotations
@@ -30,9 +31,11 @@ TOP = 2000
 NO_LANGUAGE = "und"
 SCORE_UNIT = 2_000_000
 # Bytes of text of a shard; one longer text is a shard of its own.
-SHARD_BYTES = 1 << 23
+SHARD_BYTES = 1 << 24
 OUTPUT_ROWS = 1 << 16
 RANK_PARTS = 64
+# Counters of one range of buckets.
+RANGE_BITS = 20
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -261,14 +264,124 @@ def _lengths(texts: pa.Array) -> np.ndarray:
 # Rounds
 
 
+_KEPT = "shard long, part int, ids binary, extra binary"
+_WHOLE = -1
+_CODEC = "zstd"
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values, dtype="<u4").tobytes(), _CODEC, asbytes=True) if len(values) else b""
+
+
+def _unpacked(packed: bytes, count: int) -> np.ndarray:
+    if not count:
+        return np.zeros(0, dtype=np.int64)
+    return np.frombuffer(pa.decompress(packed, 4 * count, _CODEC), dtype="<u4").astype(np.int64)
+
+
+def _buckets(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of each pair of global word numbers."""
+    joined = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
+    return (mixed(joined) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bucket_counts(bits: int):
+    """A shard and its frequent words -> the shard of these words alone, and how many pairs of it fall in each bucket.
+
+    The shard's row holds its ids, which are new from 1, and their global numbers. A row of a range of buckets holds the
+    number of buckets in it, differences between them, and counts.
+    """
+
+    def run(shards: pa.Table, frequent: pa.Table) -> pa.Table:
+        if not (shards.num_rows and frequent.num_rows):
+            return pa.table({"shard": [], "part": [], "ids": [], "extra": []}, schema=_arrow(_KEPT))
+        number = shards.column("shard")[0].as_py()
+        whole = np.frombuffer(shards.column("ids")[0].as_buffer(), dtype=np.int32)
+        places, numbers = (frequent.column(n).to_numpy() for n in ("place", "id"))
+        marks = np.zeros(max(int(whole.max(initial=0)), int(places.max())) + 1, dtype=np.int32)
+        marks[places] = np.arange(1, len(places) + 1)
+        _, ids = runs(whole, marks[whole], 1)
+        pairs = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        buckets, counts = np.unique(
+            _buckets(numbers[ids[pairs] - 1], numbers[ids[pairs + 1] - 1], bits), return_counts=True
+        )
+        rows = [(number, _WHOLE, ids.astype(np.int32).tobytes(), numbers.astype(np.int64).tobytes())]
+        ranges = buckets >> RANGE_BITS
+        cuts = np.flatnonzero(np.diff(ranges, prepend=-1, append=1 << 62)) if len(ranges) else [0]
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            inside = np.diff(buckets[low:high] & ((1 << RANGE_BITS) - 1), prepend=0)
+            size = int(high - low).to_bytes(4, "little")
+            rows.append((number, int(ranges[low]), size + _packed(inside), _packed(counts[low:high])))
+        return pa.table(dict(zip(("shard", "part", "ids", "extra"), map(list, zip(*rows)))), schema=_arrow(_KEPT))
+
+    return run
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in schema.split(", "))])
+
+
+def _frequent_buckets(least: int):
+    """All shards' counts of one range of buckets -> for each shard one bit per bucket it sent: are there ``least`` in all?"""
+
+    def run(rows: pa.Table) -> pa.Table:
+        totals, sent = np.zeros(1 << RANGE_BITS, dtype=np.int64), []
+        for ids, counts in zip(rows.column("ids").to_pylist(), rows.column("extra").to_pylist()):
+            size = int.from_bytes(ids[:4], "little")
+            buckets = np.cumsum(_unpacked(ids[4:], size))
+            totals[buckets] += _unpacked(counts, size)
+            sent.append(buckets)
+        bits = [np.packbits(totals[buckets] >= least).tobytes() for buckets in sent]
+        sizes = [len(buckets).to_bytes(4, "little") for buckets in sent]
+        return pa.table(
+            {"shard": rows.column("shard"), "part": rows.column("part"), "ids": bits, "extra": sizes}, schema=_arrow(_KEPT)
+        )
+
+    return run
+
+
 _ROUND = "shard long, place long, times long, first long, second long, ids binary"
 
 
+def _phrase_rows(number: int, ids: np.ndarray, rows: dict[str, np.ndarray]) -> pa.Table:
+    """Phrases with their leftward interval and the numbers of their parts, and a last row with the shard's ids."""
+    n = len(rows["place"])
+    columns = [pa.array(np.full(n + 1, number))]
+    columns += [pa.array(np.append(rows[c], 0)) for c in ("place", "times", "first", "second")]
+    columns.append(pa.array([None] * n + [ids.astype(np.int32).tobytes()], pa.binary()))
+    whole = pa.RecordBatch.from_arrays(columns, names=["shard", "place", "times", "first", "second", "ids"])
+    return pa.Table.from_batches([whole.slice(at, OUTPUT_ROWS) for at in range(0, n + 1, OUTPUT_ROWS)])
+
+
+def _pairs(bits: int):
+    """A shard with the answers about its buckets -> its word pairs in frequent buckets."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        parts, ids, extra = (rows.column(c).to_pylist() for c in ("part", "ids", "extra"))
+        numbers, left = np.frombuffer(extra[0], dtype=np.int64), Shard(np.frombuffer(ids[0], dtype=np.int32))
+        assert parts[0] == _WHOLE
+        starts, sizes = left.phrases(2)
+        begin = left.leftward.suffixes[starts]
+        first, second = numbers[left.ids[begin] - 1], numbers[left.ids[begin + 1] - 1]
+        answers = [
+            np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=int.from_bytes(n, "little")) for b, n in zip(ids[1:], extra[1:])
+        ]
+        frequent = np.concatenate([np.zeros(0, dtype=np.uint8), *answers]) > 0
+        buckets = _buckets(first, second, bits)
+        kept = frequent[np.searchsorted(np.unique(buckets), buckets)] if len(buckets) else buckets > 0
+        found = {"place": starts[kept], "times": sizes[kept], "first": first[kept], "second": second[kept]}
+        return _phrase_rows(rows.column("shard")[0].as_py(), left.ids, found)
+
+    return run
+
+
 def _round(length: int):
     """A shard and its frequent phrases of ``length`` words -> what is left of the shard, and its phrases of one word more.
 
-    Phrases are rows with their leftward interval (``place``, ``times``) and global number (``id``); words have their local id
-    as the place. A longer phrase names its first and its second part by their global numbers.
+    Phrases are rows with their leftward interval (``place``, ``times``) and global number (``id``). A longer phrase names its
+    first and its second part by their global numbers.
     """
 
     def run(shards: pa.Table, frequent: pa.Table) -> pa.Table:
@@ -278,19 +391,11 @@ def _round(length: int):
         if shards.num_rows and frequent.num_rows:
             whole = Shard(np.frombuffer(shards.column("ids")[0].as_buffer(), dtype=np.int32))
             places, times, numbers = (frequent.column(n).to_numpy() for n in ("place", "times", "id"))
-            if length == 1:
-                marks = np.zeros(max(int(whole.ids.max(initial=0)), int(places.max())) + 1, dtype=np.int64)
-                marks[places] = np.arange(1, len(places) + 1)
-                marks = marks[whole.ids]
-            else:
-                marks = np.zeros(len(whole.ids), dtype=np.int64)
-                at, of = whole.places(places, times)
-                marks[at] = of + 1
+            marks = np.zeros(len(whole.ids), dtype=np.int64)
+            at, of = whole.places(places, times)
+            marks[at] = of + 1
             ids, marks = runs(whole.ids, marks, length)
-            if length == 1:
-                ids = marks  # words keep new ids from 1, without those that fell
-            ids = ids.astype(np.int32)
-            left = Shard(ids)
+            left = Shard(ids.astype(np.int32))
             starts, sizes = left.phrases(length + 1)
             begin = left.leftward.suffixes[starts]
             rows = {
@@ -299,12 +404,7 @@ def _round(length: int):
                 "first": numbers[marks[begin] - 1],
                 "second": numbers[marks[begin + 1] - 1],
             }
-        n = len(rows["place"])
-        columns = [pa.array(np.full(n + 1, number))]
-        columns += [pa.array(np.append(rows[c], 0)) for c in ("place", "times", "first", "second")]
-        columns.append(pa.array([None] * n + [ids.tobytes()], pa.binary()))
-        whole_batch = pa.RecordBatch.from_arrays(columns, names=["shard", "place", "times", "first", "second", "ids"])
-        return pa.Table.from_batches([whole_batch.slice(at, OUTPUT_ROWS) for at in range(0, n + 1, OUTPUT_ROWS)])
+        return _phrase_rows(number, ids, rows)
 
     return run
 
@@ -365,11 +465,24 @@ def frequent_phrases(
         level = found.where("one").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "total")
         levels = [level]
         shards = made.where(F.col("kind") == _IDS).select("shard", "ids")
+        words_in_all = totals.agg(F.sum("n")).first()[0] or 0
+        # About four pairs in a bucket, so that few rare pairs share one with others to make it frequent.
+        bits = max(RANGE_BITS, int(words_in_all).bit_length() - 2)
         for length in range(1, longest):
-            known = found.select("shard", "place", "times", "id").groupBy("shard")
-            step = materialize(
-                shards.groupBy("shard").cogroup(known).applyInArrow(_round(length), _ROUND), f"phrases-{length + 1}"
-            )
+            if length == 1:
+                known = found.select("shard", "place", "id").groupBy("shard")
+                kept = materialize(
+                    shards.groupBy("shard").cogroup(known).applyInArrow(_bucket_counts(bits), _KEPT), "word-shards"
+                )
+                whole = kept.where(F.col("part") == _WHOLE)
+                answers = kept.where(F.col("part") != _WHOLE).groupBy("part").applyInArrow(_frequent_buckets(least), _KEPT)
+                asked = whole.unionByName(answers).groupBy("shard")
+                step = materialize(asked.applyInArrow(_pairs(bits), _ROUND), "phrases-2")
+            else:
+                known = found.select("shard", "place", "times", "id").groupBy("shard")
+                step = materialize(
+                    shards.groupBy("shard").cogroup(known).applyInArrow(_round(length), _ROUND), f"phrases-{length + 1}"
+                )
             shards = step.where(F.col("ids").isNotNull()).select("shard", "ids")
             sent = step.where(F.col("ids").isNull()).select("shard", "place", "times", "first", "second")
             found = _summed(sent, ["first", "second"], least, f"frequent-{length + 1}")
