@@ -134,12 +134,15 @@ _DIGESTS = ("n_turns long", "turns_sha256 string", "loss_chars long", "loss_sha2
 def read_back(formatted: DataFrame) -> DataFrame:
     """One row per conversation, from the rendered turns and their masks alone.
 
-    Turns are in order of ``turn``, then role and rendered text, nulls first; null ids are one conversation. A SHA-256 runs
+    Turns are in order of ``turn``, then role and text, nulls first; null ids are one conversation. A SHA-256 runs
     through a conversation in order, so each is read by one task, as a stream of sorted rows: the task keeps two
     digests, whatever the length of the conversation.
     """
     ordered = formatted.select("conv_id", "turn", "role", "rendered", "loss_start", "loss_end")
-    ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "rendered")
+    plain = F.regexp_replace("rendered", r"(?s)\\(.)", "$1")
+    around = len(OPEN) + len(SPLIT)
+    text = F.substr(plain, F.length("role") + around + 1, F.length(plain) - F.length("role") - around - len(CLOSE))
+    ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", text)
     kind = formatted.schema["conv_id"].dataType.simpleString()
     return ordered.mapInArrow(_digests, f"conv_id {kind}, " + ", ".join(_DIGESTS))
 

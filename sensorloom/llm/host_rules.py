@@ -35,7 +35,11 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 
 @dataclass(frozen=True)
 class Rules:
-    """Base rules reject alone; the other rules count towards the host and reject with its verdict."""
+    """Base rules reject alone; the other rules count towards the host and reject with its verdict.
+
+    A host is rejected if its shrunk rate lies ``host_deviations`` standard deviations of the prior above the prior's mean;
+    0.84 is about the upper fifth of the hosts that the prior expects.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -43,7 +47,7 @@ class Rules:
     max_word_chars: float = 12.0
     max_symbols_per_word: float = 0.1
     max_dup_line_share_percent: int = 30
-    max_host_rate: float = 0.5
+    host_deviations: float = 0.84
 
 
 def _per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -141,20 +145,25 @@ def rule_failed(rules: Rules, prefix: str = "") -> Column:
 def host_verdicts(measured: DataFrame, host: str, rules: Rules, prefix: str = "") -> DataFrame:
     """One row per host: pages, failed, rate, shrunk_rate, host_rejected.
 
-    The prior's mean and strength come from the moments of the hosts' rates (each host counts once). If the
-    rates do not vary, or there is one host, every host is shrunk with a strength of its prior mean's maximum,
-    1e6 pages; if they vary as much as possible, with none. Partial aggregation takes care of hot hosts.
+    Pages are those that pass the base rules, failed those of them that fail another. The prior is a beta distribution whose
+    mean and strength come from the moments of the hosts' rates (each host with pages counts once). If the
+    rates do not vary, or there is one host, its strength is 1e6 pages; if they vary as much as possible, it has none. The bar
+    follows the prior, so a host falls for being worse than other hosts, not for a fixed rate. Partial
+    aggregation takes care of hot hosts.
     """
+    passed = ~base_failed(rules, prefix)
     hosts = measured.groupBy(F.col(quoted(host)).alias("host")).agg(
-        F.count(F.lit(1)).alias("pages"), F.sum(rule_failed(rules, prefix).cast("long")).alias("failed")
+        F.sum(passed.cast("long")).alias("pages"),
+        F.sum((passed & rule_failed(rules, prefix)).cast("long")).alias("failed"),
     )
-    hosts = materialize(hosts.withColumn("rate", F.col("failed") / F.col("pages")), "hosts")
+    hosts = materialize(hosts.withColumn("rate", F.try_divide("failed", "pages")), "hosts")
     moments = hosts.agg(F.avg("rate").alias("mean"), F.var_pop("rate").alias("spread")).first()
     mean, spread = moments["mean"] or 0.0, moments["spread"] or 0.0
     strength = min(1e6, max(0.0, mean * (1 - mean) / spread - 1)) if spread > 1e-15 else 1e6
-    shrunk = (F.col("failed") + F.lit(mean * strength)) / (F.col("pages") + F.lit(strength))
+    bar = mean + rules.host_deviations * (mean * (1 - mean) / (strength + 1)) ** 0.5
+    shrunk = F.try_divide(F.col("failed") + F.lit(mean * strength), F.col("pages") + F.lit(strength))
     return hosts.withColumn("shrunk_rate", shrunk).withColumn(
-        "host_rejected", F.col("shrunk_rate") > rules.max_host_rate
+        "host_rejected", F.coalesce(F.col("shrunk_rate") > F.lit(bar), F.lit(False))
     )
 
 

@@ -1,7 +1,8 @@
-"""Near copies: every pair of texts whose word shingles have at least a given Jaccard similarity.
+"""Near copies: groups of texts whose word shingles have at least a given Jaccard similarity.
 
-Texts of equal shingle sets are one node. Prefix filtering loses no pair: of sets in one common order, two that are
-similar enough share several of their first shingles. Candidates are verified on the whole sets.
+Texts of equal shingle sets are one node. Nodes meet under bands of minimum hashes; what meets is verified on the whole
+sets. A group is what links connect, so not all its pairs are needed: nodes of a band are compared with a first node and
+with neighbours in random orders, and again only across what is not yet connected. Candidates grow with the nodes.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +22,17 @@ from sensorloom.sources.scratch import materialize
 
 SHINGLE = 5
 LEAST_PERCENT = 80
-SAMPLED_NODES = 10_000
-COMMON_FROM = 5
-COMMON_SHINGLES = 200_000
-# Of sets with this many shingles each, similar ones share one more than every twentieth among the first.
-FIRST_PART = 20
+# Two sets of similarity 0.8 share one of twenty bands of four minima but for 3 pairs in 100,000.
+BANDS = 20
+BAND_MINIMA = 4
+# Bands of so few nodes are compared in full; in larger ones every row meets the first of its stretch and, in later rounds, that
+# many rows before it in a random order.
+SMALL_BAND = 16
+STRETCH = 256
+NEIGHBOURS = 4
+# Rounds end when so many in a row find no link.
+IDLE_ROUNDS = 2
+_SEEDS = mixed(np.arange(1, BANDS * BAND_MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -96,39 +102,141 @@ def _sets(shingle: int):
     return of
 
 
-def _prefixes(shingle: int, least_percent: int, common):
+def band_keys(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each non-empty set and band a hash of the band and its minima."""
+    starts = bounds[:-1]
+    result = np.empty((len(starts), BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        total = np.full(len(starts), band + 1, dtype=np.uint64)
+        for seed in _SEEDS[band * BAND_MINIMA : (band + 1) * BAND_MINIMA]:
+            least = np.minimum.reduceat((keys ^ (seed >> np.uint64(7))) * seed, starts)
+            total = mixed(total * np.uint64(0xD6E8FEB86659FD93) + least)
+        result[:, band] = total
+    return result
+
+
+def _banded(shingle: int):
+    """Texts -> ``key, node, size``: a row for each band of each node that is new in its task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = common.value
         for nodes, keys, bounds, new in _sets(shingle)(batches):
             sizes = np.diff(bounds)
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.minimum(np.searchsorted(last, keys), max(len(last) - 1, 0))
-            usual = last[place] == keys if len(last) else np.zeros(len(keys), dtype=bool)
-            order = np.lexsort((keys, usual, of))
-            # All but the least overlap and some more: two sets with that overlap share as many of these as were added.
-            length = sizes + least_percent * sizes // -100 + 1 + sizes // FIRST_PART
-            inside = np.arange(len(keys)) - bounds[of] < length[of]
-            inside &= np.isin(of, new)
-            chosen, of = keys[order][inside], of[inside]
+            wanted = np.zeros(len(sizes), dtype=bool)
+            wanted[new] = True
+            chosen = keys[np.repeat(wanted, sizes)]
+            found = band_keys(chosen, np.concatenate(([0], np.cumsum(sizes[new])))).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(chosen.view(np.int64)), pa.array(nodes[of]), pa.array(sizes[of], pa.int32())],
-                names=["token", "node", "size"],
+                [pa.array(found.reshape(-1)), pa.array(np.repeat(nodes[new], BANDS)), pa.array(np.repeat(sizes[new], BANDS))],
+                names=["key", "node", "size"],
             )
 
     return run
 
 
-def _sampled(shingle: int, rate: int):
+def _all_pairs(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i < j) inside each of the runs; runs are short."""
+    i, j = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for step in range(1, int(lengths.max(initial=0))):
+        wide = lengths > step
+        inside = np.repeat(starts[wide], lengths[wide] - step)
+        inside += np.arange(len(inside)) - np.repeat(np.cumsum(lengths[wide] - step) - (lengths[wide] - step), lengths[wide] - step)
+        i.append(inside)
+        j.append(inside + step)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _met(least_percent: int, in_full: bool):
+    """Rows sorted by band and a random order -> candidate pairs, and the rows of bands that are still of interest.
+
+    Candidates have different components and sizes that allow the similarity. A row without a key is a pair.
+    """
+
+    def pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, component: np.ndarray, bound: bool):
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        starts = np.flatnonzero(new)
+        lengths = np.diff(np.append(starts, len(key)))
+        inside = np.arange(len(key)) - np.repeat(starts, lengths)
+        later = np.flatnonzero(~new)
+        i, j = [later - 1, later - inside[later] % STRETCH], [later, later]
+        if in_full:
+            for step in range(2, NEIGHBOURS + 1):
+                later = np.flatnonzero(inside >= step)
+                i.append(later - step)
+                j.append(later)
+            small = (lengths > 2) & (lengths <= SMALL_BAND)
+            few = _all_pairs(starts[small], lengths[small])
+            i.append(few[0])
+            j.append(few[1])
+        i, j = np.concatenate(i), np.concatenate(j)
+        low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        open_ = (component[i] != component[j]) & (100 * low >= least_percent * high)
+        a, b = node[i[open_]], node[j[open_]]
+        found = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+        # A band stays if it has nodes of several components and was not compared in full; or if it may go on elsewhere.
+        least = np.minimum.reduceat(component, starts)
+        most = np.maximum.reduceat(component, starts)
+        stays = least != most
+        if in_full:
+            stays &= lengths > SMALL_BAND
+        if bound:
+            stays[[0, -1]] = True
+        kept = np.repeat(stays, lengths)
+        return found, key[kept], node[kept], size[kept]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, keys, bounds, new in _sets(shingle)(batches):
-            for row in new[nodes[new] % rate == 0].tolist():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[bounds[row] : bounds[row + 1]].view(np.int64))], names=["token"]
-                )
+        held: list[np.ndarray] | None = None
+        first = True
+        last_seen = None
+
+        def made(columns: list[np.ndarray], bound: bool) -> pa.RecordBatch:
+            found, key, node, size = pairs(*columns, bound)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate((found[0], key)), mask=np.arange(len(key) + found.shape[1]) < found.shape[1]),
+                    pa.array(np.concatenate((found[0], node))),
+                    pa.array(np.concatenate((found[1], node))),
+                    pa.array(np.concatenate((np.zeros(found.shape[1], dtype=np.int64), size))),
+                ],
+                names=["key", "a", "b", "size"],
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(n).to_numpy().astype(np.int64) for n in ("key", "node", "size", "component")]
+            if held is not None:
+                columns = [np.concatenate(both) for both in zip(held, columns)]
+            same = np.concatenate(([False], (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])))
+            columns = [c[~same] for c in columns]
+            # The last band may go on in the next batch; a long one is worked off by stretches.
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if len(columns[0]) - cut > 16 * STRETCH:
+                cut = len(columns[0]) - STRETCH
+            held = [c[cut:] for c in columns]
+            if cut:
+                yield made([c[:cut] for c in columns], first or columns[0][cut - 1] == columns[0][cut] or columns[0][0] == last_seen)
+                last_seen = columns[0][cut - 1]
+                first = False
+        if held is not None:
+            yield made(held, True)
 
     return run
 
 
+_MET = "key long, a long, b long, size long"
+
+
+def met(rows: DataFrame, turn: int, least_percent: int) -> DataFrame:
+    """``key, a, b, size``: candidates of one round (no key), and the rows (a = b = node) of bands to look at again.
+
+    ``rows`` has ``key, node, size, component``. Rows are range-partitioned by band and a random order, so that a band of
+    any size is spread over tasks.
+    """
+    order = F.xxhash64("node", F.lit(turn)).alias("order")
+    dealt = rows.select("key", order, "node", "size", "component").repartitionByRange("key", "order")
+    return dealt.sortWithinPartitions("key", "order", "node").mapInArrow(_met(least_percent, turn > 0), _MET)
+
+
 def _whole_sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for nodes, keys, bounds, new in _sets(shingle)(batches):
@@ -138,92 +246,75 @@ def _whole_sets(shingle: int):
     return run
 
 
-def _verified(least_percent: int):
+def _compared(least_percent: int):
+    """Rows sorted by ``a``, its own set (no ``b``) first -> the pairs that are similar enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, dtype=np.uint64)
         for batch in batches:
             keep = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (left, right))
-                place = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                shared = int((b[place] == a).sum())
-                keep.append(100 * shared >= least_percent * (len(a) + len(b) - shared))
+            for b, keys in zip(batch.column(1), batch.column(2)):
+                keys = np.frombuffer(keys.as_buffer(), dtype=np.uint64)
+                if not b.is_valid:
+                    own = keys.copy()
+                    keep.append(False)
+                    continue
+                place = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                shared = int((own[place] == keys).sum())
+                keep.append(100 * shared >= least_percent * (len(own) + len(keys) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def similar_pairs(pairs: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
+    """The candidates ``a, b`` whose whole sets are similar enough. A node's set travels once for each pair, and once as ``a``."""
+    others = pairs.join(sets.select(F.col("node").alias("b"), "keys"), "b").select("a", "b", "keys")
+    own = pairs.select("a").distinct().join(sets.select(F.col("node").alias("a"), "keys"), "a")
+    both = others.unionByName(own.select("a", F.lit(None).cast("long").alias("b"), "keys"))
+    ordered = both.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    return ordered.mapInArrow(_compared(least_percent), "a long, b long")
+
+
 def similar_links(
-    docs: DataFrame, text: str, nodes: int, shingle: int = SHINGLE, least_percent: int = LEAST_PERCENT
+    docs: DataFrame, text: str, shingle: int = SHINGLE, least_percent: int = LEAST_PERCENT
 ) -> DataFrame:
-    """``a, b``: links that connect every two set hashes whose sets have at least this Jaccard similarity.
+    """``a, b``: links between set hashes, each of at least this Jaccard similarity, that connect the groups.
 
-    ``nodes`` is about the number of distinct sets. Shingles that are common in a sample come last in the order, so that
-    few sets meet under them; the sample changes the work and not the result. Neighbours by size under a shingle
-    are verified first; after that only pairs that are not yet connected, all of them.
+    Every link is verified on the whole sets. In the first round nodes of a band meet its first node and a neighbour; in the
+    second those of small bands that are not connected yet meet all others; larger bands go on with new random orders, only
+    across components, until rounds find nothing more. Two nodes of a group are missed only if no band holds both (3 in
+    100,000 at the least similarity), or if in bands of more than sixteen nodes no chain of links was met.
     """
     texts = docs.select(F.col(quoted(text)))
-    context = docs.sparkSession.sparkContext
-    sampled = texts.mapInArrow(_sampled(shingle, max(1, nodes // SAMPLED_NODES)), "token long")
-    usual = sampled.groupBy("token").count().where(F.col("count") >= COMMON_FROM)
-    usual = usual.orderBy(F.desc("count")).limit(COMMON_SHINGLES).select("token").toArrow()
-    common = context.broadcast(np.sort(usual.column(0).to_numpy().view(np.uint64)))
-
-    one_token = W.partitionBy("token")
-    shared = materialize(
-        texts.mapInArrow(_prefixes(shingle, least_percent, common), "token long, node long, size int")
-        .withColumn("low", F.min("node").over(one_token))
-        .withColumn("high", F.max("node").over(one_token))
-        .where(F.col("low") < F.col("high"))
-        .select("token", "node", "size"),
-        "shared-shingles",
-    )
-    by_size = one_token.orderBy("size", "node")
-    first = (
-        shared.withColumn("before", F.lag("node").over(by_size))
-        .withColumn("less", F.lag("size").over(by_size))
-        .where((F.col("before") != F.col("node")) & (100 * F.col("less") >= least_percent * F.col("size")))
-        .select(F.least("node", "before").alias("a"), F.greatest("node", "before").alias("b"), "less")
-    )
-    found = _similar(texts, first, shingle, least_percent)
-    components = materialize(connected_components(found), "near-copies")
-    labelled = materialize(
-        shared.join(components, "node", "left")
-        .select("token", "node", "size", F.coalesce("component", "node").alias("component"))
-        .withColumn("low", F.min("component").over(one_token))
-        .withColumn("high", F.max("component").over(one_token))
-        .where(F.col("low") < F.col("high"))
-        .select("token", "node", "size", "component")
-        .distinct(),
-        "open-shingles",
-    )
-    x, y = labelled.alias("x"), labelled.alias("y")
-    rest = x.join(
-        y,
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.component") != F.col("y.component"))
-        & (F.col("x.node") < F.col("y.node"))
-        & (100 * F.col("x.size") >= least_percent * F.col("y.size"))
-        & (100 * F.col("y.size") >= least_percent * F.col("x.size")),
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.size", "y.size").alias("less"))
-    return found.unionByName(_similar(texts, rest, shingle, least_percent))
-
-
-def _similar(texts: DataFrame, pairs: DataFrame, shingle: int, least_percent: int) -> DataFrame:
-    """The pairs of nodes that are similar enough, of those that occur often enough for their smaller size ``less``."""
-    pairs = materialize(
-        pairs.groupBy("a", "b", "less").count().where(F.col("count") > F.floor(F.col("less") / FIRST_PART)).select("a", "b"),
-        "near-pairs",
-    )
-    wanted = materialize(
-        pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "near-nodes"
-    )
-    sets = materialize(
-        join_sized(texts.mapInArrow(_whole_sets(shingle), "node long, keys binary"), wanted, ["node"], "inner")
-        .dropDuplicates(["node"]),
-        "near-sets",
-    )
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("keys").alias(f"{side}_keys")), side)
-    return materialize(
-        pairs.select("a", "b", "a_keys", "b_keys").mapInArrow(_verified(least_percent), "a long, b long"), "near-links"
-    )
+    rows = texts.mapInArrow(_banded(shingle), "key long, node long, size long").withColumn("component", F.col("node"))
+    links: DataFrame | None = None
+    components: DataFrame | None = None
+    sets: DataFrame | None = None
+    turn = idle = 0
+    while True:
+        seen = materialize(met(rows, turn, least_percent), "bands")
+        pairs = materialize(seen.where(F.col("key").isNull()).select("a", "b").distinct(), "near-pairs")
+        open_rows = seen.where(F.col("key").isNotNull()).select("key", F.col("a").alias("node"), "size")
+        if sets is None:
+            wanted = materialize(open_rows.select("node").distinct(), "near-nodes")
+            sets = materialize(
+                join_sized(texts.mapInArrow(_whole_sets(shingle), "node long, keys binary"), wanted, ["node"], "inner")
+                .dropDuplicates(["node"]),
+                "near-sets",
+            )
+        found = materialize(similar_pairs(pairs, sets, least_percent), "near-links")
+        new = not found.isEmpty()
+        idle = 0 if new else idle + 1
+        links = found if links is None else links.unionByName(found)
+        turn += 1
+        if open_rows.isEmpty() or (turn > 1 and idle >= IDLE_ROUNDS):
+            return links
+        if new or components is None:
+            known = found if components is None else found.unionByName(
+                components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            )
+            components = materialize(connected_components(known), "near-components")
+        rows = open_rows.join(components, "node", "left").select(
+            "key", "node", "size", F.coalesce("component", "node").alias("component")
+        )

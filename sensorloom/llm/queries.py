@@ -95,9 +95,9 @@ rendered AS (
             + length(text) - length(replace(text, '\', '')) AS escapes
   FROM turns)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(role) + length(text) + escapes + 14) AS BIGINT) AS formatted_chars
 FROM rendered GROUP BY conv_id"""
 
@@ -112,23 +112,24 @@ LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrst
 def site_lines_sql(source: str = "documents", ratio: float = 0.1, least: int = 5) -> str:
     """CTEs up to ``cleaned``: every column of ``source``, with new text and n_chars, and n_dropped_lines."""
     strip = r"trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
-    return f"""site_docs AS (SELECT *, row_number() OVER () AS row_key, coalesce('=' || source, '-') AS host_key FROM {source}),
+    return f"""site_rows AS (SELECT *, row_number() OVER () AS row_key, coalesce('=' || source, '-') AS host_key FROM {source}),
+site_docs AS (SELECT *, min(row_key) OVER (PARTITION BY host_key, coalesce(text, '')) AS page_key FROM site_rows),
 site_split AS (
-  SELECT row_key, host_key, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  SELECT row_key, page_key, host_key, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
   FROM site_docs),
 site_stripped AS (SELECT *, {strip} AS stripped FROM site_split),
 site_bad AS (
   SELECT host_key, stripped FROM (
-    SELECT host_key, stripped, count(DISTINCT row_key) AS pages FROM site_stripped WHERE stripped <> '' GROUP BY ALL)
-  JOIN (SELECT host_key, count(*) AS host_pages FROM site_docs GROUP BY ALL) USING (host_key)
+    SELECT host_key, stripped, count(DISTINCT page_key) AS pages FROM site_stripped WHERE stripped <> '' GROUP BY ALL)
+  JOIN (SELECT host_key, count(DISTINCT page_key) AS host_pages FROM site_docs GROUP BY ALL) USING (host_key)
   WHERE pages >= {least} AND pages > {ratio} * host_pages),
 site_joined AS (
   SELECT s.row_key, string_agg(s.line, chr(10) ORDER BY s.place) FILTER (b.stripped IS NULL) AS new_text,
          count(b.stripped) AS n_dropped_lines
   FROM site_stripped s LEFT JOIN site_bad b ON s.host_key = b.host_key AND s.stripped = b.stripped GROUP BY ALL),
 cleaned AS (
-  SELECT d.* EXCLUDE (row_key, host_key) REPLACE (
+  SELECT d.* EXCLUDE (row_key, page_key, host_key) REPLACE (
            CASE WHEN text IS NOT NULL THEN coalesce(new_text, '') END AS text,
            CASE WHEN text IS NOT NULL THEN length(coalesce(new_text, '')) END AS n_chars),
          n_dropped_lines
@@ -168,13 +169,15 @@ rule_checked AS (
          OR 100 * n_dup_lines > {rules.max_dup_line_share_percent} * n_words AS any_failed
   FROM rule_failures),
 rule_hosts AS (
-  SELECT source AS host, count(*) AS pages, count(*) FILTER (any_failed) AS failed,
-         count(*) FILTER (any_failed) / count(*) AS rate FROM rule_checked GROUP BY ALL),
+  SELECT *, failed / nullif(pages, 0) AS rate FROM (
+    SELECT source AS host, count(*) FILTER (NOT base_failed) AS pages,
+           count(*) FILTER (any_failed AND NOT base_failed) AS failed FROM rule_checked GROUP BY ALL)),
 rule_prior AS (
   SELECT mean, CASE WHEN spread > 1e-15 THEN least(1e6, greatest(0.0, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS strength
   FROM (SELECT avg(rate) AS mean, var_pop(rate) AS spread FROM rule_hosts)),
 rule_verdicts AS (
-  SELECT host, (failed + mean * strength) / (pages + strength) > {rules.max_host_rate} AS host_rejected
+  SELECT host, coalesce((failed + mean * strength) / nullif(pages + strength, 0)
+               > mean + {rules.host_deviations} * sqrt(mean * (1 - mean) / (strength + 1)), false) AS host_rejected
   FROM rule_hosts, rule_prior),
 judged AS (
   SELECT c.* EXCLUDE (rule_key, any_failed), v.host_rejected,

@@ -264,8 +264,8 @@ def near_duplicate_groups(
     null id take part in linking and have the component of the ids they reach, null if there are none. Repeated
     rows give repeated rows. Equal fingerprints are one node, so a group of exact copies of any size is one row.
 
-    With ``least_percent`` the links are the pairs of at least that Jaccard similarity in percent instead, all of them
-    (``near_copies``); ``fingerprint`` is then a hash of the shingle set.
+    With ``least_percent`` links are pairs of at least that Jaccard similarity in percent instead, as many as connect the
+    groups (``near_copies``); ``fingerprint`` is then a hash of the shingle set.
     """
     node = fresh(docs.select(F.col(quoted(doc_id))), "fingerprint")
     prints = materialize(
@@ -279,7 +279,7 @@ def near_duplicate_groups(
     if least_percent is None:
         links = fingerprint_links(points.select("fingerprint"))
     else:
-        links = near_copies.similar_links(docs, text, points.count(), shingle, least_percent)
+        links = near_copies.similar_links(docs, text, shingle, least_percent)
     components = connected_components(links)
     labelled = materialize(
         points.join(components.select(F.col("node").alias("fingerprint"), "component"), "fingerprint", "left").select(

@@ -33,7 +33,6 @@ class Settings:
     factors: int = 4
     sample: int = 30_000
     least_texts: int = 5
-    least_share: float = 0.0013
     toxic_weight: float = 2.0
     epochs: int = 8
     rate: float = 0.05
@@ -93,7 +92,7 @@ class Machine:
 def fit(rows: list[tuple[np.ndarray, int]], settings: Settings) -> Machine:
     """Adaptive gradient descent on the log loss, over rows of distinct terms and a label of 0 or 1.
 
-    Terms in fewer than ``least_texts`` rows, or ``least_share`` of them, are left out: they would be learnt by heart.
+    Terms in fewer than ``least_texts`` rows are left out: they would be learnt by heart.
     """
     random = np.random.default_rng(settings.seed)
     size = 1 << settings.bits
@@ -105,7 +104,7 @@ def fit(rows: list[tuple[np.ndarray, int]], settings: Settings) -> Machine:
     seen = np.zeros(size, dtype=np.int64)
     for columns, _ in rows:
         seen[columns] += 1
-    usual = seen >= max(settings.least_texts, settings.least_share * len(rows))
+    usual = seen >= settings.least_texts
     factors[~usual] = 0.0
     rows = [(columns[usual[columns]], label) for columns, label in rows]
     bias, bias_sum = float(np.log(share / (1 - share))), 1.0
@@ -163,7 +162,8 @@ def fit_toxicity(
 
     At most ``settings.sample`` labelled rows are used: the ones whose hashed id is smallest, so that the sample does
     not depend on the partitions, and toxic rows are at least half of it if there are as many. Terms of
-    too few sampled texts get no weight. No rows, or one class alone, give the bias of that class.
+    too few sampled texts get no weight. No rows, or one class alone, give the bias of that class. Of labels of one id that
+    disagree the larger counts.
     """
     known = labels.where(F.col(quoted(label)).isin(0, 1)).groupBy(F.col(quoted(doc_id)).alias("id")).agg(
         F.max(quoted(label)).cast("int").alias("label")
