@@ -19,21 +19,33 @@ from pyspark.sql import functions as F
 from sensorloom.sources.scratch import materialize, release
 
 
+BLOCK_ROWS = 10_000
+
+
 def pack_blocks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One binary row per Arrow batch: the batch as a row-major matrix of doubles (NULL as NaN).
+    """One binary row per ``BLOCK_ROWS`` rows of a task: a row-major matrix of doubles (NULL as NaN).
 
     The blocks are written to the shared scratch folder and then cached, so a lost executor
-    re-reads its blocks and nothing upstream runs again.
+    re-reads its blocks and nothing upstream runs again. Their size does not depend on that of Arrow batches.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def block() -> pa.RecordBatch:
+            matrix = np.concatenate(held).tobytes()
+            return pa.RecordBatch.from_pydict({"block": pa.array([matrix], pa.binary())})
+
         for batch in batches:
             if batch.num_rows:
-                matrix = np.column_stack(
-                    [column.to_numpy(zero_copy_only=False) for column in batch.columns]
-                )
-                block = np.ascontiguousarray(matrix, dtype=np.float64).tobytes()
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.binary())})
+                columns = [column.to_numpy(zero_copy_only=False) for column in batch.columns]
+                held.append(np.column_stack(columns).astype(np.float64))
+                rows += batch.num_rows
+                if rows >= BLOCK_ROWS:
+                    yield block()
+                    held, rows = [], 0
+        if rows:
+            yield block()
 
     doubles = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
     packed = materialize(doubles.mapInArrow(pack, "block binary"), "blocks")
