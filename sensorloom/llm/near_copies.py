@@ -29,9 +29,9 @@ BAND_MINIMA = 4
 # many rows before it in a random order.
 SMALL_BAND = 16
 STRETCH = 256
-NEIGHBOURS = 4
-# Rounds end when so many in a row find no link.
-IDLE_ROUNDS = 2
+NEIGHBOURS = 3
+# At least so many rounds, and no more once one finds no link.
+LEAST_ROUNDS = 2
 _SEEDS = mixed(np.arange(1, BANDS * BAND_MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -232,7 +232,7 @@ def met(rows: DataFrame, turn: int, least_percent: int) -> DataFrame:
     ``rows`` has ``key, node, size, component``. Rows are range-partitioned by band and a random order, so that a band of
     any size is spread over tasks.
     """
-    order = F.xxhash64("node", F.lit(turn)).alias("order")
+    order = F.xxhash64("key", "node", F.lit(turn)).alias("order")
     dealt = rows.select("key", order, "node", "size", "component").repartitionByRange("key", "order")
     return dealt.sortWithinPartitions("key", "order", "node").mapInArrow(_met(least_percent, turn > 0), _MET)
 
@@ -279,19 +279,19 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, least_percent: int) -> Data
 def similar_links(
     docs: DataFrame, text: str, shingle: int = SHINGLE, least_percent: int = LEAST_PERCENT
 ) -> DataFrame:
-    """``a, b``: links between set hashes, each of at least this Jaccard similarity, that connect the groups.
+    """``a, b``: links that connect the groups of set hashes that pairs of at least this Jaccard similarity make.
 
-    Every link is verified on the whole sets. In the first round nodes of a band meet its first node and a neighbour; in the
+    Every pair is verified on the whole sets; links go to the smallest node of what pairs connect. In the first round nodes of a band meet its first node and a neighbour; in the
     second those of small bands that are not connected yet meet all others; larger bands go on with new random orders, only
     across components, until rounds find nothing more. Two nodes of a group are missed only if no band holds both (3 in
     100,000 at the least similarity), or if in bands of more than sixteen nodes no chain of links was met.
     """
     texts = docs.select(F.col(quoted(text)))
-    rows = texts.mapInArrow(_banded(shingle), "key long, node long, size long").withColumn("component", F.col("node"))
-    links: DataFrame | None = None
+    banded = materialize(texts.mapInArrow(_banded(shingle), "key long, node long, size long"), "band-rows")
+    rows = banded.withColumn("component", F.col("node"))
     components: DataFrame | None = None
     sets: DataFrame | None = None
-    turn = idle = 0
+    turn = 0
     while True:
         seen = materialize(met(rows, turn, least_percent), "bands")
         pairs = materialize(seen.where(F.col("key").isNull()).select("a", "b").distinct(), "near-pairs")
@@ -305,15 +305,13 @@ def similar_links(
             )
         found = materialize(similar_pairs(pairs, sets, least_percent), "near-links")
         new = not found.isEmpty()
-        idle = 0 if new else idle + 1
-        links = found if links is None else links.unionByName(found)
+        known = found
+        if components is not None:
+            known = found.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b")))
         turn += 1
-        if open_rows.isEmpty() or (turn > 1 and idle >= IDLE_ROUNDS):
-            return links
+        if (turn >= LEAST_ROUNDS and not new) or open_rows.isEmpty():
+            return known
         if new or components is None:
-            known = found if components is None else found.unionByName(
-                components.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            )
             components = materialize(connected_components(known), "near-components")
         rows = open_rows.join(components, "node", "left").select(
             "key", "node", "size", F.coalesce("component", "node").alias("component")
