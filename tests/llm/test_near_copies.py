@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from sensorloom.llm import near_copies, simhash
 
@@ -53,11 +55,90 @@ def test_stage_joins_every_pair_of_the_least_similarity(spark):
     assert len(got) < simhash.keep_one_of_each_group(docs).count()
 
 
-def test_groups_do_not_depend_on_the_common_shingles(spark, monkeypatch):
-    rows = documents()
+def groups_of(spark, rows, parts=4):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(docs, shingle=5, least_percent=80).collect()}
+
+
+def around_the_threshold(n, changed, length=200, seed=4):
+    """Variants of one text, with so many words replaced in each that most pairs are near the least similarity."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(length)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for place in rng.sample(range(length), changed):
+            words[place] = f"v{i}x{place}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def one_shared_passage(n, seed=5):
+    """Texts of 170 words that share 150: no two are similar enough."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(150)]
+    return [(i, " ".join(passage + [f"o{i}x{rng.random()}" for _ in range(20)])) for i in range(n)]
+
+
+def recall(rows, got):
+    """Of the pairs that brute force puts in one group, the share that is in one group here; and there are no others."""
     wanted = brute_groups(rows)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for least in (2, 10**6):
-        monkeypatch.setattr(near_copies, "COMMON_FROM", least)
-        groups = simhash.near_duplicate_groups(docs, shingle=5, least_percent=80).collect()
-        assert {r["doc_id"]: r["component_id"] for r in groups} == dict(zip((r[0] for r in rows), wanted))
+    apart = {}
+    for (key, _), group in zip(rows, wanted):
+        apart.setdefault(group, []).append(got[key])
+    assert all(got[k] in (r[0] for r in rows) for k, _ in rows)
+    owners = {}
+    for group, parts in apart.items():
+        for part in set(parts):
+            assert owners.setdefault(part, group) == group
+    pairs = sum(len(p) * (len(p) - 1) for p in apart.values())
+    held = sum(p.count(x) * (p.count(x) - 1) for p in apart.values() for x in set(p))
+    return held / pairs if pairs else 1.0
+
+
+@pytest.mark.parametrize("changed", [1, 2, 3])
+def test_recall_of_groups_around_the_threshold(spark, changed):
+    rows = around_the_threshold(150, changed)
+    assert recall(rows, groups_of(spark, rows)) >= (1.0 if changed < 3 else 0.9)
+
+
+@pytest.mark.parametrize("made", [lambda n: around_the_threshold(n, 3), one_shared_passage])
+def test_candidates_grow_with_the_texts(spark, monkeypatch, made):
+    counts = []
+    compare = near_copies.similar_pairs
+
+    def counted(pairs, *rest):
+        counts[-1] += pairs.count()
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "similar_pairs", counted)
+    for n in (400, 800):
+        counts.append(0)
+        groups_of(spark, made(n))
+    assert counts[1] <= 2.6 * counts[0] + 1000, counts
+    assert counts[1] < 150 * 800 < 800 * 799 / 2
+
+
+def test_nulls_long_texts_and_large_groups(spark):
+    rng = random.Random(8)
+    long = [f"l{i}" for i in range(30_000)]
+    changed = list(long)
+    for place in range(0, 30_000, 100):
+        changed[place] = f"c{place}"
+    base = [f"g{i}" for i in range(60)]
+    rows = [(1, " ".join(long)), (2, " ".join(changed)), (3, None), (4, ""), (5, "one two"), (6, "ONE  two"), (None, " ".join(long))]
+    rows += [(100 + i, " ".join(base[: 59 - i % 3])) for i in range(500)]
+    rows += [(700 + i, " ".join(rng.choices(base, k=60))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(docs, shingle=5, least_percent=80).collect()}
+    assert got[2] == got[1] == got[None] == 1 and got[4] == got[3] == 3 and got[6] == got[5] == 5
+    assert {got[100 + i] for i in range(500)} == {100}
+    kept = simhash.keep_one_of_each_group(docs, shingle=5, least_percent=80)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
+    assert simhash.near_duplicate_groups(docs.limit(0), shingle=5, least_percent=80).count() == 0
+
+
+def test_long_bands_are_worked_off_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "STRETCH", 4)
+    rows = around_the_threshold(150, 1)
+    assert recall(rows, groups_of(spark, rows)) == 1.0

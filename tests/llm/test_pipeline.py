@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections import Counter
 
 import pytest
 from test_packing import brute_ids
-from test_simhash import brute_groups
+from test_near_copies import shingles
 
 import corpus_pipeline
 from sensorloom.llm import contamination
@@ -47,9 +48,10 @@ def good(text):
 def brute_force(rows, items):
     kept = [r for r in rows if good(r[1])]
     yield kept
-    pages, on = Counter(r[3] for r in kept), Counter()
-    for r in kept:
-        on.update({(r[3], line.strip(" ")) for line in r[1].split("\n") if line.strip(" ")})
+    texts = {(r[3], r[1]) for r in kept}
+    pages, on = Counter(source for source, _ in texts), Counter()
+    for source, text in texts:
+        on.update({(source, line.strip(" ")) for line in text.split("\n") if line.strip(" ")})
     cleaned = []
     for d, t, lang, source, _ in kept:
         t = "\n".join(
@@ -58,12 +60,18 @@ def brute_force(rows, items):
         )
         cleaned.append((d, t, lang, source, len(t)))
     yield cleaned
-    _, components, groups = brute_groups([r[:2] for r in cleaned])
-    unique, seen = [], set()
-    for row, component, group in zip(cleaned, components, groups):
-        if row[0] == component and group not in seen:
-            seen.add(group)
-            unique.append(row)
+    sets = [shingles(r[1]) for r in cleaned]
+    group = list(range(len(cleaned)))
+    for i, j in itertools.combinations(range(len(cleaned)), 2):
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+            old, new = sorted((group[i], group[j]), reverse=True)
+            group = [new if g == old else g for g in group]
+    unique = {}
+    for row, g in zip(cleaned, group):
+        kept_row = unique.setdefault(g, row)
+        if row[0] is not None and (kept_row[0] is None or row[0] < kept_row[0]):
+            unique[g] = row
+    unique = list(unique.values())
     yield unique
     own = [contamination._shingles(t, 5) for _, t in items]
     clean = [r for r in unique if not any(len(i & contamination._shingles(r[1], 5)) >= 0.8 * len(i) for i in own)]
