@@ -113,14 +113,22 @@ def spaced(positions: np.ndarray, heights: np.ndarray, window: np.ndarray, dista
     return keep
 
 
-def prominence(values: np.ndarray, peak: int, start: int, stop: int) -> float:
-    """Height of a peak over the higher of the lowest values before a higher sample on either side."""
-    bases = []
-    for side in (values[start:peak][::-1], values[peak + 1 : stop]):
-        higher = side > values[peak]
-        reach = int(higher.argmax()) if higher.any() else len(side)
-        bases.append(side[:reach].min(initial=values[peak]))
-    return float(values[peak] - max(bases))
+def prominences(values: np.ndarray, peaks: np.ndarray, maxima: np.ndarray, windows: Segments) -> np.ndarray:
+    """Height of each peak over the higher of the lowest values before a higher sample on either side.
+
+    All peaks of all windows at once; ``maxima`` are all local maxima, of which ``peaks`` are some.
+    """
+    if not len(peaks):
+        return np.zeros(0)
+    # A search ends at a local maximum or at an end of its window.
+    walls = np.unique(np.concatenate((windows.starts, maxima, windows.starts + windows.sizes - 1)))
+    heights, of = values[walls], windows.of[walls]
+    valleys = np.minimum.reduceat(values, walls)
+    first, last = np.append(True, of[1:] != of[:-1]), np.append(of[1:] != of[:-1], True)
+    left, _ = _base_levels(heights, np.where(first, np.inf, np.append(np.inf, valleys[:-1])), first)
+    right, _ = _base_levels(heights[::-1], np.where(last, np.inf, valleys)[::-1], last[::-1])
+    at = np.searchsorted(walls, peaks)
+    return values[peaks] - np.maximum(left[at], right[::-1][at])
 
 
 def beats(times: np.ndarray, values: np.ndarray, windows: Segments, rules: PulseRules) -> np.ndarray:
@@ -144,15 +152,10 @@ def beats(times: np.ndarray, values: np.ndarray, windows: Segments, rules: Pulse
     spread = np.sqrt(np.add.reduceat((values - mean[windows.of]) ** 2, windows.starts) / sizes)
     floor = np.maximum(rules.prominence_floor, rules.prominence_share * spread)
 
-    peaks = maxima_of(values, windows)
-    peaks = peaks[usable[windows.of[peaks]]]
+    maxima = maxima_of(values, windows)
+    peaks = maxima[usable[windows.of[maxima]]]
     peaks = peaks[spaced(peaks, values[peaks], windows.of[peaks], distance)]
-    stops = windows.starts + sizes
-    stand_out = [
-        prominence(values, peak, windows.starts[w], stops[w]) >= floor[w]
-        for peak, w in zip(peaks.tolist(), windows.of[peaks].tolist())
-    ]
-    return peaks[np.array(stand_out, dtype=bool)]
+    return peaks[prominences(values, peaks, maxima, windows) >= floor[windows.of[peaks]]]
 
 
 def local_maxima(values: np.ndarray) -> np.ndarray:
@@ -175,23 +178,32 @@ def base_levels(
     walls = np.unique(np.r_[0, peaks, len(values) - 1, local_maxima(values)])
     heights = values[walls]
     valleys = np.minimum.reduceat(values, walls)[:-1]
-    left, left_walled = _base_levels(heights, np.r_[np.inf, valleys])
-    right, right_walled = _base_levels(heights[::-1], np.r_[np.inf, valleys[::-1]])
+    alone = np.arange(len(walls)) == 0
+    left, left_walled = _base_levels(heights, np.r_[np.inf, valleys], alone)
+    right, right_walled = _base_levels(heights[::-1], np.r_[np.inf, valleys[::-1]], alone)
     at = np.searchsorted(walls, peaks)
     return (left[at], left_walled[at]), (right[::-1][at], right_walled[::-1][at])
 
 
-def _base_levels(heights: np.ndarray, valley_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest value since the last higher wall, and whether there is one, wall by wall."""
-    tops, bases = heights.tolist(), np.minimum(heights, valley_before).tolist()
-    walled = []
-    higher: list[int] = []
-    for k, top in enumerate(tops):
-        while higher and tops[higher[-1]] <= top:
-            bases[k] = min(bases[k], bases[higher.pop()])
-        walled.append(bool(higher))
-        higher.append(k)
-    return np.array(bases), np.array(walled, dtype=bool)
+def _base_levels(
+    heights: np.ndarray, valley_before: np.ndarray, first: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Lowest value since the last higher wall, and whether there is one, wall by wall; ``first`` marks a window's first wall.
+
+    Each wall looks at the one before it. Where that is not higher, it takes over what that one knows and looks where that
+    one looks; as all do so at once, reaches double and the rounds grow with the logarithm of the walls passed.
+    """
+    bases = np.minimum(heights, valley_before)
+    seen = np.where(first, -1, np.arange(len(heights)) - 1)
+    open_ = np.arange(len(heights))
+    while True:
+        at = seen[open_]
+        open_ = open_[(at >= 0) & (heights[at] <= heights[open_])]
+        if not len(open_):
+            return bases, seen >= 0
+        at = seen[open_]
+        bases[open_] = np.minimum(bases[open_], bases[at])
+        seen[open_] = seen[at]
 
 
 # --- DataFrame operators -----------------------------------------------------------------------

@@ -10,7 +10,7 @@ from sensorloom.operators.pulse import (
     interval_summary,
     local_maxima,
     maxima_of,
-    prominence,
+    prominences,
     pulse_features,
     pulse_peaks,
     spaced,
@@ -73,7 +73,8 @@ def test_kernel_parts_against_brute_force(name, x):
     for distance in (1, 2, 5, 30):
         kept = peaks[spaced(peaks, x[peaks], np.zeros(len(peaks), dtype=int), np.array([distance]))]
         assert list(kept) == naive_spaced(list(peaks), list(x[peaks]), distance)
-    assert np.allclose([prominence(x, p, 0, len(x)) for p in peaks], [naive_prominence(x, p) for p in peaks])
+    found = prominences(x, peaks, peaks, Segments.between(np.arange(len(x)) == 0))
+    assert np.allclose(found, [naive_prominence(x, p) for p in peaks])
 
 
 def test_many_windows_at_once_equal_each_alone():
@@ -132,3 +133,33 @@ def test_long_windows_equal_the_one_task_form(spark, block_rows):
     assert ordinary["short"][1:] == (None, None, None)
     assert ordinary["same time"][1] is None and ordinary["same time"][3] is not None
     assert ordinary["spoiled"][0] == 40
+
+
+def plain_prominence(values, peak, start, stop):
+    bases = []
+    for side in (values[start:peak][::-1], values[peak + 1 : stop]):
+        reach = next((i for i, x in enumerate(side) if x > values[peak]), len(side))
+        bases.append(min([*side[:reach], values[peak]]))
+    return values[peak] - max(bases)
+
+
+def test_prominences_of_many_windows_equal_a_search_per_peak():
+    random = np.random.default_rng(6)
+    for size in (1, 2, 3, 40, 400):
+        values = random.integers(0, 12, size * 5).astype(float)
+        windows = Segments.between(np.arange(len(values)) % size == 0)
+        maxima = maxima_of(values, windows)
+        chosen = maxima[random.random(len(maxima)) < 0.6]
+        found = prominences(values, chosen, maxima, windows)
+        wanted = [plain_prominence(values.tolist(), p, p // size * size, (p // size + 1) * size) for p in chosen.tolist()]
+        assert found.tolist() == wanted
+
+
+def test_bases_of_a_staircase_take_few_rounds():
+    """Every peak looks past all others; a search per peak would pass a hundred thousand of them each."""
+    steps = np.repeat(np.arange(100_000.0), 2)
+    steps[1::2] -= 5.5
+    windows = Segments.between(np.arange(len(steps)) == 0)
+    maxima = maxima_of(steps, windows)
+    found = prominences(steps, maxima, maxima, windows)
+    assert len(maxima) == 99_999 and (found > 0).all() and found[-1] == steps[maxima[-1]] - steps[maxima[-1] + 1]
