@@ -7,6 +7,7 @@ into blocks, work inside the blocks, and carry one small row per block across th
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,22 +71,24 @@ def first_difference(
 ) -> DataFrame:
     """``value - previous value`` in time order per group; NULL on the first row.
 
-    Groups up to ``block_rows`` rows use a plain window function. If any is larger, all rows are
+    Groups up to ``block_rows`` rows use a plain window function. The rows of larger ones, and only those, are
     range-partitioned into blocks of about that size and the last row of each block is carried
     over. ``block`` may give blocks that are already known; it must not decrease with time.
     """
     order = [time, *tie]
+
+    def in_blocks(blocked: DataFrame) -> DataFrame:
+        with_previous = neighbor(blocked, keys, "_block", order, {value: "_previous"})
+        return with_previous.withColumn(name, F.col(value) - F.col("_previous")).drop("_block", "_previous")
+
     if block is not None:
-        blocked = df.withColumn("_block", block)
-    elif largest_group(df, keys) > block_rows:
-        blocked = ordered_blocks(df, keys, order, blocks_for(df, block_rows))
-    else:
-        ordered = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.col(value) - F.lag(value).over(ordered))
-    with_previous = neighbor(blocked, keys, "_block", order, {value: "_previous"})
-    return with_previous.withColumn(name, F.col(value) - F.col("_previous")).drop(
-        "_block", "_previous"
-    )
+        return in_blocks(df.withColumn("_block", block))
+    small, large = split_groups(df, keys, block_rows)
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    plain = small.withColumn(name, F.col(value) - F.lag(value).over(ordered))
+    if large is None:
+        return plain
+    return plain.unionByName(in_blocks(ordered_blocks(large.rows, keys, order, large.blocks(block_rows))))
 
 
 def block_count(rows: int, block_rows: int, partitions: int) -> int:
@@ -93,9 +96,37 @@ def block_count(rows: int, block_rows: int, partitions: int) -> int:
     return max(2, min(-(-rows // block_rows), max(MOST_BLOCKS, 4 * partitions)))
 
 
-def blocks_for(df: DataFrame, block_rows: int) -> int:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return block_count(df.count(), block_rows, partitions)
+@dataclass(frozen=True)
+class LargeGroups:
+    """The rows of groups that are too large for one task, and how many they are."""
+
+    rows: DataFrame
+    count: int
+
+    def blocks(self, block_rows: int) -> int:
+        partitions = int(self.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return block_count(self.count, block_rows, partitions)
+
+
+def split_groups(
+    df: DataFrame, keys: Sequence[str], block_rows: int, rows: int | None = None
+) -> tuple[DataFrame, LargeGroups | None]:
+    """The rows of groups up to ``block_rows`` rows, and those of the others (None if there are none).
+
+    Counting is one pass over the keys with partial aggregation. There are at most (all rows) / ``block_rows`` large groups,
+    so their list is small enough to be broadcast. ``rows`` may give a known largest group size.
+    """
+    if rows is not None and rows <= block_rows:
+        return df, None
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
+    named = [F.col(k).alias(f"_large_{i}") for i, k in enumerate(keys)]
+    listed = materialize(counts.select(*named, "_n"), "large-groups")
+    count = listed.agg(F.sum("_n")).first()[0]
+    if not count:
+        return df, None
+    listed = F.broadcast(listed.drop("_n"))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_large_{i}")) for i, k in enumerate(keys)))
+    return df.join(listed, same, "left_anti"), LargeGroups(df.join(listed, same, "left_semi"), count)
 
 
 def ordered_blocks(
@@ -130,12 +161,6 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -
     return numbered.join(F.broadcast(offsets), "_range").select(*df.columns, place)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; one pass over the keys with partial aggregation."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0
-
-
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -148,13 +173,11 @@ def running_totals(
     """Sum of each measure over the strictly earlier rows of the group, as a new column.
 
     ``order`` must be unique per group. Groups up to ``block_rows`` use a plain window function;
-    if any group is larger, all rows are range-partitioned into blocks of about that size and
+    the rows of larger ones, and only those, are range-partitioned into blocks of about that size and
     block totals are carried along each group. ``rows`` may give a known largest group size.
     """
     keys, order = list(keys), list(order)
     named = df.select("*", *(measure.alias(f"_w_{name}") for name, measure in measures.items()))
-    if rows is None:
-        rows = largest_group(named, keys)
 
     def before(partition: Sequence[str], names: dict[str, str], by: Sequence[str]) -> list[Column]:
         frame = Window.partitionBy(*partition).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
@@ -164,10 +187,11 @@ def running_totals(
         ]
 
     weights = {f"_w_{name}": name for name in measures}
-    if rows <= block_rows:
-        return named.select("*", *before(keys, weights, order)).drop(*weights)
-
-    blocked = ordered_blocks(named, keys, order, blocks_for(named, block_rows))
+    small, large = split_groups(named, keys, block_rows, rows)
+    plain = small.select("*", *before(keys, weights, order)).drop(*weights)
+    if large is None:
+        return plain
+    blocked = ordered_blocks(large.rows, keys, order, large.blocks(block_rows))
     totals = blocked.groupBy(*keys, "_block").agg(
         *(F.sum(weight).alias(f"{weight}_block") for weight in weights)
     )
@@ -179,10 +203,11 @@ def running_totals(
     local = blocked.select(
         "*", *before([*keys, "_block"], {w: f"{w}_local" for w in weights}, order)
     )
-    return local.join(offsets, [*keys, "_block"]).select(
+    in_blocks = local.join(offsets, [*keys, "_block"]).select(
         *df.columns,
         *((F.col(f"{w}_local") + F.col(f"{w}_offset")).alias(name) for w, name in weights.items()),
     )
+    return plain.unionByName(in_blocks)
 
 
 def grouped_median(
@@ -199,9 +224,12 @@ def grouped_median(
     :func:`running_totals`, and the one or two middle values are picked.
     """
     keys = list(keys)
-    if largest_group(df, keys) <= block_rows:
-        return df.groupBy(*keys).agg(*(F.median(v).alias(f"{v}_median") for v in values))
+    small, large = split_groups(df, keys, block_rows)
+    plain = small.groupBy(*keys).agg(*(F.median(v).alias(f"{v}_median") for v in values))
+    return plain if large is None else plain.unionByName(_ranked_medians(large.rows, keys, values, block_rows))
+
 
+def _ranked_medians(df: DataFrame, keys: list[str], values: Sequence[str], block_rows: int) -> DataFrame:
     counted = materialize(
         df.select(
             *keys,

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sensorloom.operators import ordering
 from sensorloom.operators.ordering import (
     column_medians,
     first_difference,
@@ -99,3 +100,25 @@ def test_positions_follow_the_order(spark):
     found = {(r["s"], r["n"]): r["position"] for r in with_position(df, ["s", "n"]).collect()}
     assert found == {(s, n): i + 1 for i, (s, n) in enumerate(sorted((s, n) for n, s in rows))}
     assert with_position(df.limit(0), ["n"]).count() == 0
+
+
+@pytest.mark.parametrize("form", ["totals", "difference", "median"])
+def test_only_large_groups_are_cut_into_blocks(spark, monkeypatch, form):
+    """One plan with both branches: a group of 800 rows goes through blocks, twenty of 60 and one of nulls stay whole."""
+    df = _skewed(spark).withColumn("k", F.when(F.col("k") != 7, F.col("k")))
+    seen = []
+    cut = ordering.ordered_blocks
+
+    def watched(rows, *args):
+        seen.append({r["k"] for r in rows.select("k").distinct().collect()})
+        return cut(rows, *args)
+
+    monkeypatch.setattr(ordering, "ordered_blocks", watched)
+    forms = {
+        "totals": lambda rows: running_totals(df, ["k"], ["t"], {"total": F.col("v")}, block_rows=rows),
+        "difference": lambda rows: first_difference(df, ["k"], "t", "v", "d", block_rows=rows),
+        "median": lambda rows: grouped_median(df, ["k"], ["t"], block_rows=rows),
+    }
+    mixed, whole = forms[form](300), forms[form](10_000)
+    assert mixed.columns == whole.columns and seen and all(s == {0} for s in seen)
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, whole.collect()))
