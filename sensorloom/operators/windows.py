@@ -107,17 +107,19 @@ def assign_windows(
     *,
     window_seconds: float = 30.0,
     keys: Sequence[str] = SESSION_KEYS,
+    rows: Column | None = None,
     **join_options,
 ) -> DataFrame:
     """Give each sample its ``window_index`` and ``window_start_unix``; drop samples outside.
 
     The windows of a session follow each other, so the interval join becomes a computed key: one
-    pass over the samples whatever the number of windows.
+    pass over the samples whatever the number of windows. ``rows`` is a column of ``grid`` that says how many samples a
+    session has, so that they need not be counted again for the join.
     """
-    anchors = grid.where(F.col("windows_candidate") > 0).select(
-        *keys, "analysis_start", "windows_candidate"
-    )
-    joined = sized_join(samples, anchors, keys, spread_by=["time"], **join_options)
+    placed = grid.where(F.col("windows_candidate") > 0)
+    anchors = placed.select(*keys, "analysis_start", "windows_candidate")
+    known = None if rows is None else placed.select(*keys, rows.alias("_rows"))
+    joined = sized_join(samples, anchors, keys, spread_by=["time"], known_rows=known, **join_options)
     start, windows = F.col("analysis_start"), F.col("windows_candidate")
     first, last = window_bounds_of(F.col("time"), start, window_seconds, windows)
     return (

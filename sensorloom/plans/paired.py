@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from sensorloom.operators.balance import balance_conditions
 from sensorloom.operators.features import eeg_window_features, slow_stream_features
-from sensorloom.operators.joins import sized_join
 from sensorloom.operators.ordering import BLOCK_ROWS
 from sensorloom.operators.pulse import DEFAULT_RULES, PulseRules, pulse_features
 from sensorloom.operators.windows import (
@@ -38,8 +37,10 @@ class WindowSettings:
     block_rows: int = BLOCK_ROWS
 
 
-def session_windows(eeg: DataFrame, samples: DataFrame, settings: WindowSettings) -> DataFrame:
-    """Per session: row counts, overlap, anchor and candidate windows, as a written table.
+def session_windows(
+    eeg: DataFrame, samples: DataFrame, settings: WindowSettings, cohort: DataFrame | None = None
+) -> DataFrame:
+    """Per session (of ``cohort``, if given): row counts, overlap, anchor and candidate windows, as a written table.
 
     One pass over the times of all streams. Three feature branches and the audit read the result.
     """
@@ -50,25 +51,37 @@ def session_windows(eeg: DataFrame, samples: DataFrame, settings: WindowSettings
         warmup_seconds=settings.warmup_seconds,
         max_windows=settings.max_windows,
     )
+    if cohort is not None:
+        grid = grid.join(cohort.select(*SESSION_KEYS), list(SESSION_KEYS), "left_semi")
     return materialize(grid, "session-windows")
 
 
+def in_any_window(df: DataFrame, grid: DataFrame, settings: WindowSettings) -> DataFrame:
+    """Rows between the first and the last instant of all windows: a range that scans of stored samples can skip by."""
+    stop = F.col("analysis_start") + F.col("windows_candidate") * F.lit(settings.window_seconds)
+    placed = grid.where(F.col("windows_candidate") > 0)
+    low, high = placed.agg(F.min("analysis_start"), F.max(stop)).first()
+    return df.where(F.col("time").between(low, high)) if low is not None else df
+
+
 def window_features(
     eeg: DataFrame, samples: DataFrame, grid: DataFrame, settings: WindowSettings
 ) -> DataFrame:
     """All features of the windows that have enough rows in every stream.
 
     Each stream is reduced to one row per window before the inner joins; all three sides are
-    partitioned by the window keys already, so the joins add no shuffle.
+    partitioned by the window keys already, so the joins add no shuffle. The grid knows how many rows each session
+    has, so each branch is one scan of its stream.
     """
     width = settings.window_seconds
-    anchors = grid.select(*SESSION_KEYS, "analysis_start", "windows_candidate")
+    eeg, samples = (in_any_window(df, grid, settings) for df in (eeg, samples))
     slow = samples.where(F.col("stream").isin("eda", "temperature"))
     bvp = samples.where(F.col("stream") == "bvp").drop("stream")
-    brain = eeg_window_features(assign_windows(eeg, anchors, window_seconds=width))
-    skin = slow_stream_features(assign_windows(slow, anchors, window_seconds=width))
+    slow_rows = F.col("eda_rows") + F.col("temperature_rows")
+    brain = eeg_window_features(assign_windows(eeg, grid, window_seconds=width, rows=F.col("eeg_rows")))
+    skin = slow_stream_features(assign_windows(slow, grid, window_seconds=width, rows=slow_rows))
     pulse = pulse_features(
-        assign_windows(bvp, anchors, window_seconds=width),
+        assign_windows(bvp, grid, window_seconds=width, rows=F.col("bvp_rows")),
         rules=settings.pulse,
         block_rows=settings.block_rows,
         largest_window=grid.agg(F.max("bvp_rows")).first()[0],
@@ -85,19 +98,12 @@ def paired_feature_table(
 ) -> tuple[DataFrame, DataFrame]:
     """(features, audit): balanced windows with keys, label, flags and 21 features; session audit.
 
-    ``labels`` is the cohort: it gives each session key its class label, and sessions it does not list are left out
-    before anything is counted. ``samples`` may hold an ``eeg`` stream, which only ``eeg`` itself stands for.
+    ``labels`` is the cohort: it gives each session key its class label, and sessions it does not list
+    have no windows. ``samples`` may hold an ``eeg`` stream, which only ``eeg`` itself stands for.
     """
     cohort = labels.select(*SESSION_KEYS, TARGET).distinct()
-    eeg = sized_join(eeg, cohort.select(*SESSION_KEYS), SESSION_KEYS, "left_semi", spread_by=["time"])
-    samples = sized_join(
-        samples.where(F.col("stream") != "eeg"),
-        cohort.select(*SESSION_KEYS),
-        SESSION_KEYS,
-        "left_semi",
-        spread_by=["stream", "time"],
-    )
-    grid = session_windows(eeg, samples, settings)
+    samples = samples.where(F.col("stream") != "eeg")
+    grid = session_windows(eeg, samples, settings, cohort)
     complete = materialize(window_features(eeg, samples, grid, settings), "windows")
     balanced = balance_conditions(complete)
     start = F.col("analysis_start") + F.col("window_index") * F.lit(float(settings.window_seconds))

@@ -117,3 +117,36 @@ def test_null_values_count_as_rows(spark):
     row = window_row_counts(df).first()
     assert all(row[f"{s}_window_rows"] == 1 for s in STREAMS)
     assert df.agg(F.count("value")).first()[0] == 0
+
+
+def test_known_counts_save_the_counting_scan(spark, tmp_path):
+    """Above the broadcast limit, with a hot session: the samples are scanned once, and the rows are the same."""
+    import sensorloom.operators.joins as joins
+
+    rows = [(f"p{i % 4 if i % 3 else 0}", "a", float(i % 97)) for i in range(600)]
+    spark.createDataFrame(rows, "patient_id string, condition string, time double").write.parquet(str(tmp_path / "s"))
+    samples = spark.read.parquet(str(tmp_path / "s"))
+    grid = samples.groupBy("patient_id", "condition").agg(
+        F.min("time").alias("analysis_start"), F.lit(6).cast("long").alias("windows_candidate"), F.count(F.lit(1)).alias("n")
+    )
+    spark.createDataFrame(grid.collect(), grid.schema).write.parquet(str(tmp_path / "g"))
+    grid = spark.read.parquet(str(tmp_path / "g"))
+    counted = []
+    group = type(samples).groupBy
+
+    def watched(self, *columns):
+        counted.append(self)
+        return group(self, *columns)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(samples), "groupBy", watched)
+        known = assign_windows(samples, grid, window_seconds=10.0, rows=F.col("n"), broadcast_rows=0, hot_rows=100)
+        assert not counted
+        plain = assign_windows(samples, grid, window_seconds=10.0, broadcast_rows=0, hot_rows=100)
+        assert counted
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f"{tmp_path}/s]") == 1 and joins.BROADCAST_ROWS
+    direct = assign_windows(samples, grid, window_seconds=10.0)
+    expected = sorted(map(tuple, direct.collect()))
+    assert sorted(map(tuple, known.select(*direct.columns).collect())) == expected
+    assert sorted(map(tuple, plain.select(*direct.columns).collect())) == expected
