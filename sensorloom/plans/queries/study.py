@@ -20,8 +20,8 @@ from sensorloom.schema import EEG_FEATURES, SESSION_KEYS, TARGET, WEARABLE_FEATU
 from sensorloom.sources.files import source_fingerprint
 from sensorloom.sources.scratch import session_path
 
-# Enough epochs for a curve that shows every third.
-STUDY = StudySettings(head_epochs=30, head_learning_rate=0.2, fusion_epochs=30, fusion_learning_rate=0.5)
+# Enough epochs for a curve that shows every second and the last.
+STUDY = StudySettings(head_epochs=25, head_learning_rate=0.2, fusion_epochs=25, fusion_learning_rate=0.5)
 HEADS = {"eeg": EEG_FEATURES, "wearable": WEARABLE_FEATURES}
 SCORES = {"eeg": "alpha_eeg", "wearable": "beta_wearable"}
 
@@ -116,7 +116,7 @@ SELECT model_or_scenario, {METRIC_COLUMNS} FROM metrics"""
 
 
 def study_curves(spark: SparkSession, folder: str) -> DataFrame:
-    """The training curves of both heads: every third of thirty epochs and the last."""
+    """The training curves of both heads: every second of twenty-five epochs and the last."""
     heads = study(spark, folder).heads
     return rounded(
         reduce(DataFrame.unionByName, [heads.curve(spark, n).withColumn("head", F.lit(n)) for n in HEADS])
