@@ -10,17 +10,16 @@ hot: a phrase is one row per shard, however common.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sensorloom.llm.tables import quoted
+from sensorloom.llm.tables import quoted, shuffles_removed
 from sensorloom.llm.words import LOWERED, chunks, flat_bytes, mixed, segment_hashes
 from sensorloom.sources.scratch import materialize
 
@@ -425,18 +424,6 @@ def _summed(rows: DataFrame, keys: list[str], least: int, name: str) -> DataFram
     )
 
 
-@contextmanager
-def _shuffles_removed(spark: SparkSession):
-    """Shuffle files of a written table go as soon as its job is over."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def frequent_phrases(
     docs: DataFrame,
     text: str = "text",
@@ -457,7 +444,7 @@ def frequent_phrases(
         F.coalesce(F.col(quoted(lang)).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
         F.coalesce(F.col(quoted(text)), F.lit("")).alias("text"),
     )
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         made = materialize(texts.mapInArrow(_make_shards(shard_bytes), _SHARDS), "shards")
         words = made.where(F.col("kind") == _WORD)
         totals = materialize(words.groupBy("lang").agg(F.sum("times").alias("n")), "language-totals")

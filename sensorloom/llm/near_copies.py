@@ -16,20 +16,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorloom.llm.components import connected_components
-from sensorloom.llm.tables import filled, join_sized, quoted, with_text_columns
+from sensorloom.llm.tables import filled, join_sized, quoted, shuffles_removed, with_text_columns
 from sensorloom.llm.words import chunks, joined_hashes, mixed, split_words, window_starts, word_hashes
-from sensorloom.sources.scratch import materialize
+from sensorloom.sources.scratch import materialize, release
 
 SHINGLE = 5
 LEAST_PERCENT = 80
 # Two sets of similarity 0.8 share one of twenty bands of four minima but for 3 pairs in 100,000.
 BANDS = 20
 BAND_MINIMA = 4
-# Bands of so few nodes are compared in full; in larger ones every row meets the first of its stretch and, in later rounds, that
-# many rows before it in a random order.
+# In the first round each row of a band meets its first one. Later, bands of so few nodes are compared in full; in larger ones a
+# row meets so many before it in a random order, four times as many in each round, up to a limit.
 SMALL_BAND = 16
-STRETCH = 256
 NEIGHBOURS = 3
+MOST_NEIGHBOURS = 48
+# Rows of one band that a task holds at a time.
+HELD_ROWS = 4096
+# Sets that meet one set in a task.
+PARTNERS = 512
 # At least so many rounds, and no more once one finds no link.
 LEAST_ROUNDS = 2
 _SEEDS = mixed(np.arange(1, BANDS * BAND_MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
@@ -145,61 +149,58 @@ def _all_pairs(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(i), np.concatenate(j)
 
 
-def _met(least_percent: int, in_full: bool):
+def _met(least_percent: int, turn: int):
     """Rows sorted by band and a random order -> candidate pairs, and the rows of bands that are still of interest.
 
     Candidates have different components and sizes that allow the similarity. A row without a key is a pair.
     """
+    reach = min(MOST_NEIGHBOURS, NEIGHBOURS << 2 * max(turn - 1, 0))
 
     def pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, component: np.ndarray, bound: bool):
         new = np.concatenate(([True], key[1:] != key[:-1]))
         starts = np.flatnonzero(new)
         lengths = np.diff(np.append(starts, len(key)))
         inside = np.arange(len(key)) - np.repeat(starts, lengths)
-        later = np.flatnonzero(~new)
-        i, j = [later - 1, later - inside[later] % STRETCH], [later, later]
-        if in_full:
-            for step in range(2, NEIGHBOURS + 1):
-                later = np.flatnonzero(inside >= step)
-                i.append(later - step)
-                j.append(later)
-            small = (lengths > 2) & (lengths <= SMALL_BAND)
-            few = _all_pairs(starts[small], lengths[small])
-            i.append(few[0])
-            j.append(few[1])
-        i, j = np.concatenate(i), np.concatenate(j)
+        small = (lengths <= SMALL_BAND) & (turn > 0)
+        if turn == 0:
+            later = np.flatnonzero(~new)
+            i, j = later - inside[later], later
+        else:
+            parts = [_all_pairs(starts[small], lengths[small])]
+            wide = np.repeat(~small, lengths)
+            for step in range(1, reach + 1):
+                later = np.flatnonzero(wide & (inside >= step))
+                parts.append((later - step, later))
+            i, j = map(np.concatenate, zip(*parts))
         low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         open_ = (component[i] != component[j]) & (100 * low >= least_percent * high)
         a, b = node[i[open_]], node[j[open_]]
-        found = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+        if turn:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        found = np.unique(np.stack((a, b)), axis=1)
         # A band stays if it has nodes of several components and was not compared in full; or if it may go on elsewhere.
-        least = np.minimum.reduceat(component, starts)
-        most = np.maximum.reduceat(component, starts)
-        stays = least != most
-        if in_full:
-            stays &= lengths > SMALL_BAND
+        stays = (np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)) & ~small
         if bound:
             stays[[0, -1]] = True
         kept = np.repeat(stays, lengths)
         return found, key[kept], node[kept], size[kept]
 
+    def made(columns: list[np.ndarray], bound: bool) -> pa.RecordBatch:
+        found, key, node, size = pairs(*columns, bound)
+        count = found.shape[1]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate((found[0], key)), mask=np.arange(count + len(key)) < count),
+                pa.array(np.concatenate((found[0], node))),
+                pa.array(np.concatenate((found[1], node))),
+                pa.array(np.concatenate((np.zeros(count, dtype=np.int64), size))),
+            ],
+            names=["key", "a", "b", "size"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
-        first = True
-        last_seen = None
-
-        def made(columns: list[np.ndarray], bound: bool) -> pa.RecordBatch:
-            found, key, node, size = pairs(*columns, bound)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate((found[0], key)), mask=np.arange(len(key) + found.shape[1]) < found.shape[1]),
-                    pa.array(np.concatenate((found[0], node))),
-                    pa.array(np.concatenate((found[1], node))),
-                    pa.array(np.concatenate((np.zeros(found.shape[1], dtype=np.int64), size))),
-                ],
-                names=["key", "a", "b", "size"],
-            )
-
+        bound = True  # the first band of a task may have begun in another
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -208,15 +209,16 @@ def _met(least_percent: int, in_full: bool):
                 columns = [np.concatenate(both) for both in zip(held, columns)]
             same = np.concatenate(([False], (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])))
             columns = [c[~same] for c in columns]
-            # The last band may go on in the next batch; a long one is worked off by stretches.
+            # The last band may go on in the next batch. A long one is worked off, and what later rows meet is kept.
             cut = int(np.searchsorted(columns[0], columns[0][-1]))
-            if len(columns[0]) - cut > 16 * STRETCH:
-                cut = len(columns[0]) - STRETCH
-            held = [c[cut:] for c in columns]
-            if cut:
-                yield made([c[:cut] for c in columns], first or columns[0][cut - 1] == columns[0][cut] or columns[0][0] == last_seen)
-                last_seen = columns[0][cut - 1]
-                first = False
+            if len(columns[0]) - cut > HELD_ROWS:
+                yield made(columns, True)
+                held, bound = [c[cut : cut + 1] if turn == 0 else c[-reach:] for c in columns], True
+            else:
+                held = [c[cut:] for c in columns]
+                if cut:
+                    yield made([c[:cut] for c in columns], bound)
+                    bound = False
         if held is not None:
             yield made(held, True)
 
@@ -232,9 +234,10 @@ def met(rows: DataFrame, turn: int, least_percent: int) -> DataFrame:
     ``rows`` has ``key, node, size, component``. Rows are range-partitioned by band and a random order, so that a band of
     any size is spread over tasks.
     """
-    order = F.xxhash64("key", "node", F.lit(turn)).alias("order")
+    # The first round has one order for all bands, so that a group's bands begin with the same node.
+    order = (F.xxhash64("key", "node", F.lit(turn)) if turn else F.xxhash64("node")).alias("order")
     dealt = rows.select("key", order, "node", "size", "component").repartitionByRange("key", "order")
-    return dealt.sortWithinPartitions("key", "order", "node").mapInArrow(_met(least_percent, turn > 0), _MET)
+    return dealt.sortWithinPartitions("key", "order", "node").mapInArrow(_met(least_percent, turn), _MET)
 
 
 def _whole_sets(shingle: int):
@@ -268,11 +271,24 @@ def _compared(least_percent: int):
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, least_percent: int) -> DataFrame:
-    """The candidates ``a, b`` whose whole sets are similar enough. A node's set travels once for each pair, and once as ``a``."""
-    others = pairs.join(sets.select(F.col("node").alias("b"), "keys"), "b").select("a", "b", "keys")
-    own = pairs.select("a").distinct().join(sets.select(F.col("node").alias("a"), "keys"), "a")
-    both = others.unionByName(own.select("a", F.lit(None).cast("long").alias("b"), "keys"))
-    ordered = both.repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
+    """The candidates ``a, b`` whose whole sets are similar enough.
+
+    A set travels once for each pair that it is ``b`` of, and as ``a`` once for every ``PARTNERS`` of its pairs.
+    """
+    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PARTNERS)).cast("int").alias("shares"))
+    others = (
+        pairs.join(shares, "a")
+        .select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
+        .join(sets.select(F.col("node").alias("b"), "keys"), "b")
+        .select("a", "share", "b", "keys")
+    )
+    own = (
+        shares.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        .join(sets.select(F.col("node").alias("a"), "keys"), "a")
+        .select("a", "share", F.lit(None).cast("long").alias("b"), "keys")
+    )
+    ordered = others.unionByName(own).repartition("a", "share")
+    ordered = ordered.sortWithinPartitions("a", "share", F.col("b").asc_nulls_first()).select("a", "b", "keys")
     return ordered.mapInArrow(_compared(least_percent), "a long, b long")
 
 
@@ -281,19 +297,25 @@ def similar_links(
 ) -> DataFrame:
     """``a, b``: links that connect the groups of set hashes that pairs of at least this Jaccard similarity make.
 
-    Every pair is verified on the whole sets; links go to the smallest node of what pairs connect. In the first round nodes of a band meet its first node and a neighbour; in the
-    second those of small bands that are not connected yet meet all others; larger bands go on with new random orders, only
-    across components, until rounds find nothing more. Two nodes of a group are missed only if no band holds both (3 in
-    100,000 at the least similarity), or if in bands of more than sixteen nodes no chain of links was met.
+    Every pair is verified on the whole sets; links go to the smallest node of what pairs connect. In the first round nodes of a
+    band meet its first node; then those of small bands that are not connected yet meet all others, and larger bands go on with
+    random orders, only across components, until a round finds nothing more. Two nodes of a group are missed only if no band
+    holds both (3 in 100,000 at the least similarity), or if in bands of more than sixteen nodes no chain of links was met.
     """
-    texts = docs.select(F.col(quoted(text)))
+    with shuffles_removed(docs.sparkSession):
+        return _linked(docs.select(F.col(quoted(text))), shingle, least_percent)
+
+
+def _linked(texts: DataFrame, shingle: int, least_percent: int) -> DataFrame:
     banded = materialize(texts.mapInArrow(_banded(shingle), "key long, node long, size long"), "band-rows")
     rows = banded.withColumn("component", F.col("node"))
     components: DataFrame | None = None
     sets: DataFrame | None = None
-    turn = 0
+    turn, before = 0, banded
     while True:
         seen = materialize(met(rows, turn, least_percent), "bands")
+        release(before)
+        before = seen
         pairs = materialize(seen.where(F.col("key").isNull()).select("a", "b").distinct(), "near-pairs")
         open_rows = seen.where(F.col("key").isNotNull()).select("key", F.col("a").alias("node"), "size")
         if sets is None:
@@ -304,6 +326,7 @@ def similar_links(
                 "near-sets",
             )
         found = materialize(similar_pairs(pairs, sets, least_percent), "near-links")
+        release(pairs)
         new = not found.isEmpty()
         known = found
         if components is not None:

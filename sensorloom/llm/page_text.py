@@ -8,6 +8,7 @@ the label of the nearest decided block before or after them.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -63,9 +64,9 @@ OUTSIDE_ROLES = frozenset(
 )
 _NEGATED = frozenset("has with no without is not".split())
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.DOTALL
-)
+_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?]|<(/?)([a-zA-Z][^\s/>'\"]*)""", re.DOTALL)
+_SPECIAL = re.compile(r"['\">]")
+_DECLARED = re.compile(r"<[!?]")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -94,6 +95,42 @@ def _named_outside(attributes: str) -> bool:
     return False
 
 
+class _Tags:
+    """Finds where tags end, in time that grows with the page whatever quotes are left open.
+
+    A tag ends at the first ``>`` outside its quotes. If there is none, no tag that opens the same quote has an end.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.endless: set[int] = set()
+        self.near = (0, -1, None)  # from where, up to where, and what was found there last
+
+    def _special(self, at: int):
+        low, high, found = self.near
+        if not low <= at <= high:
+            found = _SPECIAL.search(self.html, at)
+            self.near = (at, found.start() if found else len(self.html), found)
+        return found
+
+    def end(self, at: int) -> int | None:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``."""
+        opened = []
+        while (found := self._special(at)) is not None:
+            place = found.start()
+            if found[0] == ">":
+                return place
+            if place in self.endless:
+                break
+            opened.append(place)
+            close = self.html.find(found[0], place + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.endless.update(opened)
+        return None
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks of a page in order; text of scripts, styles and markup is left out."""
     found: list[Block] = []
@@ -120,33 +157,47 @@ def blocks(html: str) -> list[Block]:
             if links:
                 link_chars += len(text)
 
-    end = len(html)
+    tags, end, search = _Tags(html), len(html), 0
+    open_names: Counter[str] = Counter()
     while at < end:
-        mark = _MARKUP.search(html, at)
+        mark = _MARKUP.search(html, search)
         if mark is None:
             break
-        add(html[at : mark.start()])
-        at = mark.end()
         name = (mark[2] or "").lower()
+        if name:
+            stop = tags.end(mark.end())
+            if stop is None:
+                # No tag: text. What else begins inside the name has the same end, unless it is a comment or the like.
+                inside = _DECLARED.search(html, mark.start() + 1, mark.end())
+                search = inside.start() if inside else mark.end()
+                continue
+            attributes = html[mark.end() : stop]
+        elif len(mark[0]) == 2:
+            stop = html.find(">", mark.end())
+            if stop < 0:
+                break
+        else:
+            stop = mark.end() - 1
+        add(html[at : mark.start()])
+        at = search = stop + 1
         if not name:
             continue
         if not mark[1]:
-            if name in RAW_TEXT and not mark[3].endswith("/"):
+            if name in RAW_TEXT and not attributes.endswith("/"):
                 close = re.compile(rf"</{name}\s*>|\Z", re.IGNORECASE).search(html, at)
-                at = close.end()
+                at = search = close.end()
                 continue
             if name == "br":
                 pieces.append(" ")
                 continue
             is_block = name in BLOCKS
-            attributes = mark[3]
             named = bool(attributes) and name not in NEVER_OUTSIDE and _named_outside(attributes)
             if is_block:
                 flush()
                 if stack and stack[-1][0] in ("p", name) and name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):
-                    stack.pop()
+                    open_names[stack.pop()[0]] -= 1
                 elif stack and stack[-1][0] == "p":
-                    stack.pop()
+                    open_names[stack.pop()[0]] -= 1
                 heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
             elif name == "a":
                 links += 1
@@ -156,6 +207,7 @@ def blocks(html: str) -> list[Block]:
                 outside, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
                 if not is_block and (named or name in OUTSIDE):
                     flush()
+                open_names[name] += 1
                 stack.append(
                     (
                         name,
@@ -164,13 +216,16 @@ def blocks(html: str) -> list[Block]:
                     )
                 )
         else:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            place = None
+            if open_names[name]:
+                place = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
             if name in BLOCKS or place is not None:
                 flush()
                 heading = False
             if name == "a" and links:
                 links -= 1
             if place is not None:
+                open_names.subtract(element[0] for element in stack[place:])
                 del stack[place:]
     add(html[at:])
     flush()

@@ -138,7 +138,7 @@ def test_nulls_long_texts_and_large_groups(spark):
     assert simhash.near_duplicate_groups(docs.limit(0), shingle=5, least_percent=80).count() == 0
 
 
-def test_long_bands_are_worked_off_by_stretches(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "STRETCH", 4)
+def test_long_bands_are_worked_off_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "HELD_ROWS", 4)
     rows = around_the_threshold(150, 1)
     assert recall(rows, groups_of(spark, rows)) == 1.0

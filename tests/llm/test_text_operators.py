@@ -240,3 +240,22 @@ def test_equal_turns_are_in_order_of_their_text(spark):
     ordered = sorted(((-1 if n is None else n), r or "", t or "") for _, n, r, t in rows)
     wanted = "".join(f"{r}\n{t}\n" for _, r, t in ordered)
     assert found["turns_sha256"] == hashlib.sha256(wanted.encode()).hexdigest() and found["n_turns"] == len(rows)
+
+
+@pytest.mark.parametrize(
+    "part", ['<a x="q ', "<a x='q \" ", "<a ", "<a", "<!x ", "<", '<a "', "<div>", "</p>", "<p class=x>&amp;", "<a x=\"'\" '> "]
+)
+def test_hostile_pages_take_time_in_proportion(part):
+    import time
+
+    html = "<p>" + part * (1_000_000 // len(part)) + "</p><i>\">\'> end"
+    start = time.perf_counter()
+    page_text.blocks(html)
+    assert time.perf_counter() - start < 12  # a second or two; minutes where a search begins again for each part
+
+
+def test_open_quotes_make_text_and_not_tags():
+    text = lambda html: [b.text for b in page_text.blocks(html)]
+    assert text('<p>a <b x="1>2">c</b> <i x="open d') == ['a c <i x="open d']
+    assert text("<p>x <!doctype y") == ["x <!doctype y"]
+    assert text("<p title='\"'>one</p><p>two</p>") == ["one", "two"]
