@@ -28,3 +28,22 @@ def test_contract(spark):
     flagship = contract.entry(spark)
     assert flagship.count() == 20
     assert flagship.columns[:3] == ["patient_id", "condition", "window_index"]
+
+
+@pytest.mark.parametrize(
+    "name", ["pulse_guard", "missing_session_files", "balanced_windows", "beat_intervals", "paired_feature_table"]
+)
+def test_subjects_past_four_digits_match_sql(spark, duck, tmp_path, name):
+    """Users of subjects above 9,999, which the SQL pads and cuts to four digits."""
+    far = tmp_path / "sf"
+    far.mkdir()
+    for table, key, shift in (("events", "user_id", 15_000), ("customer", "c_custkey", 1_450)):
+        duck.execute(
+            f"""COPY (SELECT t.* REPLACE ({key} + {shift} * i AS {key}) FROM {table} t, range(3) AS copies(i))
+            TO '{far}/{table}.parquet' (FORMAT parquet)"""
+        )
+    shifted = connect(FOLDER)
+    for table in ("events", "customer"):
+        shifted.execute(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM '{far}/{table}.parquet'")
+    query, sql = REGISTERED[name]
+    assert compare(query, sql, spark, str(far), shifted) is None
