@@ -34,6 +34,10 @@ MOST_NEIGHBOURS = 48
 HELD_ROWS = 4096
 # Sets that meet one set in a task.
 PARTNERS = 512
+# Bits of a set's signature.
+SIGN_BITS = 1024
+# Pairs of which signatures are compared at a time.
+SIGN_PAIRS = 1 << 16
 # At least so many rounds, and no more once one finds no link.
 LEAST_ROUNDS = 2
 _SEEDS = mixed(np.arange(1, BANDS * BAND_MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
@@ -149,14 +153,74 @@ def _all_pairs(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(i), np.concatenate(j)
 
 
+def signature(keys: np.ndarray) -> bytes:
+    """For each bit whether an odd number of the set's keys falls on it."""
+    bits = (mixed(keys) % np.uint64(SIGN_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(bits, minlength=SIGN_BITS).astype(np.uint8) & 1).tobytes()
+
+
+def may_be_similar(
+    left: np.ndarray, right: np.ndarray, sizes: np.ndarray, least_percent: int
+) -> np.ndarray:
+    """Whether sets with these signatures (rows of unsigned longs) and this sum of their sizes can be similar enough.
+
+    A bit that differs has a key that only one of the sets has, so the differing bits are no more than such keys are. Of sets
+    similar enough those are at most a share of both sizes: no such pair is refused.
+    """
+    differing = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+    return (100 + least_percent) * differing <= (100 - least_percent) * sizes
+
+
+def _signs(column: pa.Array) -> np.ndarray:
+    rows = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64)
+    return rows.reshape(-1, SIGN_BITS // 64)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes and their sets -> nodes with size and signature."""
+    for batch in batches:
+        sets = [np.frombuffer(keys.as_buffer(), dtype=np.uint64) for keys in batch.column("keys")]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("node"),
+                pa.array([len(keys) for keys in sets], pa.int64()),
+                pa.array([signature(keys) for keys in sets], pa.binary()),
+            ],
+            names=["node", "size", "sign"],
+        )
+
+
+def _possible(least_percent: int):
+    """Pairs with the signatures of both and the sum of their sizes -> those that can be similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = _signs(batch.column("a_sign")), _signs(batch.column("b_sign"))
+            keep = may_be_similar(left, right, batch.column("sizes").to_numpy(), least_percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def possible_pairs(pairs: DataFrame, signs: DataFrame, least_percent: int) -> DataFrame:
+    """The candidates ``a, b`` without those whose signatures exclude the similarity."""
+    sides = [
+        signs.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"), F.col("sign").alias(f"{s}_sign")) for s in "ab"
+    ]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    both = both.select("a", "b", "a_sign", "b_sign", (F.col("a_size") + F.col("b_size")).alias("sizes"))
+    return both.mapInArrow(_possible(least_percent), "a long, b long")
+
+
 def _met(least_percent: int, turn: int):
     """Rows sorted by band and a random order -> candidate pairs, and the rows of bands that are still of interest.
 
-    Candidates have different components and sizes that allow the similarity. A row without a key is a pair.
+    Candidates have different components, and sizes and (after the first round) signatures that allow the similarity. A row
+    without a key is a pair.
     """
     reach = min(MOST_NEIGHBOURS, NEIGHBOURS << 2 * max(turn - 1, 0))
 
-    def pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, component: np.ndarray, bound: bool):
+    def pairs(key: np.ndarray, node: np.ndarray, size: np.ndarray, component: np.ndarray, sign: np.ndarray, bound: bool):
         new = np.concatenate(([True], key[1:] != key[:-1]))
         starts = np.flatnonzero(new)
         lengths = np.diff(np.append(starts, len(key)))
@@ -174,7 +238,15 @@ def _met(least_percent: int, turn: int):
             i, j = map(np.concatenate, zip(*parts))
         low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         open_ = (component[i] != component[j]) & (100 * low >= least_percent * high)
-        a, b = node[i[open_]], node[j[open_]]
+        i, j = i[open_], j[open_]
+        if turn:
+            possible = [np.zeros(0, dtype=bool)]
+            for at in range(0, len(i), SIGN_PAIRS):
+                x, y = i[at : at + SIGN_PAIRS], j[at : at + SIGN_PAIRS]
+                possible.append(may_be_similar(sign[x], sign[y], size[x] + size[y], least_percent))
+            allowed = np.concatenate(possible)
+            i, j = i[allowed], j[allowed]
+        a, b = node[i], node[j]
         if turn:
             a, b = np.minimum(a, b), np.maximum(a, b)
         found = np.unique(np.stack((a, b)), axis=1)
@@ -205,6 +277,7 @@ def _met(least_percent: int, turn: int):
             if not batch.num_rows:
                 continue
             columns = [batch.column(n).to_numpy().astype(np.int64) for n in ("key", "node", "size", "component")]
+            columns.append(_signs(batch.column("sign")) if turn else np.zeros((batch.num_rows, 0), dtype=np.uint64))
             if held is not None:
                 columns = [np.concatenate(both) for both in zip(held, columns)]
             same = np.concatenate(([False], (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])))
@@ -231,12 +304,13 @@ _MET = "key long, a long, b long, size long"
 def met(rows: DataFrame, turn: int, least_percent: int) -> DataFrame:
     """``key, a, b, size``: candidates of one round (no key), and the rows (a = b = node) of bands to look at again.
 
-    ``rows`` has ``key, node, size, component``. Rows are range-partitioned by band and a random order, so that a band of
-    any size is spread over tasks.
+    ``rows`` has ``key, node, size, component``, and after the first round ``sign``. Rows are range-partitioned by band and a
+    random order, so that a band of any size is spread over tasks.
     """
     # The first round has one order for all bands, so that a group's bands begin with the same node.
     order = (F.xxhash64("key", "node", F.lit(turn)) if turn else F.xxhash64("node")).alias("order")
-    dealt = rows.select("key", order, "node", "size", "component").repartitionByRange("key", "order")
+    sign = ["sign"] if turn else []
+    dealt = rows.select("key", order, "node", "size", "component", *sign).repartitionByRange("key", "order")
     return dealt.sortWithinPartitions("key", "order", "node").mapInArrow(_met(least_percent, turn), _MET)
 
 
@@ -297,7 +371,8 @@ def similar_links(
 ) -> DataFrame:
     """``a, b``: links that connect the groups of set hashes that pairs of at least this Jaccard similarity make.
 
-    Every pair is verified on the whole sets; links go to the smallest node of what pairs connect. In the first round nodes of a
+    Every pair that signatures do not exclude is verified on the whole sets; links go to the smallest node of what pairs
+    connect. In the first round nodes of a
     band meet its first node; then those of small bands that are not connected yet meet all others, and larger bands go on with
     random orders, only across components, until a round finds nothing more. Two nodes of a group are missed only if no band
     holds both (3 in 100,000 at the least similarity), or if in bands of more than sixteen nodes no chain of links was met.
@@ -311,6 +386,7 @@ def _linked(texts: DataFrame, shingle: int, least_percent: int) -> DataFrame:
     rows = banded.withColumn("component", F.col("node"))
     components: DataFrame | None = None
     sets: DataFrame | None = None
+    signs: DataFrame | None = None
     turn, before = 0, banded
     while True:
         seen = materialize(met(rows, turn, least_percent), "bands")
@@ -325,6 +401,9 @@ def _linked(texts: DataFrame, shingle: int, least_percent: int) -> DataFrame:
                 .dropDuplicates(["node"]),
                 "near-sets",
             )
+            signs = materialize(sets.mapInArrow(_signed, "node long, size long, sign binary"), "near-signs")
+            met_first, pairs = pairs, materialize(possible_pairs(pairs, signs, least_percent), "near-pairs")
+            release(met_first)
         found = materialize(similar_pairs(pairs, sets, least_percent), "near-links")
         release(pairs)
         new = not found.isEmpty()
@@ -338,4 +417,4 @@ def _linked(texts: DataFrame, shingle: int, least_percent: int) -> DataFrame:
             components = materialize(connected_components(known), "near-components")
         rows = open_rows.join(components, "node", "left").select(
             "key", "node", "size", F.coalesce("component", "node").alias("component")
-        )
+        ).join(signs.select("node", "sign"), "node")

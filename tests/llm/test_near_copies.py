@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -142,3 +143,32 @@ def test_long_bands_are_worked_off_in_parts(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "HELD_ROWS", 4)
     rows = around_the_threshold(150, 1)
     assert recall(rows, groups_of(spark, rows)) == 1.0
+
+
+def test_signatures_refuse_no_similar_pair():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 40, 300, 4000):
+        for changed in {0, 1, size // 12, size // 9, size // 8}:
+            base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            other = np.concatenate((base[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64)))
+            left, right = (np.frombuffer(near_copies.signature(x), dtype=np.uint64)[None] for x in (base, other))
+            allowed = near_copies.may_be_similar(left, right, np.array([2 * size]), 80)[0]
+            assert allowed or 10 * (size - changed) < 8 * (size + changed)
+    far = [np.frombuffer(near_copies.signature(rng.integers(0, 1 << 63, 300, dtype=np.uint64)), dtype=np.uint64)[None] for _ in "ab"]
+    assert not near_copies.may_be_similar(*far, np.array([600]), 80)[0]
+
+
+def test_whole_sets_travel_only_for_pairs_that_may_be_similar(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(130)]
+    rows = [(i, " ".join(passage + [f"o{i}x{rng.random()}" for _ in range(40)])) for i in range(300)]
+    compared = []
+    compare = near_copies.similar_pairs
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "similar_pairs", counted)
+    assert len(set(groups_of(spark, rows).values())) == 300
+    assert sum(compared) < 300, compared
