@@ -25,7 +25,7 @@ from sensorloom.sources.checksums import (
     unavailable_in,
     verify_checksums,
 )
-from sensorloom.sources.numeric import WORN_COLUMN, device_worn, scan_numeric_csv
+from sensorloom.sources.numeric import STREAM_FILES, WORN_COLUMN, device_worn, scan_numeric_csv
 from sensorloom.sources.scratch import new_path
 from sensorloom.sources.sessions import (
     CONDITIONS,
@@ -208,11 +208,12 @@ def _present_files(spark: SparkSession, folder: str) -> DataFrame:
     """Paths of the streams for which events exist."""
     samples = event_samples(spark, folder).select("patient_id", "condition", "stream").distinct()
     number = F.substring("patient_id", 3, 20).cast("int").cast("string")
-    names = {"eeg": "muse_eeg.csv", "bvp": "empatica_bvp.csv", "eda": "empatica_eda.csv"}
-    name = F.lit("empatica_temp.csv")
-    for stream, file_name in names.items():
+    name = F.lit(None).cast("string")
+    for stream, file_name in STREAM_FILES.items():
         name = F.when(F.col("stream") == stream, file_name).otherwise(name)
-    return samples.select(F.concat_ws("/", F.lit("/raw"), number, "condition", name).alias("path"))
+    # Sign-ups have no file: a session that has only these and three streams lacks one.
+    samples = samples.withColumn("name", name).where(F.col("name").isNotNull())
+    return samples.select(F.concat_ws("/", F.lit("/raw"), number, "condition", "name").alias("path"))
 
 
 def missing_session_files(spark: SparkSession, folder: str) -> DataFrame:

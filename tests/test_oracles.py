@@ -47,3 +47,19 @@ def test_subjects_past_four_digits_match_sql(spark, duck, tmp_path, name):
         shifted.execute(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM '{far}/{table}.parquet'")
     query, sql = REGISTERED[name]
     assert compare(query, sql, spark, str(far), shifted) is None
+
+
+@pytest.mark.parametrize("name", ["missing_session_files", "availability_flags", "paired_audit"])
+def test_sessions_that_lack_streams_match_sql(spark, tmp_path, name):
+    """One user in three has sign-ups alone, another no ``error`` events."""
+    far = tmp_path / "sf"
+    far.mkdir()
+    thin = connect(FOLDER)
+    thin.execute(
+        f"""COPY (SELECT * FROM events WHERE event_type = 'signup' OR user_id % 3 = 0
+                  OR (user_id % 3 = 1 AND event_type <> 'error')) TO '{far}/events.parquet' (FORMAT parquet)"""
+    )
+    thin.execute(f"COPY customer TO '{far}/customer.parquet' (FORMAT parquet)")
+    thin.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{far}/events.parquet'")
+    query, sql = REGISTERED[name]
+    assert compare(query, sql, spark, str(far), thin) is None
