@@ -381,6 +381,18 @@ def similar_links(
         return _linked(docs.select(F.col(quoted(text))), shingle, least_percent)
 
 
+def open_bands(open_rows: DataFrame, components: DataFrame, signs: DataFrame) -> DataFrame:
+    """``key, node, size, component, sign``: the rows of bands to look at again, each once, with what their nodes know now.
+
+    Joins see one row per node, which holds its bands, however large the groups are.
+    """
+    nodes = open_rows.groupBy("node").agg(F.max("size").alias("size"), F.collect_set("key").alias("keys"))
+    known = nodes.join(components, "node", "left").join(signs.select("node", "sign"), "node")
+    return known.select(
+        F.explode("keys").alias("key"), "node", "size", F.coalesce("component", "node").alias("component"), "sign"
+    )
+
+
 def _linked(texts: DataFrame, shingle: int, least_percent: int) -> DataFrame:
     banded = materialize(texts.mapInArrow(_banded(shingle), "key long, node long, size long"), "band-rows")
     rows = banded.withColumn("component", F.col("node"))
@@ -415,6 +427,4 @@ def _linked(texts: DataFrame, shingle: int, least_percent: int) -> DataFrame:
             return known
         if new or components is None:
             components = materialize(connected_components(known), "near-components")
-        rows = open_rows.join(components, "node", "left").select(
-            "key", "node", "size", F.coalesce("component", "node").alias("component")
-        ).join(signs.select("node", "sign"), "node")
+        rows = open_bands(open_rows, components, signs)

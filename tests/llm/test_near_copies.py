@@ -172,3 +172,17 @@ def test_whole_sets_travel_only_for_pairs_that_may_be_similar(spark, monkeypatch
     monkeypatch.setattr(near_copies, "similar_pairs", counted)
     assert len(set(groups_of(spark, rows).values())) == 300
     assert sum(compared) < 300, compared
+
+
+def test_joins_between_rounds_see_a_node_once(spark):
+    """A node in twenty bands is one row of both joins, and repeated rows of a band count once."""
+    rows = [(band, node, 7) for node in (1, 2, 3) for band in range(20)] + [(0, 1, 7), (19, 3, 7)]
+    table = spark.createDataFrame(rows, "key long, node long, size long")
+    components = spark.createDataFrame([(2, 1), (1, 1)], "node long, component long")
+    signs = spark.createDataFrame([(n, 7, bytes([n])) for n in (1, 2, 3, 4)], "node long, size long, sign binary")
+    made = near_copies.open_bands(table, components, signs)
+    got = [(r["key"], r["node"], r["size"], r["component"], bytes(r["sign"])) for r in made.collect()]
+    of = {1: 1, 2: 1, 3: 3}
+    assert sorted(got) == [(band, n, 7, of[n], bytes([n])) for band in range(20) for n in (1, 2, 3)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") < plan.index("Aggregate")
