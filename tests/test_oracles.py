@@ -63,3 +63,23 @@ def test_sessions_that_lack_streams_match_sql(spark, tmp_path, name):
     thin.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{far}/events.parquet'")
     query, sql = REGISTERED[name]
     assert compare(query, sql, spark, str(far), thin) is None
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["availability_flags", "balanced_counts", "blocked_sample_rate", "bvp_variability", "cohort_paired_table",
+     "eeg_window_features", "paired_audit"],
+)
+@pytest.mark.parametrize("shift", [0, 150_000])
+def test_repeated_events_match_sql(spark, duck, tmp_path, name, shift):
+    """Each event three times, under its own user or under users so far apart that a hundred subjects share an id."""
+    far = tmp_path / "sf"
+    far.mkdir()
+    duck.execute(
+        f"""COPY (SELECT t.* REPLACE (user_id + {shift} * i AS user_id, event_id + 1000000 * i AS event_id)
+        FROM events t, range(3) AS copies(i)) TO '{far}/events.parquet' (FORMAT parquet)"""
+    )
+    copied = connect(FOLDER)
+    copied.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{far}/events.parquet'")
+    query, sql = REGISTERED[name]
+    assert compare(query, sql, spark, str(far), copied) is None
