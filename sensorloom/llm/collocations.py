@@ -1,10 +1,10 @@
 """Phrase collocations from one FM-index per shard over word ids.
 
 Texts become shards of local word ids. Per length, each shard extends its phrases by one word over the intervals of a
-bidirectional index and sends each distinct one with its count; sums across shards decide which are frequent, and each
-shard learns only about phrases it sent. A phrase is frequent only if its parts are, so every round works on what is
-left of the shard. Word pairs are counted by hash buckets before, and those in rare buckets are not sent. No key is
-hot: a phrase is one row per shard, however common.
+bidirectional index and sends each distinct one with its count, packed by ranges of hashes; sums across shards decide
+which are frequent, and each shard gets the numbers of those it sent, in the order it sent them. A phrase is frequent
+only if its parts are, so every round works on what is left of the shard. Word pairs are counted by hash buckets before,
+and those in rare buckets are not sent. No key is hot: a phrase is one entry per shard, however common.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sensorloom.llm.tables import quoted, shuffles_removed
 from sensorloom.llm.words import LOWERED, chunks, flat_bytes, mixed, segment_hashes
-from sensorloom.sources.scratch import materialize
+from sensorloom.sources.scratch import materialize, release
 
 LEAST_COUNT = 30
 LONGEST = 4
@@ -31,7 +31,6 @@ NO_LANGUAGE = "und"
 SCORE_UNIT = 2_000_000
 # Bytes of text of a shard; one longer text is a shard of its own.
 SHARD_BYTES = 1 << 23
-OUTPUT_ROWS = 1 << 16
 RANK_PARTS = 64
 # Counters of one range of buckets.
 RANGE_BITS = 20
@@ -234,7 +233,7 @@ def _make_shards(shard_bytes: int):
                     pa.array(words + [None], pa.string()),
                     pa.array(np.arange(1, n + 2)),
                     pa.array(np.append(counts, 0)),
-                    pa.array([None] * n + [ids.tobytes()], pa.binary()),
+                    pa.array([None] * n + [_blob(ids)], pa.binary()),
                 ],
                 names=["shard", "kind", "lang", "word", "place", "times", "ids"],
             )
@@ -278,6 +277,27 @@ def _unpacked(packed: bytes, count: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(packed, 4 * count, _CODEC), dtype="<u4").astype(np.int64)
 
 
+def _blob(values: np.ndarray) -> bytes:
+    """Numbers below 2**32 with their count before them."""
+    return len(values).to_bytes(4, "little") + _packed(values)
+
+
+def _unblob(blob: bytes) -> np.ndarray:
+    return _unpacked(blob[4:], int.from_bytes(blob[:4], "little"))
+
+
+def _long_blob(values: np.ndarray) -> bytes:
+    """Longs with their count before them. Bytes of one place follow each other, so that the equal high ones pack well."""
+    planes = np.ascontiguousarray(values, dtype="<i8").view(np.uint8).reshape(-1, 8).T
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), _CODEC, asbytes=True)
+
+
+def _long_unblob(blob: bytes) -> np.ndarray:
+    count = int.from_bytes(blob[:4], "little")
+    planes = np.frombuffer(pa.decompress(blob[4:], 8 * count, _CODEC), dtype=np.uint8).reshape(8, count)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel().astype(np.int64)
+
+
 def _buckets(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
     """The bucket of each pair of global word numbers."""
     joined = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
@@ -295,7 +315,7 @@ def _bucket_counts(bits: int):
         if not (shards.num_rows and frequent.num_rows):
             return pa.table({"shard": [], "part": [], "ids": [], "extra": []}, schema=_arrow(_KEPT))
         number = shards.column("shard")[0].as_py()
-        whole = np.frombuffer(shards.column("ids")[0].as_buffer(), dtype=np.int32)
+        whole = _unblob(shards.column("ids")[0].as_py())
         places, numbers = (frequent.column(n).to_numpy() for n in ("place", "id"))
         marks = np.zeros(max(int(whole.max(initial=0)), int(places.max())) + 1, dtype=np.int32)
         marks[places] = np.arange(1, len(places) + 1)
@@ -304,7 +324,7 @@ def _bucket_counts(bits: int):
         buckets, counts = np.unique(
             _buckets(numbers[ids[pairs] - 1], numbers[ids[pairs + 1] - 1], bits), return_counts=True
         )
-        rows = [(number, _WHOLE, ids.astype(np.int32).tobytes(), numbers.astype(np.int64).tobytes())]
+        rows = [(number, _WHOLE, _blob(ids), _long_blob(numbers))]
         ranges = buckets >> RANGE_BITS
         cuts = np.flatnonzero(np.diff(ranges, prepend=-1, append=1 << 62)) if len(ranges) else [0]
         for low, high in zip(cuts[:-1], cuts[1:]):
@@ -340,26 +360,42 @@ def _frequent_buckets(least: int):
     return run
 
 
-_ROUND = "shard long, place long, times long, first long, second long, ids binary"
+_SENT = "shard long, part int, ids binary, extra binary, times binary"
+_NAMED = "id long, first long, second long, total long"
+# Not a shard: the frequent phrases of a part.
+_LEVEL = -1
 
 
-def _phrase_rows(number: int, ids: np.ndarray, rows: dict[str, np.ndarray]) -> pa.Table:
-    """Phrases with their leftward interval and the numbers of their parts, and a last row with the shard's ids."""
-    n = len(rows["place"])
-    columns = [pa.array(np.full(n + 1, number))]
-    columns += [pa.array(np.append(rows[c], 0)) for c in ("place", "times", "first", "second")]
-    columns.append(pa.array([None] * n + [ids.astype(np.int32).tobytes()], pa.binary()))
-    whole = pa.RecordBatch.from_arrays(columns, names=["shard", "place", "times", "first", "second", "ids"])
-    return pa.Table.from_batches([whole.slice(at, OUTPUT_ROWS) for at in range(0, n + 1, OUTPUT_ROWS)])
+def _sent_table(rows: list[tuple]) -> pa.Table:
+    schema = _arrow(_SENT)
+    return pa.Table.from_arrays([pa.array([row[i] for row in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _pairs(bits: int):
+def _phrase_rows(number: int, ids: np.ndarray, found: tuple[np.ndarray, ...], bits: int, last: bool) -> pa.Table:
+    """What a shard sends: per range of buckets its phrases' first and second parts (by number) and counts.
+
+    ``found`` are the phrases' leftward intervals (starts and sizes) and parts. A row for the shard itself holds its ids
+    and the intervals in the order in which the phrases are sent; after the ``last`` round nobody asks for it.
+    """
+    ranges = _buckets(*found[2:], bits) >> RANGE_BITS
+    order = np.lexsort((found[3], found[2], ranges))
+    starts, sizes, first, second = (c[order] for c in found)
+    rows = [] if last else [(number, _WHOLE, _blob(ids), _blob(starts), _blob(sizes))]
+    ranges = ranges[order]
+    cuts = np.flatnonzero(np.diff(ranges, prepend=-1, append=1 << 62)) if len(ranges) else [0]
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        parts = _long_blob(np.diff(first[low:high], prepend=0)), _long_blob(second[low:high])
+        rows.append((number, int(ranges[low]), *parts, _blob(sizes[low:high])))
+    return _sent_table(rows)
+
+
+def _pairs(bits: int, last: bool):
     """A shard with the answers about its buckets -> its word pairs in frequent buckets."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("part")
         parts, ids, extra = (rows.column(c).to_pylist() for c in ("part", "ids", "extra"))
-        numbers, left = np.frombuffer(extra[0], dtype=np.int64), Shard(np.frombuffer(ids[0], dtype=np.int32))
+        numbers, left = _long_unblob(extra[0]), Shard(_unblob(ids[0]).astype(np.int32))
         assert parts[0] == _WHOLE
         starts, sizes = left.phrases(2)
         begin = left.leftward.suffixes[starts]
@@ -370,46 +406,88 @@ def _pairs(bits: int):
         frequent = np.concatenate([np.zeros(0, dtype=np.uint8), *answers]) > 0
         buckets = _buckets(first, second, bits)
         kept = frequent[np.searchsorted(np.unique(buckets), buckets)] if len(buckets) else buckets > 0
-        found = {"place": starts[kept], "times": sizes[kept], "first": first[kept], "second": second[kept]}
-        return _phrase_rows(rows.column("shard")[0].as_py(), left.ids, found)
+        found = tuple(c[kept] for c in (starts, sizes, first, second))
+        return _phrase_rows(rows.column("shard")[0].as_py(), left.ids, found, bits, last)
 
     return run
 
 
-def _round(length: int):
-    """A shard and its frequent phrases of ``length`` words -> what is left of the shard, and its phrases of one word more.
+def _counted(least: int, last: bool):
+    """All shards' phrases of one range -> those with ``least`` occurrences in all, and for each shard which of its own these are.
 
-    Phrases are rows with their leftward interval (``place``, ``times``) and global number (``id``). A longer phrase names its
-    first and its second part by their global numbers.
+    A frequent phrase's number is its range and its place among the frequent ones of it. Answers hold a bit per phrase that the
+    shard sent and the places of the frequent ones.
     """
 
-    def run(shards: pa.Table, frequent: pa.Table) -> pa.Table:
-        rows: dict[str, np.ndarray] = {n: np.zeros(0, np.int64) for n in ("place", "times", "first", "second")}
-        ids = np.zeros(0, np.int32)
-        number = (shards if shards.num_rows else frequent).column("shard")[0].as_py()
-        if shards.num_rows and frequent.num_rows:
-            whole = Shard(np.frombuffer(shards.column("ids")[0].as_buffer(), dtype=np.int32))
-            places, times, numbers = (frequent.column(n).to_numpy() for n in ("place", "times", "id"))
-            marks = np.zeros(len(whole.ids), dtype=np.int64)
-            at, of = whole.places(places, times)
-            marks[at] = of + 1
-            ids, marks = runs(whole.ids, marks, length)
-            left = Shard(ids.astype(np.int32))
-            starts, sizes = left.phrases(length + 1)
-            begin = left.leftward.suffixes[starts]
-            rows = {
-                "place": starts,
-                "times": sizes,
-                "first": numbers[marks[begin] - 1],
-                "second": numbers[marks[begin + 1] - 1],
-            }
-        return _phrase_rows(number, ids, rows)
+    def run(rows: pa.Table) -> pa.Table:
+        part = rows.column("part")[0].as_py()
+        shards, ids, extra, times = (rows.column(c).to_pylist() for c in ("shard", "ids", "extra", "times"))
+        firsts = [np.cumsum(_long_unblob(b)) for b in ids]
+        first, second = np.concatenate(firsts), np.concatenate([_long_unblob(b) for b in extra])
+        counts = np.concatenate([_unblob(b) for b in times])
+        order = np.lexsort((second, first))
+        first, second = first[order], second[order]
+        new = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+        totals = np.add.reduceat(counts[order], np.flatnonzero(new))
+        frequent = totals >= least
+        begin = np.flatnonzero(new)[frequent]
+        found = [(_LEVEL, part, _long_blob(first[begin]), _long_blob(second[begin]), _long_blob(totals[frequent]))]
+        if not last:
+            places = np.where(frequent, np.cumsum(frequent) - 1, -1)
+            own = np.empty(len(order), dtype=np.int64)
+            own[order] = places[np.cumsum(new) - 1]
+            ends = np.cumsum([len(f) for f in firsts])
+            for shard, low, high in zip(shards, ends - [len(f) for f in firsts], ends):
+                mine = own[low:high]
+                bits = int(high - low).to_bytes(4, "little") + np.packbits(mine >= 0).tobytes()
+                found.append((shard, part, bits, _blob(mine[mine >= 0]), b""))
+        return _sent_table(found)
+
+    return run
+
+
+def _named_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frequent phrases of a part, packed -> one row for each."""
+    for batch in batches:
+        for part, *packed in zip(*(c.to_pylist() for c in batch.columns)):
+            first, second, totals = map(_long_unblob, packed)
+            numbers = (part << 32) + np.arange(len(first))
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, (numbers, first, second, totals))), names=_arrow(_NAMED).names)
+
+
+def _round(length: int, bits: int, last: bool):
+    """A shard and the answers about its phrases of ``length`` words -> what is left of the shard, and its phrases of one word more.
+
+    A longer phrase names its first and its second part by their numbers.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        parts, ids, extra, times = (rows.column(c).to_pylist() for c in ("part", "ids", "extra", "times"))
+        assert parts[0] == _WHOLE
+        whole, starts, sizes = Shard(_unblob(ids[0]).astype(np.int32)), _unblob(extra[0]), _unblob(times[0])
+        answers = [
+            np.unpackbits(np.frombuffer(b, dtype=np.uint8, offset=4), count=int.from_bytes(b[:4], "little")) for b in ids[1:]
+        ]
+        frequent = np.concatenate([np.zeros(0, dtype=np.uint8), *answers]) > 0
+        if not frequent.any():
+            return _sent_table([])
+        numbers = np.concatenate([(part << 32) + _unblob(places) for part, places in zip(parts[1:], extra[1:])])
+        marks = np.zeros(len(whole.ids), dtype=np.int64)
+        at, of = whole.places(starts[frequent], sizes[frequent])
+        marks[at] = of + 1
+        kept, marks = runs(whole.ids, marks, length)
+        left = Shard(kept.astype(np.int32))
+        starts, sizes = left.phrases(length + 1)
+        begin = left.leftward.suffixes[starts]
+        found = starts, sizes, numbers[marks[begin] - 1], numbers[marks[begin + 1] - 1]
+        return _phrase_rows(rows.column("shard")[0].as_py(), left.ids, found, bits, last)
 
     return run
 
 
 def _summed(rows: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
-    """The rows of phrases with ``least`` occurrences in all shards, their ``total`` and a number ``id``: that of one row."""
+    """The words with ``least`` occurrences in all shards, their ``total`` and a number ``id``: that of one row."""
     # The hash comes first because rows are sorted by it: most comparisons end there.
     same = W.partitionBy("mixed", *keys)
     own = F.shiftleft("shard", 29) + F.col("place")
@@ -419,7 +497,9 @@ def _summed(rows: DataFrame, keys: list[str], least: int, name: str) -> DataFram
         .where(F.col("total") >= least)
         .withColumn("own", own)
         .withColumn("id", F.min("own").over(same))
-        .select("shard", "place", "times", *keys, "total", "id", (F.col("own") == F.col("id")).alias("one")),
+        .withColumn("one", F.col("own") == F.col("id"))
+        # The word itself is on one row only.
+        .select("shard", "place", "total", "id", *(F.when(F.col("one"), F.col(k)).alias(k) for k in keys), "one"),
         name,
     )
 
@@ -449,41 +529,50 @@ def frequent_phrases(
         words = made.where(F.col("kind") == _WORD)
         totals = materialize(words.groupBy("lang").agg(F.sum("times").alias("n")), "language-totals")
         found = _summed(words.select("shard", "place", "times", "lang", "word"), ["lang", "word"], least, "frequent-words")
-        level = found.where("one").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "total")
+        level = materialize(
+            found.where("one").select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "total"), "named-1"
+        )
         levels = [level]
         shards = made.where(F.col("kind") == _IDS).select("shard", "ids")
         words_in_all = totals.agg(F.sum("n")).first()[0] or 0
         # About four pairs in a bucket, so that few rare pairs share one with others to make it frequent.
         bits = max(RANGE_BITS, int(words_in_all).bit_length() - 2)
+        known = found.select("shard", "place", "id").groupBy("shard")
+        kept = materialize(shards.groupBy("shard").cogroup(known).applyInArrow(_bucket_counts(bits), _KEPT), "word-shards")
+        # Tables that no later job reads go at once: disk is what this operator needs most.
+        release(made)
+        release(found)
         for length in range(1, longest):
+            last = length + 1 == longest
             if length == 1:
-                known = found.select("shard", "place", "id").groupBy("shard")
-                kept = materialize(
-                    shards.groupBy("shard").cogroup(known).applyInArrow(_bucket_counts(bits), _KEPT), "word-shards"
-                )
                 whole = kept.where(F.col("part") == _WHOLE)
                 answers = kept.where(F.col("part") != _WHOLE).groupBy("part").applyInArrow(_frequent_buckets(least), _KEPT)
-                asked = whole.unionByName(answers).groupBy("shard")
-                step = materialize(asked.applyInArrow(_pairs(bits), _ROUND), "phrases-2")
-            else:
-                known = found.select("shard", "place", "times", "id").groupBy("shard")
-                step = materialize(
-                    shards.groupBy("shard").cogroup(known).applyInArrow(_round(length), _ROUND), f"phrases-{length + 1}"
+                sent = materialize(
+                    whole.unionByName(answers).groupBy("shard").applyInArrow(_pairs(bits, last), _SENT), "phrases-2"
                 )
-            shards = step.where(F.col("ids").isNotNull()).select("shard", "ids")
-            sent = step.where(F.col("ids").isNull()).select("shard", "place", "times", "first", "second")
-            found = _summed(sent, ["first", "second"], least, f"frequent-{length + 1}")
+                read = [kept]
+            else:
+                asked = sent.where(F.col("part") == _WHOLE).unionByName(counted.where(F.col("shard") != _LEVEL))
+                read = [sent, counted]
+                sent = materialize(asked.groupBy("shard").applyInArrow(_round(length, bits, last), _SENT), f"phrases-{length + 1}")
+            for table in read:
+                release(table)
+            phrases = sent.where(F.col("part") != _WHOLE)
+            counted = materialize(phrases.groupBy("part").applyInArrow(_counted(least, last), _SENT), f"frequent-{length + 1}")
+            found = counted.where(F.col("shard") == _LEVEL).select("part", "ids", "extra", "times").mapInArrow(_named_rows, _NAMED)
             parts = [
                 level.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("head"), F.col("total").alias("first_total")),
                 level.select(F.col("id").alias("second"), "last", F.col("total").alias("second_total")),
             ]
             level = materialize(
-                found.where("one").select("id", "total", "first", "second").join(parts[0], "first").join(parts[1], "second")
+                found.join(parts[0], "first").join(parts[1], "second")
                 .withColumn("phrase", F.concat_ws(" ", "head", "last"))
                 .select("id", "lang", "phrase", "last", "total", "first", "second", "first_total", "second_total"),
                 f"named-{length + 1}",
             )
             levels.append(level)
+        release(sent)
+        release(counted)
     return levels, totals
 
 

@@ -8,6 +8,7 @@ import numpy as np
 
 from sensorloom.llm import collocations
 from sensorloom.llm.collocations import Index, Shard, extended, frequent_phrases, runs
+from sensorloom.sources.scratch import _PATHS, materialize
 
 SCHEMA = "doc_id long, text string, lang string, phrase string, rank int, id long"
 
@@ -145,3 +146,28 @@ def test_words_and_totals(spark):
         g: sum(v for (h, _), v in words.items() if h == g) for g in {g for g, _ in words}
     }
     assert isinstance(Index(np.zeros(0, dtype=np.int32)).suffixes, np.ndarray)
+
+
+def test_phrases_travel_packed_and_tables_go_once_read(spark, monkeypatch):
+    """A shard's phrases are one row per range of hashes, and only what levels are made of stays on disk."""
+    made = {}
+
+    def recorded(df, name):
+        table = materialize(df, name)
+        made[name] = (table, table.count())
+        return table
+
+    monkeypatch.setattr(collocations, "materialize", recorded)
+    frequent_phrases(as_frame(spark, corpus(7), 3), least=3, shard_bytes=4_000)
+    shards = made["word-shards"][1] // 2  # its own row and one range
+    assert shards > 5
+    for length in (2, 3, 4):
+        assert 0 < made[f"phrases-{length}"][1] <= 2 * shards
+        assert 0 < made[f"frequent-{length}"][1] <= shards + 1
+    kept = {name for name, (table, _) in made.items() if table in _PATHS}
+    assert kept == {"language-totals", "named-1", "named-2", "named-3", "named-4"}
+
+
+def test_packed_longs_come_back():
+    for values in ([], [0], [-1, 1 << 58, 7, -(1 << 40)]):
+        assert collocations._long_unblob(collocations._long_blob(np.array(values, dtype=np.int64))).tolist() == values
